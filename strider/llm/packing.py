@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,20 +21,77 @@ CAPACITY = 2048
 #: Rows of a range of documents and gaps that one task sweeps; what is no more is one range.
 ROWS_A_TASK = 10_000
 MAX_ROUNDS = 200
-#: Words whose ids a worker remembers, and the longest of them.
-CACHE, LONGEST = 400_000, 64
+#: Words, and stems of words, whose ids a worker remembers, and the longest of them.
+CACHE, LONGEST = 600_000, 64
+#: Marks that may follow a stem; the tokenizer always parts them from letters.
+_MARKS = ".,;:!?#$%&*()-|"
 
-#: SHRUNK: a gap that took a document in its range; it waits for the next round.
 PLACED, DOC, GAP, SHRUNK = 0, 1, 2, 3
 _ROUND = "kind int, id long, size int, seq long, at int, pid int, rank int"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class _Words:
+    """The ids of words by a tokenizer that parts words at ASCII white space, as bytes."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """Stems are letters, so each is tokens of which only the last ends a word."""
+        ids = self._encode(" ".join(stems))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(stems) and cuts[-1] == len(ids):
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            parts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        else:
+            parts = [self._encode(s).tobytes() for s in stems]
+        self.stems.update(zip(stems, parts, strict=True))
+
+    def __call__(self, words: list[str]) -> bytes:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.stems) > CACHE:
+            self.stems.clear()
+        known = self.words
+        new = set(words).difference(known)
+        once: dict[str, bytes] = {}
+        if new:
+            split = {}
+            for w in new:
+                stem = w.rstrip(_MARKS)
+                if stem.isascii():
+                    stem = stem.lower()
+                    plain = stem.isalpha()
+                else:  # lower case or composition may set letters apart from their marks
+                    plain = stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha()
+                if plain and len(w) <= LONGEST:
+                    split[w] = (stem, w[len(stem) :])
+                else:
+                    (known if len(w) <= LONGEST else once)[w] = self._encode(w).tobytes()
+            stems = [s for s in {s for s, _ in split.values()} if s not in self.stems]
+            if stems:
+                self._learn_stems(stems)
+            for w, (stem, marks) in split.items():
+                if marks and marks not in known:
+                    known[marks] = self._encode(marks).tobytes()
+                known[w] = self.stems[stem] + known[marks] if marks else self.stems[stem]
+        return b"".join([known[w] if w in known else once[w] for w in words] if once else map(known.__getitem__, words))
+
 
-    return Tokenizer.from_file(path), {}
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
@@ -42,18 +100,7 @@ def token_bytes(text: str | None, path: str) -> bytes:
     For tokenizers that part words at ASCII white space, which then joins no token and sets none:
     the ids of a text are those of its words one after the other, and words repeat.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
-    out = []
-    for word in (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-        ids = known.get(word)
-        if ids is None:
-            ids = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= LONGEST:
-                known[word] = ids
-        out.append(ids)
-    return b"".join(out)
+    return _tokenizer(path)((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
 
 def token_pieces(
