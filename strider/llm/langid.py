@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strider.llm.tables import written
+
 UNKNOWN = "und"
 #: Dimensions of byte n-grams of length 1, 2 and 3; the latter two are hashed.
 DIMS = (256, 2048, 6144)
@@ -22,6 +24,8 @@ SAMPLE = 1000
 LEAST_SHARE = 0.05
 #: Of the distances of clustered rows to their centroid; beyond the quantile times the factor a text is rejected.
 QUANTILE, SLACK = 0.98, 1.25
+#: Labels up to which their sizes are broadcast.
+MOST_LABELS = 10_000
 #: Bytes profiled at a time.
 BLOCK = 1 << 20
 
@@ -113,9 +117,11 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     )
     seen, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
-    sizes = rows.groupBy("label").count().withColumn("share", F.lit(float(sample)) / F.col("count"))
+    sizes = written(rows.groupBy("label").count().select("label", (F.lit(float(sample)) / F.col("count")).alias("share")), "labels")
+    if sizes.count() <= MOST_LABELS:  # one row each; beyond that the join decides for itself
+        sizes = F.broadcast(sizes)
     place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(sizes.select("label", "share"), "label").where(place < F.col("share"))
+    chosen = rows.join(sizes, "label").where(place < F.col("share"))
 
     def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = vectors(sorted(group["text"]), idf)
