@@ -22,7 +22,7 @@ CAPACITY = 2048
 ROWS_A_TASK = 10_000
 MAX_ROUNDS = 200
 #: Words, and stems of words, whose ids a worker remembers, and the longest of them.
-CACHE, LONGEST = 600_000, 64
+CACHE, LONGEST = 150_000, 32
 #: Marks that may follow a stem; the tokenizer always parts them from letters.
 _MARKS = ".,;:!?#$%&*()-|"
 
