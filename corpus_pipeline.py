@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from strider.llm import langid, mixing, packing, secrets, simhash
 from strider.llm.queries import tokenizer_path
-from strider.llm.tables import written
+from strider.llm.tables import small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents, drops those without a letter or far from every language, labels the unlabelled."""
+    small_batches(spark)
     judged = langid.predict(docs, langid.fit(docs)).where(~F.col("rejected"))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
@@ -28,6 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Where that doc_id repeats, one of its rows does.
     """
+    small_batches(spark)
     groups = simhash.similar_documents(docs)
     kept = written(groups.where("doc_id = component_id").groupBy("doc_id").count(), "kept")
     once = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
@@ -37,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each reported span; a widely copied example that no base pattern matches stays."""
+    small_batches(spark)
     judged = secrets.judged(docs, ["doc_id"]).select("doc_id", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
     found = judged.where(F.size("__spans") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
     marked = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
@@ -57,6 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequence and offset."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

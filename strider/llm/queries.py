@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.llm import langid, licenses, mixing, neardup, neighbours, packing, secrets, simhash, urls, warc
+from strider.llm.tables import small_batches
 
 
 def tokenizer_path() -> str:
@@ -15,6 +16,7 @@ def tokenizer_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,3 +39,14 @@ def drop_written(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of an Arrow batch of whole texts; their number has no effect on results.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let workers get texts in batches of at most ``BATCH_ROWS`` rows, so that a batch of long ones stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
