@@ -1,0 +1,277 @@
+"""Operators on small tables with nulls, empty and long texts, ties, repeated rows and odd columns, against brute force."""
+
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strider.llm import langid, licenses, mixing, neardup, neighbours, packing, queries, secrets, simhash, urls, warc
+from strider.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, fp string, size int, component_id string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, la, s, "x", 1, "y") for i, t, la, s in rows], DOCS)
+
+
+BASE = " ".join(f"word{i}" for i in range(300))
+ROWS = [
+    (1, BASE, "en", "a"), (2, BASE, "en", "b"), (3, BASE + " tail", "en", None), (4, None, None, "a"), (5, "", "de", "a"), (6, "", "de", "a"),
+    (7, "one", "de", "b"), (7, "one", "de", "b"), (8, "Two  words\tthree\nfour", None, "c"), (None, "one", "fr", "c"), (9, "x" * 70_000, "en", "b"),
+]
+
+
+def brute_fingerprint(text, width=3):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + width]).encode(), 42) for i in range(max(1, len(w) - width + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("bucket", [256, 1])
+def test_simhash(spark, bucket):
+    variants = [(100 + i, " ".join(f"word{j}" for j in range(300) if j != i), "en", "a") for i in range(40)]
+    rows = ROWS + variants
+    got = simhash.near_duplicates(docs(spark, rows), bucket=bucket).toPandas()
+    assert len(got) == len(rows)
+    want = {i: brute_fingerprint(t) for i, t, _, _ in rows if i is not None}
+    own = components(list(want), lambda a, b: (want[a] ^ want[b]).bit_count() <= 2)
+    for r in got[got.doc_id.notna()].itertuples():
+        assert r.fingerprint == f"{want[int(r.doc_id)]:016x}"
+        assert r.component_id == own[int(r.doc_id)]
+    assert got[got.doc_id.isna()].component_id.item() == 7
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_similar_documents(spark, crowd):
+    edited = BASE.split()
+    edited[50], edited[200] = "changed", "too"
+    far = " ".join(f"other{i}" for i in range(300))
+    nodes = docs(spark, [(1, BASE, "", ""), (2, " ".join(edited), "", ""), (3, far, "", ""), (4, BASE, "", "")])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(nodes).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    ends = {x for e in edges for x in e if e[0] != e[1]}
+    linked = {frozenset(e) for e in edges}
+    assert got == components(sorted(ends), lambda a, b: frozenset((a, b)) in linked)
+
+
+def test_secrets(spark):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    texts = [f'x token = "{key}" y', "password=short PASSWD: abcdef", "AKIA" + "A1" * 9 + " AKIAAKIA", None, "", "aé secret=token: abcdefgh Zq8Kp3vTr7yLn2cHd5uXw", "é" * 5 + key, "api_key='a=b=c=d'"]
+    shared = "Zq8Wm4xBs6eJf9gQa1nVo"
+    rows = [(i, t, "en", f"o{i % 3}") for i, t in enumerate(texts)] + [(20, shared, "en", "o1"), (21, shared, "en", "o2"), (20, shared, "en", "o1")]
+    got = secrets.secret_report(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows)
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in pattern.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        said = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+        r = got[got.doc_id == i].iloc[0]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in spans) for k in range(3)]
+        assert all(x in r.spans.split(",") for x in said.split(",") if x)
+    assert "owned" in got[got.doc_id == 5].spans.item()  # one owner has it
+    assert (got[got.doc_id >= 20].spans == "").all()  # copied by two
+    assert secrets.redact("ab secret cd", [(3, 6), (5, 9)]) == "ab [SECRET] cd"
+
+
+def brute_targets(sizes, weights):
+    left, target, total = set(sizes), {}, float(sum(sizes.values()))
+    while True:
+        w = sum(weights[s] for s in left)
+        share = {s: (total - sum(target.values())) * weights[s] / w for s in left}
+        over = {s for s in left if share[s] > 3 * sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= over
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(["w"] * int(n)), "en", s) for i, (n, s) in enumerate(zip(rng.integers(0, 60, 900), rng.choice(["a", "b", "c", "Z", "é"], 900, p=[0.5, 0.2, 0.2, 0.09, 0.01]), strict=True))]
+    rows += [(None, None, "en", None), (5000, "a b c", "en", None)]
+    a, b = (mixing.mix_report(docs(spark, rows)).toPandas() for _ in range(2))
+    assert a.sort_values(list(a)).reset_index(drop=True).equals(b.sort_values(list(b)).reset_index(drop=True))
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None]
+    want = brute_targets(sizes, {s: 1 + i % 3 for i, s in enumerate(order)})
+    source = {i: s for i, _, _, s in rows}
+    a["source"] = [source[None if np.isnan(i) else int(i)] for i in a.doc_id]
+    for s, g in a.groupby("source", dropna=False):
+        s = None if s is None or s != s else s
+        assert np.allclose(g.target, want[s]) and (g.source_size == sizes[s]).all()
+        assert abs(g.taken.sum() - want[s]) <= 60
+    assert (a.taken <= 3 * a["size"]).all()
+    d = docs(spark, rows)
+    assert sorted(mixing.mix(d).columns) == sorted(d.columns)
+    assert mixing.mix(d).select(F.sum(mixing.word_count(F.col("text")))).first()[0] == a.taken.sum()
+    assert mixing.mix_report(docs(spark, [])).count() == 0
+
+
+def test_language(spark):
+    words = {"en": "the and with of this river house", "de": "der und nicht ein haus fluss straße", "fr": "le la été maison rivière pour"}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words[la].split(), 40)), la, "s") for i, la in enumerate(["en", "de", "fr"] * 60)]
+    rows += [(900, None, "en", "s"), (901, "12 34 !!", None, "s"), (902, "", None, "s"), (903, "der fluss", None, "s"), (903, "der fluss", None, "s")]
+    got = langid.language_report(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all()
+    odd = got[got.doc_id.isin([900, 901, 902])]
+    assert (odd.lang_pred == "und").all() and odd.rejected.all()
+    assert (got[got.doc_id == 903].lang_pred == "de").all()
+    told = got[got.held_out & (got.doc_id < 180)]
+    assert (told.lang_pred == [rows[int(i)][2] for i in told.doc_id]).all()
+    assert langid.language_report(docs(spark, [(1, "a", None, "s")])).first().lang_pred == "und"
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    rows = ROWS + [(50 + i, "Straße naïve, don't! " * i, "de", "s") for i in range(0, 900, 60)]
+    for _, t, _, _ in rows:
+        assert packing.token_bytes(t, path) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    got = packing.pack(docs(spark, rows), path).toPandas()
+    assert got.length.sum() == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in rows)
+    by = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length
+    assert by.sum().max() <= 2048
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (by.cumsum() - ordered.length == ordered.offset).all()
+
+
+def test_packing_is_tight(spark):
+    rng = np.random.default_rng(2)
+    sizes = np.concatenate([rng.integers(1, 600, 3000), rng.integers(900, 2048, 800)])
+    items = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(sizes)), "size": sizes}))
+    got = packing.best_fit(items, rows_a_task=500).toPandas().merge(pd.DataFrame({"id": np.arange(len(sizes)), "size": sizes}), on="id")
+    assert len(got) == len(sizes)
+    assert got.groupby("seq")["size"].sum().max() <= 2048
+    assert got.seq.nunique() <= 1.02 * np.ceil(sizes.sum() / 2048)
+
+
+def test_warc(spark, tmp_path):
+    big = "é" * 700
+    rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (2, "http://b/", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    uri = f"file://{tmp_path}/warc"
+    manifest = warc.write_warc(pages, uri, roll_bytes=600)
+    assert manifest.count() > 1
+    got = warc.read_warc(manifest, uri).toPandas()
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        r = got[got.page_id.isna() if i is None else got.page_id == i].iloc[0]
+        body = (html or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
+        revisit = html == big and i != 2
+        assert r.record_type == ("revisit" if revisit else "response")
+        assert (r.refers_to == 2) if revisit else (pd.isna(r.refers_to) and r.payload == body)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "warc").glob("*.gz")}
+    again = f"file://{tmp_path}/again"
+    warc.write_warc(pages.orderBy(F.desc("url")).repartition(3), again, roll_bytes=600)
+    assert files == {f.name: f.read_bytes() for f in (tmp_path / "again").glob("*.gz")}
+    assert warc.warc_round_trip(pages.limit(0), spark).count() == 0
+
+
+def vectors(spark, rng, n=1500, copies=600):
+    x = rng.standard_normal((n, 16))
+    x[:copies] = x[0] + 0.01 * rng.standard_normal((copies, 16))
+    x[n - 50 :] = x[n - 100 : n - 50]
+    rows = [(i, v.astype(np.float32).tolist(), int(i % 3 == 1)) for i, v in enumerate(x)]
+    return rows + [(9000, None, 1), (9001, [0.0] * 16, 1), (9002, [float("nan")] * 16, 1), (9003, [None] * 16, 0), (9004, x[0].tolist(), None), (9005, [], 0)]
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def test_embedding_duplicates(spark):
+    rows = vectors(spark, np.random.default_rng(5))
+    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), block=64).toPandas().set_index("vec_id")
+    assert len(got) == len(rows)
+    fine = rows[:1500]
+    x = np.array([np.array(v, np.float32) for _, v, _ in fine], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([la for *_, la in fine])
+    link = (x @ x.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(link, False)
+    assert (got.loc[range(1500), "n_links"].to_numpy() == link.sum(axis=1)).all()
+    odd = got.loc[range(9000, 9006)]
+    assert (odd.n_links == 0).all() and odd.kept.all()
+    assert (got.kept == (got.component_id == got.index)).all()
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    rows = vectors(spark, rng, copies=20)
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0, candidates=400, queries=30).toPandas()
+    x = np.array([np.array(v, np.float32) for _, v, _ in rows[:1500]], float)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 21)) and q not in set(g.vec_id)
+        assert np.allclose(g.score, [x[q] @ x[v] if v < 1500 else np.nan for v in g.vec_id], equal_nan=True) or 9004 in set(g.vec_id)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(g.vec_id) & set(np.argsort(-s, kind="stable")[:20]))
+    assert hits / (20 * 75) >= 0.9
+    few = neighbours.nearest_neighbours(table.where("vec_id < 5"), F.col("vec_id") % 20 == 0).toPandas()
+    assert len(few) == 4
+    assert neighbours.nearest_neighbours(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_urls(spark):
+    rows = [
+        (1, "http://A.b.net/x?q#f"), (2, "https://example.net/en/1"), (3, "x://sub.example.com/de/9"), (4, "http://q.org/fr/"), (5, None), (6, "no scheme"),
+        (7, "http://www.bad.org/p/?utm_x=1&b=2&a=1"), (8, "https://bad.org/p?a=1&b=2#z"), (9, "http://notexample.net/en/"), (10, "http://x.net"), (10, "http://x.net"),
+    ]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([("http://bad.org/p/?b=2&a=1",), (None,)], "url string"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
+    assert got[1] == ("a.b.net", "/x", "net/", "block") and got[2] == ("example.net", "/en/1", "example.net/en/", "allow")
+    assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
+    assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
+    assert got[7][2:] == (None, "block") and got[8][3] == "block" and got[9][2] == "net/" and got[10] == ("x.net", "", None, "allow")
+
+
+def test_licenses(spark):
+    rows = [(i, "pad " * i + body + " more words here", "en", "s") for i, body in enumerate(licenses.TEMPLATES.values())]
+    rows += [(100, None, "", ""), (101, "", "", ""), (102, "under the MIT", "", ""), (103, "x " * 500 + "RELEASED under\nthe MIT-License!" + " y" * 500, "", "")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, name in enumerate(licenses.TEMPLATES):
+        assert name in got[i].licenses.split(",") and got[i].containment == 1
+    assert [got[i].n_licenses for i in (100, 101, 102, 103)] == [0, 0, 0, 1]
