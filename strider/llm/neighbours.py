@@ -77,7 +77,7 @@ def nearest_neighbours(
     """
     rows = usable(vectors, vec_id, embedding)
     fixed = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array(fixed, float).reshape(len(fixed), -1))
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array(fixed, float))
     asked = rows.where(is_query)
     n, m = rows.count(), asked.count()
     blocks, sets = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / queries))
