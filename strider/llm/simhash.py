@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strider.llm.components import connected_components
-from strider.llm.tables import written
+from strider.llm.tables import drop_written, written
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory than its words.
@@ -22,21 +22,26 @@ BUCKET = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _majority(text: str | None, width: int, lanes: int = 1) -> np.ndarray:
-    """64 bits for each lane: those set in over half the shingle hashes. Further lanes rehash them."""
+def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of the ``width``-word shingles of a text, repeats included, a block at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return np.zeros(64 * lanes, bool)
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     lo, hi = starts[:n].tolist(), ends[min(width, len(words)) - 1 :][:n].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.array(
-            [digest(joined[s:e], SEED) for s, e in zip(lo[at : at + BLOCK], hi[at : at + BLOCK], strict=True)], "<u8"
-        )
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(lo[at : at + BLOCK], hi[at : at + BLOCK], strict=True)], "<u8")
+
+
+def _majority(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """64 bits for each lane: those set in over half the hashes; zeros if there are none. Further lanes rehash them."""
+    ones, n = np.zeros((lanes, 64), np.int64), 0
+    for h in blocks:
+        n += len(h)
         for lane in range(lanes):
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[lane] += bits.sum(axis=0, dtype=np.int64)
@@ -45,13 +50,19 @@ def _majority(text: str | None, width: int, lanes: int = 1) -> np.ndarray:
     return (2 * ones > n).ravel()
 
 
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the ``width``-word shingles of a text, sorted."""
+    blocks = [np.unique(h) for h in _hashes(text, width)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, "<u8")
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash, as a signed integer, of the ``width``-word shingles of a text.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words is one
     shingle, one of none (or null) is zero.
     """
-    return int(np.packbits(_majority(text, width), bitorder="little").view("<i8")[0])
+    return int(np.packbits(_majority(_hashes(text, width)), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, out: str = "fp") -> DataFrame:
@@ -157,66 +168,146 @@ def near_duplicates(
 
 #: A wide fingerprint: 64-bit lanes and the segments they are cut into, 20 bits each.
 LANES, WIDE_SEGMENTS = 5, 16
-#: Bits of a wide fingerprint, and of its first lane, in which similar documents may differ. Shingle sets with a
-#: Jaccard similarity of 0.8 differ in 48 of 320 bits on average, unrelated ones in 160.
-WIDE_BITS, FIRST_BITS = 60, 20
-#: Documents that share a segment value beyond which each is compared with some of them, not with all.
+#: Bits of a wide fingerprint, and of its first lane, in which candidates may differ. Shingle sets with a Jaccard
+#: similarity of 0.8 differ in 48 of 320 bits on average, with a deviation of 6; unrelated ones in 160.
+WIDE_BITS, FIRST_BITS = 68, 22
+#: Nodes that share a segment value beyond which each is compared with some of them first.
 CROWD, LEADERS = 64, 4
+#: The least Jaccard similarity of linked documents.
+LEAST = 0.8
 
 
 def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 5) -> DataFrame:
-    """The columns ``keep`` of each row with ``fp`` (``LANES`` longs) and ``segs`` (``WIDE_SEGMENTS`` ints)."""
+    """The columns ``keep`` of each row with ``cls`` (a digest of its set of shingles), ``fp`` (``LANES`` longs, SimHash of that set) and ``segs`` (``WIDE_SEGMENTS`` ints)."""
 
-    @F.pandas_udf("fp array<long>, segs array<int>")
+    @F.pandas_udf("cls binary, fp array<long>, segs array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights = 1 << np.arange(64 * LANES // WIDE_SEGMENTS)
         for texts in batches:
-            bits = np.stack([_majority(t, width, LANES) for t in texts]) if len(texts) else np.zeros((0, 64 * LANES), bool)
+            cls, bits = [], np.zeros((len(texts), 64 * LANES), bool)
+            for i, t in enumerate(texts):
+                own = shingle_set(t, width)
+                cls.append(xxhash.xxh3_128_digest(own.tobytes()))
+                bits[i] = _majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), LANES)
             fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pd.DataFrame({"fp": list(fp), "segs": list((bits.reshape(len(bits), WIDE_SEGMENTS, -1) @ weights).astype(np.int32))})
+            yield pd.DataFrame({"cls": cls, "fp": list(fp), "segs": list((bits.reshape(len(bits), WIDE_SEGMENTS, -1) @ weights).astype(np.int32))})
 
     return docs.select(*keep, of(F.col(text)).alias("__wide")).select(*keep, "__wide.*")
 
 
-def similar_links(nodes: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS, crowd: int = CROWD) -> DataFrame:
-    """Links (src, dst) between ``nodes`` (node, fp, segs; fp distinct) within ``wide_bits`` bits.
+def _posts(nodes: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(node, p0, seg, val, *more): the segments of each node, and with them those one bit away. Of two values one bit apart only the one with the bit unset probes."""
+    bits = 64 * LANES // WIDE_SEGMENTS
+    base = nodes.select("node", F.element_at("fp", 1).alias("p0"), *more, F.posexplode("segs").alias("seg", "val"))
+    flips = (
+        base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).where("getbit(val, i) = 0")
+        .withColumn("val", F.expr("val | shiftleft(1, i)")).drop("i")
+    )
+    return base, base.unionByName(flips)
+
+
+_FIRST = "bit_count(p0 ^ q0)"
+
+
+def _within(met: DataFrame, nodes: DataFrame, wide_bits: int) -> DataFrame:
+    """Distinct (src < dst) of ``met`` (node, dst) whose whole distance is at most ``wide_bits``."""
+    met = met.select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst")).distinct()
+    one = nodes.select(F.col("node").alias("src"), F.col("fp").alias("f"))
+    two = nodes.select(F.col("node").alias("dst"), F.col("fp").alias("g"))
+    distance = F.aggregate(F.zip_with("f", "g", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return met.join(one, "src").join(two, "dst").where(distance <= wide_bits).select("src", "dst").distinct()
+
+
+def crowded_values(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(seg, val, l0, l1, ...) of the segment values of more than ``crowd`` nodes, with ``LEADERS`` of these nodes."""
+    sizes = _posts(nodes)[0].groupBy("seg", "val").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+    return written(sizes.where(F.col("n") > crowd).drop("n"), "full")
+
+
+def candidate_pairs(nodes: DataFrame, full: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS) -> DataFrame:
+    """Distinct (src < dst) of ``nodes`` (node, fp, segs) within ``wide_bits`` bits that meet in a segment.
 
     Each segment is looked up with its own value and those one bit away. Of two documents whose
     shingles have a similarity of 0.8, which differ in 15 % of the bits, one of the 16 segments
     agrees that far with a probability of 0.95, of 0.99 at 0.85. The first lane is compared on
-    meeting, the whole distance then. In a segment value of more than ``crowd`` documents each of
-    them and of its probes is compared with ``LEADERS`` of them; such a group is met in 16 segments.
+    meeting, the whole distance then. A value in ``full`` is compared with its leaders here; the
+    rest of its pairs are those of :func:`crowded_pairs`.
     """
-    bits = 64 * LANES // WIDE_SEGMENTS
-    base = nodes.select("node", F.element_at("fp", 1).alias("p0"), F.posexplode("segs").alias("seg", "val"))
-    sizes = base.groupBy("seg", "val").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-    full = written(sizes.where(F.col("n") > crowd).drop("n"), "full")
+    base, probes = _posts(nodes)
     leaders = full.select("seg", "val", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("node"))
     table = base.join(full.select("seg", "val"), ["seg", "val"], "left_anti").unionByName(base.join(leaders, ["seg", "val", "node"], "left_semi"))
-    flips = (
-        base.select("node", "p0", "seg", "val", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("i"))
-        .where("getbit(val, i) = 0").select("node", "p0", "seg", F.expr("val | shiftleft(1, i)").alias("val"))
-    )
     match = table.select("seg", "val", F.col("node").alias("dst"), F.col("p0").alias("q0"))
-    met = (
-        base.unionByName(flips).join(match, ["seg", "val"])
-        .where((F.col("node") != F.col("dst")) & (F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) <= first_bits))
-        .select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst")).distinct()
+    met = probes.join(match, ["seg", "val"]).where((F.col("node") != F.col("dst")) & (F.expr(_FIRST) <= first_bits))
+    return _within(met, nodes, wide_bits)
+
+
+def crowded_pairs(nodes: DataFrame, full: DataFrame, found: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS) -> DataFrame:
+    """The pairs of the values in ``full`` that leaders did not join: those between different components of ``found``.
+
+    In a crowd nearly all nodes belong to its main component by now. Its other nodes are compared
+    with all of the crowd, and it with them; pairs inside the main component would join nothing.
+    """
+    known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    base, probes = (x.join(full.select("seg", "val"), ["seg", "val"], "left_semi") for x in _posts(known, "c"))
+    main = base.groupBy("seg", "val", "c").count().groupBy("seg", "val").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    main = written(main, "main")
+    hold = base.join(main, ["seg", "val"]).select("seg", "val", F.col("node").alias("dst"), F.col("p0").alias("q0"), F.col("c").alias("d"), (F.col("c") != F.col("main")).alias("odd"))
+    ask = probes.join(main, ["seg", "val"])
+    close = (F.col("c") != F.col("d")) & (F.expr(_FIRST) <= first_bits)
+    met = ask.where("c <> main").join(hold, ["seg", "val"]).where(close).select("node", "dst").unionByName(
+        ask.where("c = main").join(hold.where("odd"), ["seg", "val"]).where(close).select("node", "dst")
     )
-    one = nodes.select(F.col("node").alias("src"), F.col("fp").alias("f"))
-    two = nodes.select(F.col("node").alias("dst"), F.col("fp").alias("g"))
-    distance = F.aggregate(F.zip_with("f", "g", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return met.join(one, "src").join(two, "dst").where(distance <= wide_bits).select("src", "dst")
+    return _within(met, nodes, wide_bits)
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, component_id) of each row: documents whose ``width``-word shingles have a similarity of about 0.8 or more.
+def similar_pairs(pairs: DataFrame, docs: DataFrame, width: int, least: float = LEAST) -> DataFrame:
+    """Enough of ``pairs`` to join the same documents as all whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-    As :func:`near_duplicates`, with wide fingerprints, whose distance tells such similarities.
-    Null and empty texts are one group.
+    Similarities are exact, on whole texts. A node is compared with its smallest partner first; of
+    the other pairs, those that this has joined already need no comparison.
     """
-    fps = written(wide_fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", width), "fingerprints")
-    nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("segs").alias("segs")), "nodes")
-    found = connected_components(similar_links(nodes))
-    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "component_id")
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, width).view("<i8") for t in texts], dtype=object)
+
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    sets = written(docs.join(ends, "doc_id").select(F.col("doc_id").alias("node"), of("text").alias("s")), "sets")
+
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst").distinct()
+
+    first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    links = written(similar(first), "links")
+    known = connected_components(links)
+    other = pairs.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
+        known.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst", "left"
+    )
+    more = written(similar(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).join(first, ["src", "dst"], "left_anti")), "links")
+    drop_written(sets)
+    return links.unionByName(more)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) of each row: documents whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more, and those they lead to.
+
+    Wide fingerprints find candidates, whole texts verify them, so no unlike documents are linked.
+    Documents with equal sets are one node and never paired. Null and empty texts are one group.
+    Where a doc_id repeats with different texts, it is linked through each. Rows without an id join
+    the group of an equal set, if there is one. An empty table gives no rows.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    fps = written(wide_fingerprints(own, ["doc_id"], "text", width), "fingerprints")
+    nodes = written(fps.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("segs").alias("segs")), "nodes")
+    full = crowded_values(nodes, crowd)
+    links = similar_pairs(written(candidate_pairs(nodes, full), "candidates"), own, width, least)
+    found = connected_components(links)
+    if full.head(1):
+        rest = written(crowded_pairs(nodes, full, found), "candidates")
+        if rest.head(1):
+            found = connected_components(links.unionByName(similar_pairs(rest, own, width, least)))
+    of = nodes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(of, "cls", "left").select("doc_id", "component_id")

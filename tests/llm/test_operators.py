@@ -66,14 +66,31 @@ def test_simhash(spark, bucket):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
+def shingles(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
 def test_similar_documents(spark, crowd):
-    edited = BASE.split()
-    edited[50], edited[200] = "changed", "too"
-    far = " ".join(f"other{i}" for i in range(300))
-    nodes = docs(spark, [(1, BASE, "", ""), (2, " ".join(edited), "", ""), (3, far, "", ""), (4, BASE, "", "")])
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(nodes).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    rng = np.random.default_rng(5)
+    texts = {}
+    for group in range(4):
+        base = [f"g{group}w{j}" for j in range(250)]
+        for copy in range(25):
+            edited = list(base)
+            for at in rng.choice(250, [0, 2, 4, 7][copy % 4], replace=False):
+                edited[at] = f"new{group}x{copy}y{at}"
+            texts[100 * group + copy] = " ".join(edited)
+    texts |= {900: texts[100] + " " + texts[200], 901: None, 902: "", 903: "one", 904: "ONE", 905: "spam " * 900 + "a b c", 906: "spam " * 900 + "d e f g h i j"}
+    own = {i: shingles(t) for i, t in texts.items()}
+    alike = lambda a, b: own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    rows = [(i, t, "", "") for i, t in texts.items()] + [(100, texts[100], "", ""), (None, "one", "", "")]
+    got = simhash.similar_documents(docs(spark, rows), crowd=crowd).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == components(sorted(own), alike)
+    assert [r.component_id for r in got if r.doc_id is None] == [903]
+    assert simhash.similar_documents(docs(spark, [])).count() == 0
 
 
 def test_components(spark):
