@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strider.llm import langid, mixing, packing, secrets, simhash
 from strider.llm.queries import tokenizer_path
-from strider.llm.tables import small_batches, written
+from strider.llm.tables import if_small, small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     small_batches(spark)
     groups = simhash.similar_documents(docs)
-    kept = written(groups.where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    once = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__again"), F.count("*").alias("n"))
+    kinds = written(ids.where("not __again or n > 1").drop("n"), "kinds")
+    marked = docs.join(if_small(kinds), "doc_id", "left")
+    once = marked.where("__again is null").select(*docs.columns)
+    again = marked.where("__again").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(again)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     judged = secrets.judged(docs, ["doc_id"]).select("doc_id", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
     found = judged.where(F.size("__spans") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
-    marked = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    found = written(found.withColumnRenamed("doc_id", "__id"), "found")
+    marked = docs.join(if_small(found), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
 
     @F.pandas_udf("string")
     def redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

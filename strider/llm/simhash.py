@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strider.llm.components import connected_components
-from strider.llm.tables import drop_written, written
+from strider.llm.tables import drop_written, if_small, written
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory than its words.
@@ -171,18 +171,19 @@ LANES, WIDE_SEGMENTS = 5, 16
 #: Bits of a wide fingerprint, and of its first lane, in which candidates may differ. Shingle sets with a Jaccard
 #: similarity of 0.8 differ in 48 of 320 bits on average, with a deviation of 6; unrelated ones in 160.
 WIDE_BITS, FIRST_BITS = 68, 22
-#: Nodes that share a segment value beyond which each is compared with some of them first.
-CROWD, LEADERS = 64, 4
+#: Nodes that share a segment value beyond which each is compared with the smallest of them first.
+CROWD = 4
 #: The least Jaccard similarity of linked documents.
 LEAST = 0.8
 
 
 def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 5) -> DataFrame:
-    """The columns ``keep`` of each row with ``cls`` (a digest of its set of shingles), ``fp`` (``LANES`` longs, SimHash of that set) and ``segs`` (``WIDE_SEGMENTS`` ints)."""
+    """The columns ``keep`` of each row with ``cls`` (a digest of its set of shingles), ``fp`` (``LANES`` longs, SimHash of that set) and ``segs`` (``WIDE_SEGMENTS`` ints, each with its number in the bits above its value)."""
 
     @F.pandas_udf("cls binary, fp array<long>, segs array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(64 * LANES // WIDE_SEGMENTS)
+        width_bits = 64 * LANES // WIDE_SEGMENTS
+        weights, number = 1 << np.arange(width_bits), np.arange(WIDE_SEGMENTS) << width_bits
         for texts in batches:
             cls, bits = [], np.zeros((len(texts), 64 * LANES), bool)
             for i, t in enumerate(texts):
@@ -190,15 +191,15 @@ def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
                 cls.append(xxhash.xxh3_128_digest(own.tobytes()))
                 bits[i] = _majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), LANES)
             fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pd.DataFrame({"cls": cls, "fp": list(fp), "segs": list((bits.reshape(len(bits), WIDE_SEGMENTS, -1) @ weights).astype(np.int32))})
+            yield pd.DataFrame({"cls": cls, "fp": list(fp), "segs": list((bits.reshape(len(bits), WIDE_SEGMENTS, -1) @ weights + number).astype(np.int32))})
 
     return docs.select(*keep, of(F.col(text)).alias("__wide")).select(*keep, "__wide.*")
 
 
-def _posts(nodes: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """(node, p0, seg, val, *more): the segments of each node, and with them those one bit away. Of two values one bit apart only the one with the bit unset probes."""
+def _posts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, c, p0, val): the segments of each node, and with them those one bit away. Of two values one bit apart only the one with the bit unset probes."""
     bits = 64 * LANES // WIDE_SEGMENTS
-    base = nodes.select("node", F.element_at("fp", 1).alias("p0"), *more, F.posexplode("segs").alias("seg", "val"))
+    base = nodes.select("node", "c", F.element_at("fp", 1).alias("p0"), F.explode("segs").alias("val"))
     flips = (
         base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).where("getbit(val, i) = 0")
         .withColumn("val", F.expr("val | shiftleft(1, i)")).drop("i")
@@ -219,44 +220,37 @@ def _within(met: DataFrame, nodes: DataFrame, wide_bits: int) -> DataFrame:
 
 
 def crowded_values(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(seg, val, l0, l1, ...) of the segment values of more than ``crowd`` nodes, with ``LEADERS`` of these nodes."""
-    sizes = _posts(nodes)[0].groupBy("seg", "val").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-    return written(sizes.where(F.col("n") > crowd).drop("n"), "full")
+    """(val, lead): the segment values of more than ``crowd`` nodes, with the smallest of these."""
+    sizes = nodes.select("node", F.explode("segs").alias("val")).groupBy("val").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
+    return written(sizes.where(F.col("n") > crowd).select("val", "lead"), "full")
+
+
+def leader_pairs(nodes: DataFrame, full: DataFrame, wide_bits: int = WIDE_BITS) -> DataFrame:
+    """Distinct (src < dst) of ``nodes`` within ``wide_bits`` bits: those that meet a value of ``full``, with its leader."""
+    met = _posts(nodes)[1].join(if_small(full), "val").where("node <> lead").select("node", F.col("lead").alias("dst"))
+    return _within(met, nodes, wide_bits)
 
 
 def candidate_pairs(nodes: DataFrame, full: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS) -> DataFrame:
-    """Distinct (src < dst) of ``nodes`` (node, fp, segs) within ``wide_bits`` bits that meet in a segment.
+    """Distinct (src < dst) of ``nodes`` (node, c, fp, segs) of different ``c`` within ``wide_bits`` bits that meet in a segment.
 
     Each segment is looked up with its own value and those one bit away. Of two documents whose
     shingles have a similarity of 0.8, which differ in 15 % of the bits, one of the 16 segments
     agrees that far with a probability of 0.95, of 0.99 at 0.85. The first lane is compared on
-    meeting, the whole distance then. A value in ``full`` is compared with its leaders here; the
-    rest of its pairs are those of :func:`crowded_pairs`.
-    """
-    base, probes = _posts(nodes)
-    leaders = full.select("seg", "val", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("node"))
-    table = base.join(full.select("seg", "val"), ["seg", "val"], "left_anti").unionByName(base.join(leaders, ["seg", "val", "node"], "left_semi"))
-    match = table.select("seg", "val", F.col("node").alias("dst"), F.col("p0").alias("q0"))
-    met = probes.join(match, ["seg", "val"]).where((F.col("node") != F.col("dst")) & (F.expr(_FIRST) <= first_bits))
-    return _within(met, nodes, wide_bits)
-
-
-def crowded_pairs(nodes: DataFrame, full: DataFrame, found: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS) -> DataFrame:
-    """The pairs of the values in ``full`` that leaders did not join: those between different components of ``found``.
-
-    In a crowd nearly all nodes belong to its main component by now. Its other nodes are compared
-    with all of the crowd, and it with them; pairs inside the main component would join nothing.
+    meeting, the whole distance then. Of a value in ``full`` nearly all nodes belong to its main
+    component ``c`` by now: the others are compared with all of them, and they with the others.
     """
-    known = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    base, probes = (x.join(full.select("seg", "val"), ["seg", "val"], "left_semi") for x in _posts(known, "c"))
-    main = base.groupBy("seg", "val", "c").count().groupBy("seg", "val").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    main = written(main, "main")
-    hold = base.join(main, ["seg", "val"]).select("seg", "val", F.col("node").alias("dst"), F.col("p0").alias("q0"), F.col("c").alias("d"), (F.col("c") != F.col("main")).alias("odd"))
-    ask = probes.join(main, ["seg", "val"])
     close = (F.col("c") != F.col("d")) & (F.expr(_FIRST) <= first_bits)
-    met = ask.where("c <> main").join(hold, ["seg", "val"]).where(close).select("node", "dst").unionByName(
-        ask.where("c = main").join(hold.where("odd"), ["seg", "val"]).where(close).select("node", "dst")
-    )
+    base, probes = _posts(nodes)
+    hold = base.select("val", F.col("node").alias("dst"), F.col("p0").alias("q0"), F.col("c").alias("d"))
+    crowds = if_small(full.select("val"))
+    met = probes.join(hold.join(crowds, "val", "left_anti"), "val").where(close).select("node", "dst")
+    if full.head(1):
+        crowded = hold.join(crowds, "val", "left_semi")
+        main = written(crowded.groupBy("val", "d").count().groupBy("val").agg(F.max_by("d", F.struct("count", "d")).alias("main")), "main")
+        ask, held = probes.join(if_small(main), "val"), crowded.join(if_small(main), "val")
+        met = met.unionByName(ask.where("c <> main").join(held.drop("main"), "val").where(close).select("node", "dst"))
+        met = met.unionByName(ask.where("c = main").drop("main").join(held.where("d <> main"), "val").where(close).select("node", "dst"))
     return _within(met, nodes, wide_bits)
 
 
@@ -272,8 +266,8 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, width: int, least: float =
         for texts in batches:
             yield pd.Series([shingle_set(t, width).view("<i8") for t in texts], dtype=object)
 
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = written(docs.join(ends, "doc_id").select(F.col("doc_id").alias("node"), of("text").alias("s")), "sets")
+    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "ends")
+    sets = written(docs.join(if_small(ends), "doc_id").select(F.col("doc_id").alias("node"), of("text").alias("s")), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
@@ -303,11 +297,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     fps = written(wide_fingerprints(own, ["doc_id"], "text", width), "fingerprints")
     nodes = written(fps.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("segs").alias("segs")), "nodes")
     full = crowded_values(nodes, crowd)
-    links = similar_pairs(written(candidate_pairs(nodes, full), "candidates"), own, width, least)
-    found = connected_components(links)
-    if full.head(1):
-        rest = written(crowded_pairs(nodes, full, found), "candidates")
-        if rest.head(1):
-            found = connected_components(links.unionByName(similar_pairs(rest, own, width, least)))
+    led = similar_pairs(written(leader_pairs(nodes.withColumn("c", F.col("node")), full), "candidates"), own, width, least)
+    known = written(nodes.join(connected_components(led), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "nodes")
+    links = similar_pairs(written(candidate_pairs(known, full), "candidates"), own, width, least)
+    found = connected_components(led.unionByName(links))
     of = nodes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
     return fps.join(of, "cls", "left").select("doc_id", "component_id")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +51,12 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+
+
+#: Rows of a few numbers each up to which a side is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has at most ``rows`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df

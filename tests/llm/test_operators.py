@@ -71,7 +71,7 @@ def shingles(text, width=5):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
+@pytest.mark.parametrize("crowd", [64, 4])
 def test_similar_documents(spark, crowd):
     rng = np.random.default_rng(5)
     texts = {}
