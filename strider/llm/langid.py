@@ -27,7 +27,7 @@ QUANTILE, SLACK = 0.98, 1.25
 #: Labels up to which their sizes are broadcast.
 MOST_LABELS = 10_000
 #: Bytes profiled at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -162,8 +162,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
             known = [i for i, t in enumerate(texts) if has_letter(t)] if m.labels else []
-            for at in range(0, len(known), 512):
-                part = known[at : at + 512]
+            for at in range(0, len(known), 128):
+                part = known[at : at + 128]
                 own = [texts.iloc[i] for i in part]
                 cos = vectors(own, m.idf) @ m.centroids.T
                 best = cos.argmax(axis=1)

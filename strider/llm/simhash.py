@@ -15,7 +15,7 @@ from strider.llm.tables import drop_written, if_small, written
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory than its words.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 #: Fingerprints that share a segment value beyond which they are linked through whole-fingerprint balls.
 BUCKET = 256
 
@@ -27,14 +27,16 @@ def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    joined, count = b" ".join(words), len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, count) + 1) - 1
+    del words
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
-    lo, hi = starts[:n].tolist(), ends[min(width, len(words)) - 1 :][:n].tolist()
+    n = max(1, count - width + 1)
+    starts, ends = starts[:n], ends[min(width, count) - 1 :][:n]
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        yield np.array([digest(joined[s:e], SEED) for s, e in zip(lo[at : at + BLOCK], hi[at : at + BLOCK], strict=True)], "<u8")
+        spans = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
+        yield np.fromiter((digest(joined[s:e], SEED) for s, e in spans), "<u8", min(BLOCK, n - at))
 
 
 def _majority(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:

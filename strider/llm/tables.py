@@ -43,7 +43,7 @@ def drop_written(df: DataFrame) -> None:
 
 
 #: Rows of an Arrow batch of whole texts; their number has no effect on results.
-BATCH_ROWS = 500
+BATCH_ROWS = 100
 
 
 def small_batches(spark: SparkSession) -> None:
