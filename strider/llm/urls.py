@@ -13,6 +13,8 @@ from strider.llm.tables import written
 WORDS, WORD_BITS, BITS_PER_KEY = 8, 32, 16
 #: A filter of at most so many bytes is broadcast; a larger one is joined by block.
 BROADCAST_BYTES = 32 << 20
+#: Listed URLs that rows hit up to which these are broadcast; beyond that they are joined by URL and salt.
+BROADCAST_URLS, SALTS = 200_000, 32
 
 #: The rules of the ``pages`` query. (host, path) with what they say.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -70,13 +72,15 @@ def bloom_filter(listed: DataFrame, blocks: int, key: str = "key") -> DataFrame:
     )
 
 
-def filter_urls(urls: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url", rules=RULES) -> DataFrame:
+def filter_urls(urls: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url", rules=RULES, broadcast_urls: int = BROADCAST_URLS) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed, possible) of each row of ``urls``.
 
     verdict: the longest rule's, else block if the canonical URL is listed, else allow. The Bloom
     filter passes all listed URLs and a thousandth of the others (``possible``); their distinct
     values meet the list in an exact join. The filter takes 16 bits a listed URL and is broadcast
-    up to ``BROADCAST_BYTES``; beyond that it is joined by block. Null URLs have empty host and
+    up to ``BROADCAST_BYTES``; beyond that it is joined by block. Up to ``broadcast_urls`` listed URLs
+    that occur meet the rows by broadcast; beyond that only possible hits are shuffled, salted, so
+    that a URL of a third of all rows is dealt to many tasks. Null URLs have empty host and
     path and are never listed; repeated rows are judged each; empty tables give no rows.
     """
     keys = written(listed.select(canonical(F.col(listed_url)).alias("key")).where("key is not null").distinct(), "listed")
@@ -92,8 +96,15 @@ def filter_urls(urls: DataFrame, listed: DataFrame, page_id: str = "page_id", ur
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) != 0)
     probed = rows.withColumn("block", F.when(F.col("key").isNotNull(), block)).join(filters, "block", "left")
     marked = probed.select("page_id", "host", "path", "key", F.coalesce(hit, F.lit(False)).alias("possible"))
-    exact = marked.where("possible").select("key").distinct().join(keys, "key").select(F.col("key").alias("sure"))
-    judged = marked.join(exact, F.when(F.col("possible"), F.col("key")) == F.col("sure"), "left").withColumn("listed", F.col("sure").isNotNull())
+    exact = written(marked.where("possible").select("key").distinct().join(keys, "key").select(F.col("key").alias("sure")), "exact")
+    if exact.count() <= broadcast_urls:
+        judged = marked.join(F.broadcast(exact), F.when(F.col("possible"), F.col("key")) == F.col("sure"), "left")
+    else:
+        salted = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = marked.where("possible").withColumn("own", F.pmod(F.xxhash64("page_id", F.lit(2)), F.lit(SALTS)).cast("int"))
+        met = dealt.join(salted, (F.col("key") == F.col("sure")) & (F.col("own") == F.col("salt")), "left").drop("own", "salt")
+        judged = met.unionByName(marked.where("not possible").withColumn("sure", F.lit(None).cast("string")))
+    judged = judged.withColumn("listed", F.col("sure").isNotNull())
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     return judged.withColumn("by", rule).select(
         "page_id", "host", "path", F.col("by.rule").alias("rule"),
