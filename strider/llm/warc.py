@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strider.llm.tables import new_path, written
+from strider.llm.tables import if_small, new_path, written
 
 #: Payload bytes of a shard, and compressed bytes at which a file of it is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
@@ -68,29 +68,33 @@ def page_record(page_id, url: str | None, payload: bytes, digest: str, length: i
     return record("revisit", headers, _http(length, b""))
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, body, digest, bytes, refers_to, shard) of each page.
+def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> tuple[DataFrame, int]:
+    """(shard, page_id, digest, bytes, kept, url, body) and the number of shards.
 
     Of equal payloads of ``least`` bytes or more the one with the largest page_id is stored; rows
-    that repeat that id are stored too. body is null for revisits. Shards are runs of page_id of
-    about ``SHARD_BYTES``, cut from exact sums over ``RANGES`` equal ranges of ids, so they do not
-    depend on how the input is split.
+    that repeat that id are stored too. Each other page has, besides its row, a notice without body
+    whose ``kept`` is that page_id. Repeats are found on digests alone and notices travel with the
+    bodies, so each body is shuffled once, however many repeat. Shards are runs of page_id of about
+    ``SHARD_BYTES``, cut from exact sums over ``RANGES`` equal ranges of ids, so they do not depend
+    on how the input is split.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1("body")).withColumn("bytes", F.length("body").cast("long"))
-    first = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(first, ["digest", "bytes"], "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")), F.col("kept")))
-    lo, hi = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    sizes = written(rows.select("page_id", "digest", "bytes"), "digests")
+    repeated = sizes.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    repeated = written(repeated.where("n > 1 and kept is not null").drop("n"), "repeated")
+    notices = sizes.join(if_small(repeated), ["digest", "bytes"]).where("page_id is null or page_id < kept")
+    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     width = max(1, math.ceil((hi - lo + 1) / RANGES))
     at = F.coalesce(F.floor((F.col("page_id") - lo) / width), F.lit(-1))
-    sums = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.octet_length(F.col(html)), F.lit(0)).alias("bytes"))
-    sums = sums.groupBy(at.alias("range")).agg(F.sum("bytes").alias("bytes"))
+    sums = sizes.groupBy(at.alias("range")).agg(F.sum("bytes").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = sums.select("range", F.floor(before / SHARD_BYTES).cast("int").alias("shard"))
-    stored = F.when(F.col("refers_to").isNull(), F.col("body"))
-    return marked.withColumn("range", at).join(F.broadcast(shards), "range").select("page_id", "url", stored.alias("body"), "digest", "bytes", "refers_to", "shard")
+    shards = written(sums.select("range", F.floor(before / SHARD_BYTES).cast("int").alias("shard")), "shards")
+    both = rows.withColumn("kept", F.lit(None).cast("long")).unionByName(notices, allowMissingColumns=True)
+    plan = both.withColumn("range", at).join(F.broadcast(shards), "range").select("shard", "page_id", "digest", "bytes", "kept", "url", "body")
+    return plan, (shards.agg(F.max("shard")).first()[0] or 0) + 1
 
 
 def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **options) -> DataFrame:
@@ -102,12 +106,12 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **optio
     manifest is a table committed after all files; readers open only what it lists. An empty table
     writes no file.
     """
-    plan = plan_records(pages, **options)
+    plan, shards = plan_records(pages, **options)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _fs(uri)
         store.create_dir(root, recursive=True)
-        out, shard, number, state = [], None, 0, {}
+        out, shard, number, state, notice = [], None, 0, {}, (None, None)
 
         def close() -> None:
             if state:
@@ -118,6 +122,10 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **optio
 
         for b in batches:
             for r in b.itertuples(index=False):
+                own = r.page_id, r.digest, r.bytes
+                if r.kept is not None:
+                    notice = own, int(r.kept)
+                    continue
                 if r.shard != shard or state.get("size", 0) >= roll_bytes:
                     close()
                     shard, number = r.shard, number + 1 if r.shard == shard else 0
@@ -127,16 +135,18 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **optio
                     info = record("warcinfo", [("WARC-Record-ID", _record_id("file", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     state.update(name=name, to=store.open_output_stream(temporary, compression=None), n=0, size=len(info), **{"as": temporary})
                     state["to"].write(info)
-                key, refers = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
-                data = page_record(key, r.url, b"" if r.body is None else bytes(r.body), r.digest, int(r.bytes), refers)
+                refers = notice[1] if notice[0] == own else None
+                data = page_record(r.page_id, r.url, b"" if refers is not None else bytes(r.body), r.digest, int(r.bytes), refers)
                 state["to"].write(data)
                 state["n"] += 1
                 state["size"] += len(data)
         close()
         yield pd.DataFrame(out, columns=["file", "records", "bytes"])
 
-    shards = (plan.select("shard").agg(F.max("shard")).first()[0] or 0) + 1
-    dealt = plan.repartition(shards, "shard").sortWithinPartitions(F.col("shard"), F.col("page_id").asc_nulls_first(), "digest", "url")
+    order = [F.col("shard"), F.col("page_id").asc_nulls_first(), "digest", "bytes", F.col("kept").desc_nulls_last(), "url"]
+    dealt = plan.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
+    # As strings, ids stay exact where some are null.
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "kept")})
     return written(dealt.mapInPandas(of, "file string, records long, bytes long"), "manifest")
 
 

@@ -277,7 +277,9 @@ def test_urls(spark):
         (1, "http://A.b.net/x?q#f"), (2, "https://example.net/en/1"), (3, "x://sub.example.com/de/9"), (4, "http://q.org/fr/"), (5, None), (6, "no scheme"),
         (7, "http://www.bad.org/p/?utm_x=1&b=2&a=1"), (8, "https://bad.org/p?a=1&b=2#z"), (9, "http://notexample.net/en/"), (10, "http://x.net"), (10, "http://x.net"),
     ]
-    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([("http://bad.org/p/?b=2&a=1",), (None,)], "url string"))
+    given = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([("http://bad.org/p/?b=2&a=1",), (None,)], "url string")
+    got = urls.filter_urls(*given)
+    assert sorted(map(str, got.collect())) == sorted(map(str, urls.filter_urls(*given, broadcast_urls=0).select(*got.columns).collect()))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
     assert got[1] == ("a.b.net", "/x", "net/", "block") and got[2] == ("example.net", "/en/1", "example.net/en/", "allow")
     assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
