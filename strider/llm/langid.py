@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     """Learn from all rows of ``labelled`` with a label and a letter in the text.
 
     Document frequencies are counted over all of them. The centroids come from about ``sample`` rows
-    of each label, those whose text hashes lowest, in one task per label; only the model, of
+    of each label, those whose text hashes lowest, each text once, in one task per label; only the model, of
     ``clusters`` rows a label, comes to the driver. Clusters that look like mislabelled rows are
     dropped: the small ones, and those nearer to the mean of another language than to that of their
     own. No rows give a model that knows no language.
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     if sizes.count() <= MOST_LABELS:  # one row each; beyond that the join decides for itself
         sizes = F.broadcast(sizes)
     place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(sizes, "label").where(place < F.col("share"))
+    chosen = rows.join(sizes, "label").where(place < F.col("share")).select("label", "text").distinct()
 
     def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = vectors(sorted(group["text"]), idf)
