@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strider.operators import metrics, stats, violations
+from strider.plans import motion
 from strider.sources import manifest, tables
 
 DT, REST = 0.1, 0.15
@@ -212,8 +213,8 @@ SELECT g.pair_key, g.codec = p.codec AS same_codec, abs(g.dt-p.dt) <= 0.01*great
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | motion.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | motion.sql(_TEMPORAL, _KP + _D, _J)
