@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.llm.components import connected_components
@@ -15,8 +15,6 @@ from strider.llm.tables import written
 LEAST = 0.98
 #: Passes, random hash bits joined to a sort key in each, and rows of a block: a row meets at least so many on either side.
 PASSES, BITS, BLOCK = 8, 48, 512
-#: A block with this share of its pairs linked is inside a dense group, which the windows cut.
-DENSE = 0.5
 _PAIR = "kind int, a long, b long, na long, nb long"
 
 
@@ -59,9 +57,9 @@ def sorted_passes(reps: DataFrame, passes: int, bits: int, seed: int = 7) -> Dat
     return reps.select("label", "node", "n", "vec").mapInPandas(of, "pass int, label string, dim int, key long, node long, n long, vec array<double>")
 
 
-def _pairs(left: pd.DataFrame, right: pd.DataFrame, least: float, inside: bool) -> tuple[pd.DataFrame, float]:
-    """The linked pairs across two blocks, or inside one, and the share of its pairs that are."""
-    out, linked, all_pairs = [], 0, 0
+def _pairs(left: pd.DataFrame, right: pd.DataFrame, least: float, inside: bool) -> pd.DataFrame:
+    """The linked pairs across two blocks, or inside one."""
+    out = []
     for key, x in left.groupby(["pass", "label", "dim"], sort=False):
         y = x if inside else right[(right["pass"] == key[0]) & (right["label"] == key[1]) & (right["dim"] == key[2])]
         if not len(y):
@@ -74,17 +72,22 @@ def _pairs(left: pd.DataFrame, right: pd.DataFrame, least: float, inside: bool)
         na, nb = x["n"].to_numpy()[i], y["n"].to_numpy()[j]
         swap = a > b
         out.append(pd.DataFrame({"kind": 0, "a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb)}))
-        linked, all_pairs = linked + len(i), all_pairs + len(x) * (len(x) - 1) / 2
-    return (pd.concat(out) if out else pd.DataFrame(columns=["kind", "a", "b", "na", "nb"])), (linked / all_pairs if all_pairs else 0.0)
+    return pd.concat(out) if out else pd.DataFrame(columns=["kind", "a", "b", "na", "nb"])
+
+
+def _crossed(across: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+    """``across``, and, if it has any pair, a row of kind 1 that says so of the blocks i and j."""
+    return pd.concat([across, pd.DataFrame({"kind": [1], "a": [i], "b": [j], "na": [0], "nb": [0]})]) if len(across) else across
 
 
 def near_pairs(reps: DataFrame, least: float = LEAST, passes: int = PASSES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a < b, na, nb) of ``reps`` (label, node, n, vec) found with a cosine of ``least`` or more.
 
     Each pass sorts by label and key in ranges and numbers the rows from counts per range; blocks of
-    ``block`` rows are compared with themselves and the next. A dense group that fills a block
-    reaches farther than that window: all blocks of a run of such, with those beside it, are then
-    compared with each other, so what the window would cut is found exactly.
+    ``block`` rows are compared with themselves and the next. Where a link joins two blocks as far
+    apart as were compared, the window may cut a group, whatever its density: both blocks are then
+    compared with those up to twice as far on their sides, and so on until no link reaches the edge
+    or the label ends.
     """
     spark = reps.sparkSession
     order = ["pass", "label", "dim", "key", "node"]
@@ -102,26 +105,30 @@ def near_pairs(reps: DataFrame, least: float = LEAST, passes: int = PASSES, bits
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         own, beside = g[g["side"] == 0], g[g["side"] == 1]
-        inside, share = _pairs(own, own, least, True)
-        across, _ = _pairs(own, beside, least, False)
-        dense = pd.DataFrame({"kind": [1], "a": [key[0]], "b": [0], "na": [0], "nb": [0]}) if share >= DENSE and len(own) * 2 > block else inside[:0]
-        return pd.concat([inside, across, dense])
+        return pd.concat([_pairs(own, own, least, True), _crossed(_pairs(own, beside, least, False), key[0], key[0] + 1)])
+
+    def across(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return _crossed(_pairs(g[g["side"] == 0], g[g["side"] == 1], least, False), key[0], key[1])
 
     found = written(twice.groupBy("of").applyInPandas(compare, _PAIR), "pairs")
-    pairs = found.where("kind = 0").drop("kind")
-    dense = found.where("kind = 1").select(F.col("a").alias("block"))
-    if dense.head(1):
-        runs = connected_components(dense.select(F.col("block").alias("src"), (F.col("block") + 1).alias("dst")).unionByName(dense.select(F.col("block").alias("src"), (F.col("block") - 1).alias("dst"))).where("dst >= 0"))
-        one, two = runs.select("component", F.col("node").alias("i")), runs.select("component", F.col("node").alias("j"))
-        far = written(one.join(two, "component").where("j >= i + 2").select("i", "j").distinct(), "far")
-        left = rows.join(far, F.col("block") == F.col("i")).withColumn("side", F.lit(0))
-        right = rows.join(far, F.col("block") == F.col("j")).withColumn("side", F.lit(1))
-
-        def across(g: pd.DataFrame) -> pd.DataFrame:
-            return _pairs(g[g["side"] == 0], g[g["side"] == 1], least, False)[0]
-
-        pairs = pairs.unionByName(left.unionByName(right).groupBy("i", "j").applyInPandas(across, _PAIR).drop("kind"))
-    return pairs.where("a <> b").dropDuplicates(["a", "b"])
+    pairs, reach, ends = found, 1, None
+    while True:
+        edge = found.where((F.col("kind") == 1) & (F.col("b") - F.col("a") == reach)).select("a", "b")
+        if not edge.head(1):
+            break
+        if ends is None:  # the first and last block of the labels that each block holds
+            spans = Window.partitionBy("pass", "label", "dim")
+            held = rows.select("block", "pass", "label", "dim").distinct().withColumn("lo", F.min("block").over(spans)).withColumn("hi", F.max("block").over(spans))
+            ends = written(held.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "ends")
+        to = F.explode(F.sequence(F.lit(reach + 1), F.lit(2 * reach)))
+        right = edge.select(F.col("a").alias("block")).distinct().join(ends, "block").withColumn("to", to).select(F.col("block").alias("i"), (F.col("block") + F.col("to")).alias("j"), "hi").where("j <= hi")
+        left = edge.select(F.col("b").alias("block")).distinct().join(ends, "block").withColumn("to", to).select((F.col("block") - F.col("to")).alias("i"), F.col("block").alias("j"), "lo").where("i >= lo")
+        far = written(right.select("i", "j").unionByName(left.select("i", "j")).distinct(), "far")
+        one = rows.join(far, F.col("block") == F.col("i")).withColumn("side", F.lit(0))
+        two = rows.join(far, F.col("block") == F.col("j")).withColumn("side", F.lit(1))
+        found = written(one.unionByName(two).groupBy("i", "j").applyInPandas(across, _PAIR), "pairs")
+        pairs, reach = pairs.unionByName(found), 2 * reach
+    return pairs.where("kind = 0 and a <> b").drop("kind").dropDuplicates(["a", "b"])
 
 
 def embedding_duplicates(

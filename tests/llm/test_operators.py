@@ -252,6 +252,38 @@ def test_embedding_duplicates(spark):
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def brute_links(rows):
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([la for *_, la in rows])
+    return np.triu((x @ x.T >= 0.98) & (label[:, None] == label[None]), 1)
+
+
+def noisy(rng, centre, count, cosine):
+    """Rows whose cosine with each other is about ``cosine``."""
+    e = rng.standard_normal((count, len(centre)))
+    e -= np.outer(e @ centre, centre)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    size = np.sqrt(1 / cosine - 1) * rng.uniform(0.9, 1.1, (count, 1))
+    return centre + e * size
+
+
+def test_groups_larger_than_the_window(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.standard_normal(64))
+    straddling = noisy(rng, unit(), 900, 0.9785)
+    one = unit()
+    other = one + 0.3 * unit()
+    two = np.concatenate([noisy(rng, one, 450, 0.995), noisy(rng, other / np.linalg.norm(other), 450, 0.995)])
+    rows = [(i, v.tolist(), i // 900) for i, v in enumerate(np.concatenate([straddling, two]))]
+    link = brute_links(rows)
+    share = link[:900, :900].sum() / (900 * 899 / 2)
+    assert 0.2 < share < 0.45 and not link[900:1350, 1350:].any()
+    degree = (link + link.T).sum(axis=1)
+    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), passes=1, block=64).toPandas().set_index("vec_id")
+    assert (got.loc[range(1800), "n_links"].to_numpy() == degree).all()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     rows = vectors(spark, rng, copies=20)
