@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from strider.llm.components import connected_components
 from strider.llm.tables import written
 
 LEAST = 0.98
-#: Passes, random hash bits joined to a sort key in each, and rows of a block: a row meets at least so many on either side.
+#: Fewest passes, random hash bits joined to a sort key in each, and rows of a block: a row meets at least so many on either side.
 PASSES, BITS, BLOCK = 8, 48, 512
+#: Most probability that all passes miss a pair at exactly the least cosine among spread-out vectors.
+MISS = 0.001
 _PAIR = "kind int, a long, b long, na long, nb long"
 
 
@@ -57,6 +60,16 @@ def sorted_passes(reps: DataFrame, passes: int, bits: int, seed: int = 7) -> Dat
     return reps.select("label", "node", "n", "vec").mapInPandas(of, "pass int, label string, dim int, key long, node long, n long, vec array<double>")
 
 
+def passes_for(rows: int, least: float = LEAST, block: int = BLOCK, miss: float = MISS) -> int:
+    """Passes after which a pair at a cosine of ``least`` among ``rows`` of its label is missed with a probability of ``miss`` at most.
+
+    A sign bit of it differs with p = acos(least) / pi, and it meets in a pass if about
+    log2(rows / (1.5 * block)) leading bits agree; farther windows only add to that.
+    """
+    meet = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(rows, 1) / (1.5 * block)))
+    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(miss) / math.log1p(-meet)))
+
+
 def _pairs(left: pd.DataFrame, right: pd.DataFrame, least: float, inside: bool) -> pd.DataFrame:
     """The linked pairs across two blocks, or inside one."""
     out = []
@@ -133,7 +146,7 @@ def near_pairs(reps: DataFrame, least: float = LEAST, passes: int = PASSES, bits
 
 def embedding_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST,
-    passes: int = PASSES, bits: int = BITS, block: int = BLOCK,
+    passes: int | None = None, bits: int = BITS, block: int = BLOCK,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors``.
 
@@ -141,10 +154,14 @@ def embedding_duplicates(
     with each other and with all of a linked class without being paired; n_links counts rows. Rows
     that link with nothing (a null label; a vector that is null, empty, zero or holds null or
     non-finite components; a null id) are their own component. An empty table gives no rows.
+    ``passes`` follows from the classes of the largest label unless given.
     """
     rows = classes(vectors, vec_id, embedding, label)
     sums = rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     reps = written(sums.select("label", F.col("embedding").alias("vec"), "node", "n"), "classes")
+    if passes is None:
+        largest = reps.groupBy("label", F.size("vec")).count().agg(F.max("count")).first()[0]
+        passes = passes_for(largest or 0, least, block)
     pairs = written(near_pairs(reps, least, passes, bits, block), "links")
     ends = pairs.select(F.col("a").alias("node"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("node"), F.col("na").alias("m")))
     degree = ends.groupBy("node").agg(F.sum("m").alias("m"))

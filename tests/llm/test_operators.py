@@ -284,6 +284,14 @@ def test_groups_larger_than_the_window(spark):
     assert (got.loc[range(1800), "n_links"].to_numpy() == degree).all()
 
 
+def test_passes_grow_with_the_largest_label():
+    p = np.arccos(0.98) / np.pi
+    for rows in (0, 1, 768, 100_000, 1_000_000, 30_000_000):
+        meet = (1 - p) ** max(0, np.log2(max(rows, 1) / 768))
+        assert (1 - meet) ** neardup.passes_for(rows) <= neardup.MISS
+    assert neardup.passes_for(1000) == 8 < neardup.passes_for(1_000_000) < neardup.passes_for(30_000_000) < 20
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     rows = vectors(spark, rng, copies=20)
