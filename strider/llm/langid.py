@@ -18,7 +18,7 @@ UNKNOWN = "und"
 DIMS = (256, 2048, 6144)
 TOTAL = sum(DIMS)
 CLUSTERS = 4
-#: About so many labelled rows of each language are clustered; document frequencies use them all.
+#: About so many different labelled texts of each language are clustered; document frequencies use them all.
 SAMPLE = 1000
 #: A cluster needs this share of its language's sample.
 LEAST_SHARE = 0.05
@@ -106,8 +106,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, text: str = "text", label: str = "lang") -> Model:
     """Learn from all rows of ``labelled`` with a label and a letter in the text.
 
-    Document frequencies are counted over all of them. The centroids come from about ``sample`` rows
-    of each label, those whose text hashes lowest, each text once, in one task per label; only the model, of
+    Document frequencies are counted over all of them. The centroids come from about ``sample``
+    different texts of each label, or all if fewer, those that hash lowest, in one task per label; only the model, of
     ``clusters`` rows a label, comes to the driver. Clusters that look like mislabelled rows are
     dropped: the small ones, and those nearer to the mean of another language than to that of their
     own. No rows give a model that knows no language.
@@ -117,7 +117,8 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     )
     seen, n = _document_frequency(rows)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
-    sizes = written(rows.groupBy("label").count().select("label", (F.lit(float(sample)) / F.col("count")).alias("share")), "labels")
+    texts = rows.select("label", F.xxhash64("text").alias("h")).distinct().groupBy("label").count()
+    sizes = written(texts.select("label", (F.lit(float(sample)) / F.col("count")).alias("share")), "labels")
     if sizes.count() <= MOST_LABELS:  # one row each; beyond that the join decides for itself
         sizes = F.broadcast(sizes)
     place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))

@@ -176,6 +176,16 @@ def test_language(spark):
     assert langid.language_report(docs(spark, [(1, "a", None, "s")])).first().lang_pred == "und"
 
 
+def test_language_sample_counts_texts(spark):
+    rng = np.random.default_rng(3)
+    en, de = "the river was wide and old in that country".split(), "der fluss war breit und alt in jenem land".split()
+    rows = [(i, " ".join(rng.choice(la, 40)), name, "s") for i, (la, name) in enumerate([(en, "en"), (de, "de")] * 5)]
+    model = langid.fit(docs(spark, [rows[0]] * 3000 + rows), sample=10)
+    assert set(model.labels) == {"en", "de"}
+    few = docs(spark, [rows[0]] * 3000 + rows[::2])
+    assert set(langid.fit(few, sample=10).labels) == {"en"}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
