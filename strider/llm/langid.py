@@ -22,8 +22,10 @@ CLUSTERS = 4
 SAMPLE = 1000
 #: A cluster needs this share of its language's sample.
 LEAST_SHARE = 0.05
-#: Of the distances of clustered rows to their centroid; beyond the quantile times the factor a text is rejected.
-QUANTILE, SLACK = 0.98, 1.25
+#: Of the distances of clustered texts of a size to the nearest centroid; a text is rejected beyond the quantile plus the factor times its distance from the median.
+QUANTILE, SLACK = 0.98, 0.5
+#: Classes of the size of a text: the powers of the root of 2 of its letter bytes; those of fewer sampled pieces use the next.
+SIZES, LEAST_PIECES = 32, 20
 #: Labels up to which their sizes are broadcast.
 MOST_LABELS = 10_000
 #: Bytes profiled at a time.
@@ -53,17 +55,22 @@ def profile(text: str) -> np.ndarray:
     return out
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """Rows of length 1: (1 + log count) times idf, each n-gram length with the same share."""
+def sized_vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1: (1 + log count) times idf, each n-gram length with the same share; and the class of each text's size."""
     x = np.stack([profile(t) for t in texts]) if texts else np.zeros((0, TOTAL), np.float32)
+    size = (2 * np.log2(np.maximum(x[:, : DIMS[0]].sum(axis=1), 1))).astype(int).clip(0, SIZES - 1)
     np.log1p(x, out=x)
     x *= idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), size
+
+
+def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    return sized_vectors(texts, idf)[0]
 
 
 @dataclass(frozen=True)
 class Model:
-    """labels, one unit row of ``centroids`` each, and the cosine below which a text is rejected."""
+    """labels, one unit row of ``centroids`` each, and the cosine below which a text of each size is rejected."""
 
     labels: tuple[str, ...]
     centroids: np.ndarray
@@ -103,6 +110,52 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return own
 
 
+def bounds(texts: list[str], x: np.ndarray, own: np.ndarray, kept: list[int], idf: np.ndarray) -> np.ndarray:
+    """(len(kept), SIZES) least cosines of one language from pieces of its sampled texts.
+
+    Each text and, from its middle, its pieces of every size are measured against the clusters,
+    their own without the text itself. A bound is the lower one of the size and the next smaller
+    one, as a text at the lower end of a size lies farther than most of it. A size with few pieces in a cluster takes all of
+    the language, or the next smaller size's bound, or, if none is smaller, the next larger one's;
+    where there is no other text to tell, nothing is rejected.
+    """
+    sums = {j: x[own == j].sum(axis=0) for j in kept}
+    fine = [i for i in range(len(texts)) if own[i] in sums and (own == own[i]).sum() > 1]
+    rest = {i: sums[own[i]] - x[i] for i in fine}
+    units = np.stack([sums[j] / np.linalg.norm(sums[j]) for j in kept]) if kept else np.zeros((0, TOTAL))
+    far, size, of = [], [], []
+    for p in range(1, SIZES + 2):
+        long = {i: int(2 ** ((p + i * 0.618 % 1) / 2)) + 1 for i in fine}
+        use = [i for i in fine if len(texts[i]) >= long[i]] if p <= SIZES else fine
+        for at in range(0, len(use), 128):
+            part = use[at : at + 128]
+            cut = [texts[i] if p > SIZES else texts[i][(len(texts[i]) - long[i]) // 2 :][: long[i]] for i in part]
+            v, c = sized_vectors(cut, idf)
+            cos = v @ units.T
+            for row, i in enumerate(part):
+                if has_letter(cut[row]):
+                    cos[row, kept.index(own[i])] = v[row] @ rest[i] / max(np.linalg.norm(rest[i]), 1e-12)
+                    far.append(1 - cos[row].max())
+                    size.append(c[row])
+                    of.append(own[i])
+    far, size, of = np.array(far), np.array(size, int), np.array(of, int)
+
+    def least(d: np.ndarray) -> float:
+        q = np.quantile(d, QUANTILE)
+        return 1 - (q + SLACK * (q - np.median(d)))
+
+    out = np.full((len(kept), SIZES), np.nan)
+    for s in range(SIZES):
+        every = size == s
+        for row, j in enumerate(kept):
+            mine = every & (of == j)
+            use = mine if mine.sum() >= LEAST_PIECES else every
+            if use.sum() >= LEAST_PIECES:
+                out[row, s] = least(far[use])
+    out = pd.DataFrame(out).ffill(axis=1).bfill(axis=1).fillna(-1.0).to_numpy()
+    return np.minimum(out, np.concatenate([out[:, :1], out[:, :-1]], axis=1))
+
+
 def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, text: str = "text", label: str = "lang") -> Model:
     """Learn from all rows of ``labelled`` with a label and a letter in the text.
 
@@ -125,25 +178,26 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     chosen = rows.join(sizes, "label").where(place < F.col("share")).select("label", "text").distinct()
 
     def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = vectors(sorted(group["text"]), idf)
+        texts = sorted(group["text"])
+        x = vectors(texts, idf)
         mean = x.mean(axis=0)
         own, out = spherical_kmeans(x, clusters), [(key[0], (mean / np.linalg.norm(mean)).tolist(), None)]
-        for j in np.unique(own):
-            if (own == j).sum() >= LEAST_SHARE * len(x):
-                c = x[own == j].mean(axis=0)
-                c /= np.linalg.norm(c)
-                far = float(np.quantile(1 - x[own == j] @ c, QUANTILE))
-                out.append((key[0], c.astype(np.float64).tolist(), 1 - far * SLACK))
+        kept = [int(j) for j in np.unique(own) if (own == j).sum() >= LEAST_SHARE * len(x)]
+        for j, least in zip(kept, bounds(texts, x, own, kept, idf), strict=True):
+            c = x[own == j].mean(axis=0)
+            c /= np.linalg.norm(c)
+            out.append((key[0], c.astype(np.float64).tolist(), least.tolist()))
         return pd.DataFrame(out, columns=["label", "centroid", "least"])
 
-    found = chosen.select("label", "text").groupBy("label").applyInPandas(cluster, "label string, centroid array<double>, least double").toPandas()
-    found = found.sort_values(["label", "least"], kind="stable")
+    found = chosen.select("label", "text").groupBy("label").applyInPandas(cluster, "label string, centroid array<double>, least array<double>").toPandas()
+    found["order"] = [tuple(c) for c in found["centroid"]]
+    found = found.sort_values(["label", "order"], kind="stable").drop(columns="order")
     means, found = found[found["least"].isna()], found[found["least"].notna()]
     if len(found):
         nearest = (np.stack(found["centroid"]) @ np.stack(means["centroid"]).T).argmax(axis=1)
         found = found[means["label"].to_numpy()[nearest] == found["label"].to_numpy()]
     centroids = np.stack(found["centroid"].map(np.asarray).tolist()) if len(found) else np.zeros((0, TOTAL))
-    return Model(tuple(found["label"]), centroids.astype(np.float32), found["least"].to_numpy(float), idf)
+    return Model(tuple(found["label"]), centroids.astype(np.float32), np.array(found["least"].tolist(), float).reshape(-1, SIZES), idf)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -151,8 +205,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is all if the
     model knows no language. Others get the language of the nearest centroid; rejected if even that
-    is farther than nearly all texts it was learned from, and not for being short: a text of few
-    n-grams lies far from any centroid, so the bound is for texts of ``FULL`` letters or more.
+    is farther than nearly all pieces of the same size of texts it was learned from: a text of few
+    n-grams lies far from any centroid, so each size has its own bound.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -166,22 +220,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for at in range(0, len(known), 128):
                 part = known[at : at + 128]
                 own = [texts.iloc[i] for i in part]
-                cos = vectors(own, m.idf) @ m.centroids.T
+                x, size = sized_vectors(own, m.idf)
+                cos = x @ m.centroids.T
                 best = cos.argmax(axis=1)
                 score = np.clip(cos[np.arange(len(part)), best].astype(float), 0, 1)
                 out.loc[part, "lang_pred"] = [m.labels[j] for j in best]
                 out.loc[part, "score"] = score
-                full = np.array([len(t) >= FULL for t in own])
-                out.loc[part, "rejected"] = full & (score < m.least[best])
+                out.loc[part, "rejected"] = score < m.least[best, size]
             yield out
 
     return docs.withColumn("__lang", of(F.col(text))).select(*docs.columns, "__lang.*")
 
 
-#: Characters from which the distance bound holds.
-FULL = 400
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

@@ -186,6 +186,25 @@ def test_language_sample_counts_texts(spark):
     assert set(langid.fit(few, sample=10).labels) == {"en"}
 
 
+def word_list(rng, letters, count=300):
+    return ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(count)]
+
+
+def test_language_rejection_by_length(spark):
+    rng = np.random.default_rng(4)
+    known = {"a": word_list(rng, "aeiotnsrhd"), "b": word_list(rng, "äöüßeiklmu")}
+    unlearned = word_list(rng, "абвгдежзик")
+    text = lambda words, n: " ".join(rng.choice(words, n))
+    train = [(i, text(known["ab"[i % 2]], n), "ab"[i % 2], "s") for i, n in enumerate([4, 30, 400] * 100)]
+    junk = lambda n: "".join(rng.choice(list("qxzjwvkpfg "), n))
+    test = [(i, text(known["ab"[i % 2]], 12 if i < 1050 else 300), "clean", "short" if i < 1050 else "long") for i in range(1000, 1100)]
+    test += [(i, text(unlearned, 12 if i < 2050 else 300), "unlearned", "short" if i < 2050 else "long") for i in range(2000, 2100)]
+    test += [(i, junk(70 if i < 3050 else 2000), "junk", "short" if i < 3050 else "long") for i in range(3000, 3100)]
+    got = langid.predict(docs(spark, test), langid.fit(docs(spark, train))).toPandas()
+    share = got.groupby(["lang", "source"]).rejected.mean()
+    assert (share["clean"] <= 0.08).all() and (share["unlearned"] >= 0.95).all() and (share["junk"] >= 0.95).all()
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
