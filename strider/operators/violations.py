@@ -25,8 +25,10 @@ def scores(kp: DataFrame, bones: list[tuple[int, int]], rest: float, gap: int =
     )
 
 
-def thresholds(frames: DataFrame, score: str, pct: float = 95.0, floor: float = 0.0) -> DataFrame:
-    """The percentile of a score over all real frames, at least ``floor``."""
+def thresholds(frames: DataFrame, score: str, pct: float = 95.0, floor: float = 0.0, higher_is_worse: bool = True) -> DataFrame:
+    """The percentile of a score over all real frames, at least ``floor``; where lower is worse, that of 100 - pct, without a floor."""
+    if not higher_is_worse:
+        return frames.agg(F.percentile(score, F.lit((100 - pct) / 100)).alias("threshold"))
     return frames.agg(F.greatest(F.percentile(score, F.lit(pct / 100)), F.lit(floor)).alias("threshold"))
 
 
@@ -36,10 +38,14 @@ def intervals(flags: DataFrame) -> DataFrame:
     return flags.where("flag").withColumn("i", island).groupBy("clip", "i").agg(F.min("t").alias("first"), F.max("t").alias("last")).drop("i")
 
 
-def report(frames: DataFrame, score: str, threshold: DataFrame) -> DataFrame:
-    """Per clip: threshold, share and number of flagged frames, median and 90th percentile of severity, number of runs."""
-    rows = frames.crossJoin(F.broadcast(threshold)).withColumn("flag", F.col(score) > F.col("threshold"))
-    severity = F.col(score) / F.col("threshold")
+def report(frames: DataFrame, score: str, threshold: DataFrame, higher_is_worse: bool = True) -> DataFrame:
+    """Per clip: threshold, share and number of flagged frames, median and 90th percentile of severity, number of runs.
+
+    A severity above 1 is beyond the threshold in either direction.
+    """
+    worse = F.col(score) > F.col("threshold") if higher_is_worse else F.col(score) < F.col("threshold")
+    rows = frames.crossJoin(F.broadcast(threshold)).withColumn("flag", worse)
+    severity = F.col(score) / F.col("threshold") if higher_is_worse else F.col("threshold") / F.greatest(F.col(score), F.lit(1e-9))
     runs = intervals(rows.select("clip", "t", "flag")).groupBy("clip").agg(F.count("*").alias("runs"))
     return rows.groupBy("clip").agg(
         F.round(F.first("threshold"), 2).alias("threshold"), F.round(F.avg(F.col("flag").cast("double")), 3).alias("fraction"), F.count_if("flag").alias("n_flagged"),
@@ -60,10 +66,12 @@ def bend_angles(kp: DataFrame, points: int) -> DataFrame:
     return kp.select("clip", "t", F.posexplode(F.array(*angles)).alias("joint", "angle"))
 
 
-def joint_envelope(angles: DataFrame) -> DataFrame:
-    """Per clip, the most any frame leaves the 1 to 99 % range of its joint over all real frames."""
+def bend_excess(angles: DataFrame) -> DataFrame:
+    """(clip, t, bend): the most a frame leaves the 1 to 99 % range of a joint over all real frames, in degrees."""
     fit = angles.groupBy("joint").agg(F.percentile("angle", F.lit(0.01)).alias("lo"), F.percentile("angle", F.lit(0.99)).alias("hi"))
-    out = angles.join(fit, "joint").groupBy("clip", "t").agg(F.max(S.excess(F.col("angle"), F.col("lo"), F.col("hi"))).alias("x"))
-    return out.groupBy("clip").agg(F.max("x").alias("worst"), F.avg("x").alias("mean"))
+    return angles.join(fit, "joint").groupBy("clip", "t").agg(F.max(S.excess(F.col("angle"), F.col("lo"), F.col("hi"))).alias("bend"))
 
 
+def joint_envelope(angles: DataFrame) -> DataFrame:
+    """Per clip, the most and the mean by which frames leave the 1 to 99 % range of a joint over all real frames."""
+    return bend_excess(angles).groupBy("clip").agg(F.max("bend").alias("worst"), F.avg("bend").alias("mean"))

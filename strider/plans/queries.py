@@ -9,7 +9,7 @@ from strider.operators import metrics, stats, violations
 from strider.plans import motion
 from strider.sources import manifest, tables
 
-DT, REST = 0.1, 0.15
+DT, REST, BEND_FLOOR = 0.1, 0.15, 3.0
 LIMITS, SPEEDS, EFFORTS = [(0.1, 0.9), (0.5, 8.0)], [5.0, 40.0], [10.0, 20.0]
 
 
@@ -33,14 +33,19 @@ def _frames(kp: DataFrame) -> DataFrame:
     return violations.scores(kp, tables.BONES, REST)
 
 
-def _report(score: str):
+def _report(score: str, higher_is_worse: bool = True):
     def of(kp: DataFrame) -> DataFrame:
         frames = _frames(kp)
-        return violations.report(frames, score, violations.thresholds(frames, score))
+        return violations.report(frames, score, violations.thresholds(frames, score, higher_is_worse=higher_is_worse), higher_is_worse)
 
     return _kp(of)
 
 
+def _bend_report(kp: DataFrame) -> DataFrame:
+    frames = violations.bend_excess(violations.bend_angles(kp, tables.POINTS))
+    return violations.report(frames, "bend", violations.thresholds(frames, "bend", floor=BEND_FLOOR))
+
+
 def _taxes(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         stats.paired_deltas(tables.scores(spark, d, m)).groupBy("method").agg(F.median("delta").alias("tax")).withColumn("metric", F.lit(m)).withColumn("direction", F.lit(way))
@@ -129,6 +134,8 @@ _QUERIES = {
     "violations_teleport": _report("teleport"),
     "violations_jerk": _report("jerk"),
     "violations_rigidity": _report("rigidity"),
+    "violations_collision": _report("collision", higher_is_worse=False),
+    "violations_bend": _kp(_bend_report),
     "violation_scores": _kp(lambda kp: _frames(kp)),
     "violations_joint_envelope": _kp(lambda kp: violations.joint_envelope(violations.bend_angles(kp, tables.POINTS))),
     "episode_cap": episode_cap,
