@@ -40,12 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each reported span; a widely copied example that no base pattern matches stays."""
+    """Replaces each reported span; a widely copied example that no base pattern matches stays.
+
+    Spans belong to a doc_id and text, so other texts of a repeated doc_id keep what lies there.
+    """
     small_batches(spark)
-    judged = secrets.judged(docs, ["doc_id"]).select("doc_id", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
-    found = judged.where(F.size("__spans") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
+    judged = secrets.judged(docs.withColumn("__digest", F.xxhash64("text")), ["doc_id", "__digest"]).select("doc_id", "__digest", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
+    found = judged.where(F.size("__spans") > 0).groupBy("doc_id", "__digest").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
     found = written(found.withColumnRenamed("doc_id", "__id"), "found")
-    marked = docs.join(if_small(found), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    of = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
+    marked = docs.join(if_small(found), of, "left").drop("__id", "__digest")
 
     @F.pandas_udf("string")
     def redacted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
