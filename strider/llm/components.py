@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 from strider.llm.tables import drop_written, written
 
 MAX_ROUNDS = 60
+#: Parts that the neighbours of a hub are dealt to where they meet what is known of it.
+SALTS = 16
+#: Neighbours from which a node is a hub.
+HUB = 1000
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _with_least(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (key, value) with ``m``, the least value of each key; and the table of the latter.
+
+    Rows of a hub are dealt to ``SALTS`` parts, its least value goes to each: no task gets all of
+    them. The least values are summed up before the shuffle.
+    """
+    least = written(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.where(F.col("n") >= HUB)
+    if not hubs.head(1):
+        return rows.join(least.drop("n"), key), least
+    salt = F.pmod(F.xxhash64(F.col(value), F.lit(5)), F.lit(SALTS)).cast("int")
+    spread = least.withColumn("salt", F.explode(F.when(F.col("n") >= HUB, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    # Rows of other nodes look for part 0; which nodes are hubs is told by a row for each part of them.
+    parts = hubs.select(F.col(key).alias("hub"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    dealt = rows.withColumn("salt", salt).join(parts, (F.col(key) == F.col("hub")) & (F.col("salt") == F.col("part")), "left")
+    dealt = dealt.select(key, value, F.when(F.col("hub").isNull(), 0).otherwise(F.col("salt")).alias("salt"))
+    return dealt.join(spread.drop("n"), [key, "salt"]).drop("salt"), least
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node of ``edges``; component is the smallest node reachable.
 
@@ -34,18 +57,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        roots = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(roots, "a")
-            .where("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(roots.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
+        met, one = _with_least(both, "u", "v")
+        large = written(met.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct(), "large")
+        pairs, two = _with_least(large, "a", "b")
+        small = pairs.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
         then = written(small, "edges")
-        drop_written(now)
+        drop_written(now, large, one, two)
         now, before, seen = then, seen, _signature(then)
         if seen == before:
             break

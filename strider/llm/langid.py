@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +30,12 @@ MOST_LABELS = 10_000
 #: Bytes profiled at a time.
 BLOCK = 1 << 16
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter by its Unicode category, which is what ``\\p{L}`` says in Spark."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def profile(text: str) -> np.ndarray:
@@ -200,13 +199,14 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE, tex
     return Model(tuple(found["label"]), centroids.astype(np.float32), np.array(found["least"].tolist(), float).reshape(-1, SIZES), idf)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (the best cosine, 0 to 1) and ``rejected``.
+def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (the best cosine, 0 to 1) and ``rejected``, each name after ``prefix``.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, as is all if the
     model knows no language. Others get the language of the nearest centroid; rejected if even that
     is farther than nearly all pieces of the same size of texts it was learned from: a text of few
-    n-grams lies far from any centroid, so each size has its own bound.
+    n-grams lies far from any centroid, so each size has its own bound. Columns of ``docs`` of the
+    same names give way.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -217,8 +217,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
             known = [i for i, t in enumerate(texts) if has_letter(t)] if m.labels else []
-            for at in range(0, len(known), 128):
-                part = known[at : at + 128]
+            for at in range(0, len(known), 32):
+                part = known[at : at + 32]
                 own = [texts.iloc[i] for i in part]
                 x, size = sized_vectors(own, m.idf)
                 cos = x @ m.centroids.T
@@ -229,7 +229,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out.loc[part, "rejected"] = score < m.least[best, size]
             yield out
 
-    return docs.withColumn("__lang", of(F.col(text))).select(*docs.columns, "__lang.*")
+    names = {c: prefix + c for c in ("lang_pred", "score", "rejected")}
+    kept = [c for c in docs.columns if c not in names.values()]
+    judged = docs.select(*kept, of(F.col(text)).alias("__judged"))
+    return judged.select(*kept, *[F.col(f"__judged.{c}").alias(n) for c, n in names.items()])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.tables import written
+from strider.llm.tables import is_small, written
 
 # The base patterns and the least lengths of what they match.
 KINDS = ("assign", "access", "hex")
@@ -24,8 +24,11 @@ ADDED = "owned"
 _BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|x{4}|0{6}|1234567", re.I)
 
-MAX_OWNERS = 1
+#: A value that more owners, or more repositories, have is a widely copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 MIN_BITS = 3.0
+#: Parts that the rows of a hash are dealt to where they meet what is known of it.
+SALTS = 16
 
 _SPAN = "array<struct<start:long,rank:int,kind:string,end:long,hash:string,live_looking:boolean>>"
 
@@ -76,12 +79,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", min_bits: float =
     return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(of, schema)
 
 
-def ownership(found: DataFrame, owner: str = "owner", repository: str = "repository", max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, owner: str = "owner", repository: str = "repository", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(hash, repositories, owners, copied) of each candidate hash of rows with ``found``.
 
-    A null owner or repository is one of its own. Counts go through (hash, repository) and
-    (hash, owner) groups, which are summed before each shuffle, so that a hash in a third of all
-    rows is no large group. copied: more than ``max_owners`` owners have it.
+    A null owner or repository is one of its own; owners count apart where they have a repository
+    of the same name. Counts go through (hash, owner, repository) groups, which are summed before
+    each shuffle, so that a hash in a third of all rows is no large group. copied: more than
+    ``max_owners`` owners or ``max_repositories`` repositories have it.
     """
     each = found.select(
         F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"),
@@ -91,39 +95,48 @@ def ownership(found: DataFrame, owner: str = "owner", repository: str = "reposit
     by_owner = pairs.groupBy("hash", "o").agg(F.sum("one").alias("repositories"))
     return (
         by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
-        .withColumn("copied", F.col("owners") > max_owners)
+        .withColumn("copied", (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories))
     )
 
 
+_JUDGED = "array<struct<start:long,rank:int,kind:string,end:long,copied:boolean>>"
+
+
 def judged(
     docs: DataFrame, keep: list[str], text: str = "text", owner: str = "source", repository: str = "doc_id",
-    max_owners: int = MAX_OWNERS, min_bits: float = MIN_BITS,
+    max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, min_bits: float = MIN_BITS,
 ) -> DataFrame:
-    """The columns ``keep``, n_live, n_example and ``spans`` of each row.
-
-    Base matches are always spans. Others become spans of kind ``owned`` if they look live and at
-    most ``max_owners`` owners have their hash anywhere in the corpus; what more owners have is a
-    widely copied example and adds nothing. n_live and n_example count the spans and candidates of
-    either sort. The table in the shared folder holds spans, never texts.
+    """The columns ``keep`` of each row, n_live, n_example, most_owners, most_repositories and ``spans``.
+
+    Base matches are always spans. Others become spans of kind ``owned`` if they look live and few
+    owners and repositories have their hash anywhere in the corpus; the rest are widely copied
+    examples and add nothing. n_live and n_example count the spans and candidates of either sort,
+    the other two are the largest counts of any candidate of the row. The table in the shared folder
+    holds spans, never texts. What is known of a hash is broadcast while that is small; else it
+    meets the rows by hash and salt, so that a hash in a third of them is dealt to many tasks.
     """
     named = docs.select(*keep, F.col(text).alias("__text"), F.col(owner).alias("__owner"), F.col(repository).alias("__repository"))
     found = written(
         scan(named, [*keep, "__owner", "__repository"], "__text", min_bits).withColumn("__row", F.monotonically_increasing_id()), "spans"
     )
     some = found.where(F.size("found") > 0)
-    owners = ownership(some, "__owner", "__repository", max_owners)
-    known = (
-        some.select("__row", F.explode("found").alias("s")).select("__row", "s", F.col("s.hash").alias("hash"))
-        .join(owners.select("hash", "copied"), "hash")
-        .groupBy("__row").agg(
-            F.collect_list(F.when((F.col("s.rank") < 3) | (F.col("s.live_looking") & ~F.col("copied")), F.struct("s.start", "s.rank", "s.kind", "s.end", "copied"))).alias("spans"),
-            F.count_if(F.col("s.live_looking") & ~F.col("copied")).alias("n_live"),
-            F.count_if("copied").alias("n_example"),
-        )
+    owners = written(ownership(some, "__owner", "__repository", max_owners, max_repositories), "owners")
+    each = some.select("__row", F.explode("found").alias("s")).select("__row", "s", F.col("s.hash").alias("hash"))
+    if is_small(owners):
+        met = each.join(F.broadcast(owners), "hash")
+    else:
+        salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = each.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    live = F.col("s.live_looking") & ~F.col("copied")
+    known = met.groupBy("__row").agg(
+        F.collect_list(F.when((F.col("s.rank") < 3) | live, F.struct("s.start", "s.rank", "s.kind", "s.end", "copied"))).alias("spans"),
+        F.count_if(live).alias("n_live"), F.count_if("copied").alias("n_example"),
+        F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
     )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return found.join(known, "__row", "left").select(
-        *keep, F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
-        F.coalesce(F.array_sort("spans"), F.array().cast("array<struct<start:long,rank:int,kind:string,end:long,copied:boolean>>")).alias("spans"),
+        *keep, *map(zero, ("n_live", "n_example", "most_owners", "most_repositories")),
+        F.coalesce(F.array_sort("spans"), F.array().cast(_JUDGED)).alias("spans"),
     )
 
 
@@ -142,7 +155,7 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", o
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return judged(rows, ["doc_id"], **options).select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example",
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_example", "most_owners", "most_repositories",
     )
 
 

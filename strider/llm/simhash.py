@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -39,17 +41,18 @@ def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[s:e], SEED) for s, e in spans), "<u8", min(BLOCK, n - at))
 
 
-def _majority(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
-    """64 bits for each lane: those set in over half the hashes; zeros if there are none. Further lanes rehash them."""
-    ones, n = np.zeros((lanes, 64), np.int64), 0
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    """The 64 bits set in over half the hashes; zeros if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
     for h in blocks:
         n += len(h)
-        for lane in range(lanes):
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(axis=0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return (2 * ones > n).ravel()
+        ones += _set_bits(h)
+    return 2 * ones > n
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -149,159 +152,243 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id) of each row of ``docs``.
 
     fingerprint is 16 lower-case hex digits; component_id the smallest doc_id reachable through
-    fingerprints within ``max_bits`` bits. Equal fingerprints are one node, so copies are never
-    paired. Null and empty texts have fingerprint zero and link like any other; repeated rows stay;
-    rows whose doc_id is null have a fingerprint, and the smallest doc_id of those they link with
-    through an equal fingerprint (null if there is none); an empty table gives no rows.
+    fingerprints within ``max_bits`` bits. Fingerprints are the nodes, so copies are never paired
+    and an id that repeats joins nothing but its fingerprints' groups. Null and empty texts have
+    fingerprint zero and link like any other, and so do rows without a doc_id, whose component_id is
+    null only if their group has no id at all. Repeated rows stay; an empty table gives no rows.
     """
     fps = written(
         fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", width).select("doc_id", "fp"),
         "fingerprints",
     )
-    nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    # Two fingerprints may have the same smallest doc_id where an id repeats; they are then one node.
-    links = near_links(nodes, max_bits, segments, bucket)
-    found = connected_components(links)
-    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp", "left").select(
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = connected_components(near_links(least.select(F.col("fp").alias("node"), "fp"), max_bits, segments, bucket))
+    joined = written(least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = written(joined.join(ids, "component").select("fp", "component_id"), "groups")
+    drop_written(least, joined)
+    return fps.join(if_small(of), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-#: A wide fingerprint: 64-bit lanes and the segments they are cut into, 20 bits each.
-LANES, WIDE_SEGMENTS = 5, 16
-#: Bits of a wide fingerprint, and of its first two lanes, in which candidates may differ. Shingle sets with a Jaccard
-#: similarity of 0.8 differ in 48 of 320 bits on average, with a deviation of 6; unrelated ones in 160.
-WIDE_BITS, FIRST_BITS = 68, 38
-#: Nodes that share a segment value beyond which each is compared with the smallest of them first.
-CROWD = 4
+#: A wide fingerprint: bits of a segment at least, and segments. Tables of more than 2 ** (bits - 3) nodes take wider segments.
+LEAST_BITS, WIDE_SEGMENTS = 20, 16
+#: Values of a segment that a node looks up, its own among them, at ``LEAST_BITS``; each further bit takes so many times more
+#: for the same recall (simulated: of pairs at 0.8 with 20, 24, 28 and 32 bits 0.996, 0.994, 0.992 and 0.990 meet).
+PROBES, PROBES_A_BIT = 12, 1.25
+#: Bits of a segment that may be taken to differ, those with the closest vote, and how many of them at once, for up to so many probes.
+CLOSE = {24: (8, 3), 1 << 30: (12, 4)}
+#: The share of bits of a wide fingerprint in which candidates may differ, and bits of its first lane. Shingle sets with a
+#: Jaccard similarity of 0.8 differ in 15 % of the bits: of 320 in 48 with a deviation of 6, of 64 in 9.6 with one of 2.9; unrelated ones in half.
+WIDE_SHARE, FIRST_BITS = 0.2125, 20
+#: Nodes that share a segment value beyond which those of the commonest component are not compared with each other.
+CROWD = 64
 #: The least Jaccard similarity of linked documents.
 LEAST = 0.8
 
+def segment_bits(nodes: int) -> int:
+    """Bits of a segment for so many nodes: chance meetings of a node stay about the same however many there are."""
+    return min(60, max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1))) + 3))
+
+
+def segment_probes(bits: int) -> int:
+    return round(PROBES * PROBES_A_BIT ** (bits - LEAST_BITS))
+
+
+def turns(probes: int) -> np.ndarray:
+    """(subsets, bits): which of the closest bits a subset turns; the first turns none."""
+    of, at_once = next(v for most, v in CLOSE.items() if probes <= most)
+    subsets = [s for r in range(at_once + 1) for s in combinations(range(of), r)]
+    out = np.zeros((len(subsets), of), np.float32)
+    for i, s in enumerate(subsets):
+        out[i, list(s)] = 1
+    return out
+
+
+def _votes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Of each bit of a SimHash of ``bits`` bits, by how much more of the set hashes have it than not, in steps of a 127th of the clearest; never zero. Lanes beyond the first rehash."""
+    lanes = -(-bits // 64)
+    ones = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        h = hashes[at : at + BLOCK]
+        for lane in range(lanes):
+            ones[lane] += _set_bits(h)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    lead = 2 * ones.ravel()[:bits] - len(hashes)
+    size = np.maximum(1, np.abs(lead) * 127 // max(1, int(np.abs(lead).max())))
+    return np.where(lead > 0, size, -size).astype(np.int8)
+
 
-def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 5) -> DataFrame:
-    """The columns ``keep`` of each row with ``cls`` (a digest of its set of shingles), ``fp`` (``LANES`` longs, SimHash of that set) and ``segs`` (``WIDE_SEGMENTS`` ints, each with its number in the bits above its value)."""
+def ball(votes: np.ndarray, bits: int, probes: int) -> np.ndarray:
+    """(rows, segments, probes) segment values: each row's own first, then those of its Hamming ball that a like text most likely has.
 
-    @F.pandas_udf("cls binary, fp array<long>, segs array<int>")
+    A bit with a close vote is the one that a small change of the text turns, so values are taken in
+    order of the sum of squared votes of the bits that they turn.
+    """
+    parts, turned = votes.reshape(len(votes), WIDE_SEGMENTS, bits), turns(probes)
+    own = (parts > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    close = np.argsort(np.abs(parts), axis=2, kind="stable")[:, :, : turned.shape[1]]
+    cost = np.take_along_axis(parts, close, axis=2) ** 2 @ turned.T
+    best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+    masks = (np.int64(1) << close) @ turned.T.astype(np.int64)
+    return own[:, :, None] ^ np.take_along_axis(masks, best, axis=2)
+
+
+def wide_votes(docs: DataFrame, keep: list[str], bits: int, text: str = "text", width: int = 5) -> DataFrame:
+    """The columns ``keep`` of each row with ``cls``, a digest of its set of shingles, and ``votes``, a byte for each of the ``WIDE_SEGMENTS * bits`` bits of the SimHash of that set."""
+
+    @F.pandas_udf("cls binary, votes binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        width_bits = 64 * LANES // WIDE_SEGMENTS
-        weights, number = 1 << np.arange(width_bits), np.arange(WIDE_SEGMENTS) << width_bits
         for texts in batches:
-            cls, bits = [], np.zeros((len(texts), 64 * LANES), bool)
-            for i, t in enumerate(texts):
+            out = []
+            for t in texts:
                 own = shingle_set(t, width)
-                cls.append(xxhash.xxh3_128_digest(own.tobytes()))
-                bits[i] = _majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), LANES)
-            fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pd.DataFrame({"cls": cls, "fp": list(fp), "segs": list((bits.reshape(len(bits), WIDE_SEGMENTS, -1) @ weights + number).astype(np.int32))})
+                out.append((xxhash.xxh3_128_digest(own.tobytes()), _votes(own, WIDE_SEGMENTS * bits).tobytes()))
+            yield pd.DataFrame(out, columns=["cls", "votes"])
 
     return docs.select(*keep, of(F.col(text)).alias("__wide")).select(*keep, "__wide.*")
 
 
-def _posts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, c, p0, p1, val): the segments of each node, and with them those one bit away. Of two values one bit apart only the one with the bit unset probes."""
-    bits = 64 * LANES // WIDE_SEGMENTS
-    base = nodes.select("node", "c", F.element_at("fp", 1).alias("p0"), F.element_at("fp", 2).alias("p1"), F.explode("segs").alias("val"))
-    flips = (
-        base.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).where("getbit(val, i) = 0")
-        .withColumn("val", F.expr("val | shiftleft(1, i)")).drop("i")
-    )
-    return base, base.unionByName(flips)
+def wide_fingerprints(nodes: DataFrame, bits: int) -> DataFrame:
+    """(node, fp, segs) of (node, votes): the SimHash as longs, and the :func:`ball` of each segment, its number in the bits above the values."""
+    probes, total = _stride(bits), WIDE_SEGMENTS * bits
+    number = (np.arange(WIDE_SEGMENTS, dtype=np.int64) << bits)[None, :, None]
 
+    @F.pandas_udf("fp array<long>, segs array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            votes = np.frombuffer(b"".join(b), np.int8).reshape(len(b), total).astype(np.float32)
+            fp = np.packbits(np.pad(votes > 0, ((0, 0), (0, -total % 64))), axis=1, bitorder="little").view("<i8")
+            yield pd.DataFrame({"fp": list(fp), "segs": list((ball(votes, bits, probes) + number).reshape(len(b), -1))})
 
-_FIRST = "bit_count(p0 ^ q0) + bit_count(p1 ^ q1)"
+    return nodes.select("node", of("votes").alias("__wide")).select("node", "__wide.*")
 
 
-def _within(met: DataFrame, nodes: DataFrame, wide_bits: int) -> DataFrame:
-    """Distinct (src < dst) of ``met`` (node, dst) whose whole distance is at most ``wide_bits``."""
-    met = met.select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst")).distinct()
-    one = nodes.select(F.col("node").alias("src"), F.col("fp").alias("f"))
-    two = nodes.select(F.col("node").alias("dst"), F.col("fp").alias("g"))
-    distance = F.aggregate(F.zip_with("f", "g", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return met.join(one, "src").join(two, "dst").where(distance <= wide_bits).select("src", "dst").distinct()
+def _stride(bits: int) -> int:
+    """Values of a segment in :func:`ball`."""
+    return min(segment_probes(bits), len(turns(segment_probes(bits))))
 
 
-def crowded_values(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(val, lead): the segment values of more than ``crowd`` nodes, with the smallest of these."""
-    sizes = nodes.select("node", F.explode("segs").alias("val")).groupBy("val").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
-    return written(sizes.where(F.col("n") > crowd).select("val", "lead"), "full")
+def _held(nodes: DataFrame, probes: int, everything: bool) -> DataFrame:
+    """(node, f, val, own): the segment values that each node has, or all that it looks up."""
+    at = F.posexplode("segs").alias("i", "val")
+    rows = nodes.select("node", *[c for c in ("c",) if c in nodes.columns], F.element_at("fp", 1).alias("f"), at)
+    rows = rows.withColumn("own", F.col("i") % probes == 0).drop("i")
+    return rows if everything else rows.where("own").drop("own")
 
 
-def leader_pairs(nodes: DataFrame, full: DataFrame, wide_bits: int = WIDE_BITS) -> DataFrame:
-    """Distinct (src < dst) of ``nodes`` within ``wide_bits`` bits: those that meet a value of ``full``, with its leader."""
-    met = _posts(nodes)[1].join(if_small(full), "val").where("node <> lead").select("node", F.col("lead").alias("dst"))
-    return _within(met, nodes, wide_bits)
+def _near(f: str, g: str):
+    return F.bit_count(F.col(f).bitwiseXOR(F.col(g))) <= FIRST_BITS
 
 
-def candidate_pairs(nodes: DataFrame, full: DataFrame, wide_bits: int = WIDE_BITS, first_bits: int = FIRST_BITS) -> DataFrame:
-    """Distinct (src < dst) of ``nodes`` (node, c, fp, segs) of different ``c`` within ``wide_bits`` bits that meet in a segment.
+def _within(met: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Distinct (src < dst) of ``met`` (node, dst) whose whole distance is at most ``most`` bits."""
+    met = met.select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst")).distinct()
+    one = nodes.select(F.col("node").alias("src"), F.col("fp").alias("a"))
+    two = nodes.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
+    distance = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return met.join(one, "src").join(two, "dst").where(distance <= most).select("src", "dst")
+
 
-    Each segment is looked up with its own value and those one bit away. Of two documents whose
-    shingles have a similarity of 0.8, which differ in 15 % of the bits, one of the 16 segments
-    agrees that far with a probability of 0.95, of 0.99 at 0.85. The first two lanes are compared
-    on meeting, the whole distance then. Of a value in ``full`` nearly all nodes belong to its main
-    component ``c`` by now: the others are compared with all of them, and they with the others.
+def leader_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """Distinct (src < dst) of like fingerprints: each node with the smallest node that has the same value of a segment.
+
+    At most ``WIDE_SEGMENTS`` pairs a node, however large its group.
     """
-    close = (F.col("c") != F.col("d")) & (F.expr(_FIRST) <= first_bits)
-    base, probes = _posts(nodes)
-    hold = base.select("val", F.col("node").alias("dst"), F.col("p0").alias("q0"), F.col("p1").alias("q1"), F.col("c").alias("d"))
-    crowds = if_small(full.select("val"))
-    met = probes.join(hold.join(crowds, "val", "left_anti"), "val").where(close).select("node", "dst")
-    if full.head(1):
-        crowded = hold.join(crowds, "val", "left_semi")
-        main = written(crowded.groupBy("val", "d").count().groupBy("val").agg(F.max_by("d", F.struct("count", "d")).alias("main")), "main")
-        ask, held = probes.join(if_small(main), "val"), crowded.join(if_small(main), "val")
-        met = met.unionByName(ask.where("c <> main").join(held.drop("main"), "val").where(close).select("node", "dst"))
-        met = met.unionByName(ask.where("c = main").drop("main").join(held.where("d <> main"), "val").where(close).select("node", "dst"))
-    return _within(met, nodes, wide_bits)
+    held = _held(nodes, _stride(bits), False)
+    first = held.groupBy("val").agg(F.min_by(F.struct("node", "f"), "node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("val", "lead.node", F.col("lead.f").alias("g")).withColumnRenamed("node", "dst")
+    met = held.join(first, "val").where((F.col("node") != F.col("dst")) & _near("f", "g")).select("node", "dst")
+    return _within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits))
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, width: int, least: float = LEAST) -> DataFrame:
-    """Enough of ``pairs`` to join the same documents as all whose shingle sets have a Jaccard similarity of ``least`` or more.
+def candidate_pairs(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
+    """Distinct (src < dst) of like fingerprints of ``nodes`` (node, c, fp, segs) of different ``c`` that meet in a segment.
 
-    Similarities are exact, on whole texts. A node is compared with its smallest partner first; of
-    the other pairs, those that this has joined already need no comparison.
+    A node looks up :func:`segment_probes` values of each segment; the table has the values that
+    nodes have. Of two documents whose shingles have a similarity of 0.8 one finds the other with a
+    probability of about 0.99. The first lanes are compared on meeting, the whole distance then.
+    Nearly all nodes that crowd at a value belong to its main component ``c`` by now: the others
+    are compared with all of them, and they with the others, so no pair of different ``c`` is left out.
+    """
+    probes = written(_held(nodes, _stride(bits), True), "probes")
+    held = probes.where("own").select("val", F.col("node").alias("dst"), F.col("f").alias("g"), F.col("c").alias("d"))
+    full = written(held.groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("val"), "full")
+    other = (F.col("c") != F.col("d")) & _near("f", "g")
+    asks = probes.select("val", "node", "f", "c")
+    if full.head(1):
+        crowds = if_small(full)
+        met = asks.join(held.join(crowds, "val", "left_anti"), "val").where(other).select("node", "dst")
+        sizes = held.join(crowds, "val", "left_semi").groupBy("val", "d").agg(F.count("*").alias("n"))
+        main = if_small(written(sizes.groupBy("val").agg(F.max_by("d", F.struct("n", "d")).alias("main")), "main"))
+        ask, have = asks.join(main, "val"), held.join(main, "val")
+        met = met.unionByName(ask.where("c <> main").join(have.drop("main"), "val").where(other).select("node", "dst"))
+        met = met.unionByName(ask.where("c = main").drop("main").join(have.where("d <> main"), "val").where(other).select("node", "dst"))
+    else:
+        met = asks.join(held, "val").where(other).select("node", "dst")
+    out = written(_within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits)), "candidates")
+    drop_written(probes)
+    return out
+
+
+def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST) -> DataFrame:
+    """Enough of ``pairs`` of nodes to join the same ones as all whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    ``texts`` gives the (node, text) of a table of nodes, perhaps more than once each. Similarities are exact, on whole texts. A node is compared with its
+    smallest partner first; of the other pairs, those that this has joined already need no comparison.
     """
 
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, width).view("<i8") for t in texts], dtype=object)
+        for some in batches:
+            yield pd.Series([shingle_set(t, width).view("<i8") for t in some], dtype=object)
 
-    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "ends")
-    sets = written(docs.join(if_small(ends), "doc_id").select(F.col("doc_id").alias("node"), of("text").alias("s")), "sets")
+    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends")
+    sets = written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
         common = F.size(F.array_intersect("a", "b"))
-        return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst").distinct()
+        return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
-    first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    first = written(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "first")
     links = written(similar(first), "links")
-    known = connected_components(links)
-    other = pairs.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
+    known = written(connected_components(links), "known")
+    other = pairs.join(first, ["src", "dst"], "left_anti")
+    other = other.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
         known.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst", "left"
     )
-    more = written(similar(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).join(first, ["src", "dst"], "left_anti")), "links")
-    drop_written(sets)
+    more = written(similar(written(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).select("src", "dst"), "other")), "links")
+    drop_written(ends, sets, first, known)
     return links.unionByName(more)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, component_id) of each row: documents whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more, and those they lead to.
+    """(doc_id, digest, component) of each row: documents whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more, and those they lead to, share a component.
 
-    Wide fingerprints find candidates, whole texts verify them, so no unlike documents are linked.
-    Documents with equal sets are one node and never paired. Null and empty texts are one group.
-    Where a doc_id repeats with different texts, it is linked through each. Rows without an id join
-    the group of an equal set, if there is one. An empty table gives no rows.
+    digest is xxhash64 of the text; component a number that means nothing else. Wide fingerprints find
+    candidates, whole texts verify them, so no unlike documents are linked. Documents with equal
+    sets are one node and never paired. Null and empty texts are one group; a doc_id that repeats or
+    is null joins nothing. An empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fps = written(wide_fingerprints(own, ["doc_id"], "text", width), "fingerprints")
-    nodes = written(fps.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("segs").alias("segs")), "nodes")
-    full = crowded_values(nodes, crowd)
-    led = similar_pairs(written(leader_pairs(nodes.withColumn("c", F.col("node")), full), "candidates"), own, width, least)
-    known = written(nodes.join(connected_components(led), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "nodes")
-    links = similar_pairs(written(candidate_pairs(known, full), "candidates"), own, width, least)
-    found = connected_components(led.unionByName(links))
-    of = nodes.join(found, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "cls", "left").select("doc_id", "component_id")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    bits = segment_bits(own.count())
+    rows = written(wide_votes(own, ["doc_id", "digest"], bits, "text", width), "votes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("one")
+    reps = written(rows.groupBy("cls").agg(one, F.first("votes").alias("votes")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    of_text = reps.select("node", F.col("one.doc_id").alias("__id"), F.col("one.digest").alias("__digest"))
+    nodes = written(wide_fingerprints(reps, bits), "fingerprints")
+
+    def texts(ends: DataFrame) -> DataFrame:
+        wanted = if_small(written(of_text.join(if_small(ends), "node"), "wanted"))
+        return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("node", "text")
+
+    led_pairs = written(leader_pairs(nodes, bits), "candidates")
+    led = similar_pairs(led_pairs, texts, width, least)
+    known = written(nodes.join(connected_components(led), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
+    more_pairs = candidate_pairs(known, bits, crowd)
+    links = led.unionByName(similar_pairs(more_pairs, texts, width, least))
+    of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups")
+    drop_written(nodes, known, led_pairs, more_pairs, reps)
+    return rows.select("doc_id", "digest", "cls").join(if_small(of), "cls").select("doc_id", "digest", "component")
