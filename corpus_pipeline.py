@@ -18,35 +18,50 @@ from strider.llm.tables import if_small, small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents, drops those without a letter or far from every language, labels the unlabelled."""
+    """Learns from the labelled documents, drops those without a letter or far from every language, labels the unlabelled.
+
+    Null and empty texts go; repeated rows are judged alike; without a labelled row all go. Other
+    columns stay as they are, whatever their names.
+    """
     small_batches(spark)
-    judged = langid.predict(docs, langid.fit(docs)).where(~F.col("rejected"))
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = langid.predict(docs, langid.fit(docs), prefix="__").where("not __rejected")
+    return judged.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays; rows without an id stay.
+    """Of each group of similar documents one stays: that with the smallest doc_id (null last), and of its texts that with the least hash.
 
-    Where that doc_id repeats, one of its rows does.
+    A doc_id that repeats with unlike texts keeps one row for each, and so do unlike texts without
+    an id; of rows equal in id and text one stays, the least by its other columns. Null and empty
+    texts are one group. An empty table gives no rows.
     """
     small_batches(spark)
-    groups = simhash.similar_documents(docs)
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__again"), F.count("*").alias("n"))
-    kinds = written(ids.where("not __again or n > 1").drop("n"), "kinds")
-    marked = docs.join(if_small(kinds), "doc_id", "left")
-    once = marked.where("__again is null").select(*docs.columns)
-    again = marked.where("__again").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    keys = simhash.similar_documents(docs).groupBy("doc_id", "digest").agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    keys = written(keys.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")), "keys")
+    kept = written(keys.groupBy("component").agg(F.min("key").alias("kept")), "kept")
+    named = lambda rows: if_small(written(rows.select(F.col("key.doc_id").alias("__id"), F.col("key.digest").alias("__digest")), "kinds"))
+    judged = keys.join(if_small(kept), "component")
+    again = written(judged.where("n > 1 and key = kept").select("key"), "again")
+    of = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
+    left = docs.join(named(judged.where("key <> kept")), of, "left_anti")
+    if not again.head(1):
+        return left
+    repeated = named(again)
+    rest = left.join(repeated, of, "left_anti")
+    least = left.join(repeated, of).groupBy("__id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return rest.unionByName(least.select("one.*").select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each reported span; a widely copied example that no base pattern matches stays.
 
-    Spans belong to a doc_id and text, so other texts of a repeated doc_id keep what lies there.
+    Spans belong to a doc_id and text, so other texts of a repeated or null doc_id keep what lies
+    there. Null and empty texts stay as they are, repeated rows are treated alike; n_chars follows
+    the text; an empty table gives no rows.
     """
     small_batches(spark)
-    judged = secrets.judged(docs.withColumn("__digest", F.xxhash64("text")), ["doc_id", "__digest"]).select("doc_id", "__digest", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
-    found = judged.where(F.size("__spans") > 0).groupBy("doc_id", "__digest").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
+    found = secrets.judged(docs.withColumn("__digest", F.xxhash64("text")), ["doc_id", "__digest"]).select("doc_id", "__digest", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
+    found = found.where(F.size("__spans") > 0).groupBy("doc_id", "__digest").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__spans"))
     found = written(found.withColumnRenamed("doc_id", "__id"), "found")
     of = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
     marked = docs.join(if_small(found), of, "left").drop("__id", "__digest")
@@ -61,12 +76,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each row as often as the mix of sources takes it: a null source is one of its own, texts of no words stay out or in by chance, an empty table gives no rows."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset."""
+    """The pieces of all rows with their sequence and offset; null and empty texts are one piece, repeated rows are packed each, an empty table gives no rows."""
     small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
