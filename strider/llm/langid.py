@@ -231,7 +231,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "")
 
     names = {c: prefix + c for c in ("lang_pred", "score", "rejected")}
     kept = [c for c in docs.columns if c not in names.values()]
-    judged = docs.select(*kept, of(F.col(text)).alias("__judged"))
+    # Marked so, the function is not evaluated again for a filter on what it returns.
+    judged = docs.select(*kept, of.asNondeterministic()(F.col(text)).alias("__judged"))
     return judged.select(*kept, *[F.col(f"__judged.{c}").alias(n) for c, n in names.items()])
 
 
