@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import os
 import unicodedata
@@ -15,14 +16,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strider.llm.tables import drop_written, written
+from strider.llm.tables import drop_written, if_small, written
 
 CAPACITY = 2048
 #: Rows of a range of documents and gaps that one task sweeps; what is no more is one range.
 ROWS_A_TASK = 10_000
 MAX_ROUNDS = 200
-#: Words, and stems of words, whose ids a worker remembers, and the longest of them.
-CACHE, LONGEST = 150_000, 32
+#: Words after which a worker forgets those it has not met since as many before, and the longest it remembers.
+CACHE, LONGEST = 120_000, 32
 #: Marks that may follow a stem; the tokenizer always parts them from letters.
 _MARKS = ".,;:!?#$%&*()-|"
 
@@ -30,77 +31,92 @@ PLACED, DOC, GAP, SHRUNK = 0, 1, 2, 3
 _ROUND = "kind int, id long, size int, seq long, at int, pid int, rank int"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers put for each byte: itself if printable in Latin-1, else the next code point from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [x for x in range(256) if x not in printable]
+    return {x: x for x in printable} | {x: 256 + i for i, x in enumerate(others)}
+
+
 class _Words:
-    """The ids of words by a tokenizer that parts words at ASCII white space, as bytes."""
+    """The ids of texts, as bytes, by a byte-level tokenizer that lower-cases and parts words at white space and around runs of letters."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[ends] = True
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn_stems(self, stems: list[str]) -> None:
-        """Stems are letters, so each is tokens of which only the last ends a word."""
-        ids = self._encode(" ".join(stems))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(stems) and cuts[-1] == len(ids):
-            raw, ends = ids.tobytes(), (4 * cuts).tolist()
-            parts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        else:
-            parts = [self._encode(s).tobytes() for s in stems]
-        self.stems.update(zip(stems, parts, strict=True))
-
-    def __call__(self, words: list[str]) -> bytes:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.stems) > CACHE:
-            self.stems.clear()
-        known = self.words
-        new = set(words).difference(known)
-        once: dict[str, bytes] = {}
-        if new:
-            split = {}
-            for w in new:
-                stem = w.rstrip(_MARKS)
-                if stem.isascii():
-                    stem = stem.lower()
-                    plain = stem.isalpha()
-                else:  # lower case or composition may set letters apart from their marks
-                    plain = stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha()
-                if plain and len(w) <= LONGEST:
-                    split[w] = (stem, w[len(stem) :])
-                else:
-                    (known if len(w) <= LONGEST else once)[w] = self._encode(w).tobytes()
-            stems = [s for s in {s for s, _ in split.values()} if s not in self.stems]
-            if stems:
-                self._learn_stems(stems)
-            for w, (stem, marks) in split.items():
-                if marks and marks not in known:
-                    known[marks] = self._encode(marks).tobytes()
-                known[w] = self.stems[stem] + known[marks] if marks else self.stems[stem]
-        return b"".join([known[w] if w in known else once[w] for w in words] if once else map(known.__getitem__, words))
-
-
-@functools.lru_cache(maxsize=2)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        #: Words met since the last turn, and those of the turn before.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _recall(self, word: str) -> bytes | None:
+        return self.known.get(word) or self.old.get(word)
+
+    def _stem(self, stem: str) -> bytes:
+        """A run of lower-case letters is one piece for the model, whose tokens are the ids without further steps."""
+        ids = self._recall(stem)
+        if ids is None:
+            plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+        self.known[stem] = ids
+        return ids
+
+    def _learn(self, word: str) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem.isascii():
+            stem = stem.lower()
+            plain = stem.isalpha()
+        else:  # lower case or composition may set letters apart from their marks
+            stem = "".join(map(str.lower, unicodedata.normalize("NFC", stem)))
+            plain = stem.isalpha() and unicodedata.is_normalized("NFC", stem)
+        if not plain or len(word) > LONGEST:
+            return self._encode(word)
+        marks = word[len(word.rstrip(_MARKS)) :]
+        if not marks:
+            return self._stem(stem)
+        after = self._recall(marks) or self._encode(marks)
+        self.known[marks] = after
+        return self._stem(stem) + after
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text. Words are looked up together; those longer than ``LONGEST`` are not kept."""
+        parted = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        for word in set(itertools.chain.from_iterable(parted)).difference(self.known):
+            self.known[word] = self.old.get(word) or self._learn(word)
+        yield from (b"".join(map(self.known.__getitem__, words)) for words in parted)
+        if len(self.known) > CACHE:
+            self.old, self.known = {w: x for w, x in self.known.items() if len(w) <= LONGEST}, {}
+
+
+@functools.lru_cache(maxsize=1)
 def _tokenizer(path: str) -> _Words:
     return _Words(path)
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers.
+#: Characters of the texts whose words are looked up together.
+TOGETHER = 1 << 20
+
+
+def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers.
 
     For tokenizers that part words at ASCII white space, which then joins no token and sets none:
     the ids of a text are those of its words one after the other, and words repeat.
     """
-    return _tokenizer(path)((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+    words, at = _tokenizer(path), 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size < TOGETHER):
+            size += len(texts[upto] or "")
+            upto += 1
+        yield from words(texts[at:upto])
+        at = upto
 
 
 def token_pieces(
@@ -119,8 +135,8 @@ def token_pieces(
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, body in zip(b["doc_id"], b["text"], strict=True):
-                ids = token_bytes(body, tokenizer) + end
+            for key, ids in zip(b["doc_id"], token_bytes(list(b["text"]), tokenizer), strict=True):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
@@ -164,25 +180,18 @@ def sweep(docs: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: in
     return placed, left, [g for g in rest if g[1] not in used], [g for g in rest if g[1] in used]
 
 
-def _numbered(kind: int, rows: list[tuple[int, int]], pid: int) -> Iterator[tuple]:
-    """Rows of a round with the number of their part of a range, where sizes are within a fifth, and their rank there."""
-    rank, before = 0, -1
-    for size, key in rows:
-        part = 64 * pid + int(4 * math.log2(size))
-        rank, before = (rank + 1 if part == before else 0), part
-        yield kind, key, size, None, None, part, rank
-
-
 def _swept(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
-    """One sweep over each range of the sorted documents and gaps."""
+    """One sweep over each range of the sorted documents and gaps; what it leaves has the number of its range and its rank there, largest first."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches) or [pd.DataFrame({"kind": [], "id": [], "size": []})])
         side = lambda k: list(rows.loc[rows["kind"] == k, ["size", "id"]].itertuples(index=False, name=None))
         placed, left, gaps, used = sweep(side(DOC), side(GAP), capacity)
         pid = TaskContext.get().partitionId()
-        out = [(PLACED, k, size, seq, at, -1, 0) for k, size, seq, at in placed]
-        out += [*_numbered(DOC, left, pid), *_numbered(GAP, gaps, pid), *((SHRUNK, k, size, None, None, -1, 0) for size, k in used)]
+        out = [(PLACED, k, size, seq, at, pid, 0) for k, size, seq, at in placed]
+        out += [(DOC, k, size, None, None, pid, i) for i, (size, k) in enumerate(left)]
+        out += [(GAP, k, size, None, None, pid, i) for i, (size, k) in enumerate(reversed(gaps))]
+        out += [(SHRUNK, k, size, None, None, pid, 0) for size, k in used]
         yield pd.DataFrame(out, columns=["kind", "id", "size", "seq", "at", "pid", "rank"]).astype({"seq": "Int64", "at": "Int32"})
 
     rows = items.select("kind", "id", "size")
@@ -190,34 +199,41 @@ def _swept(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
     return ranged.mapInPandas(of, _ROUND)
 
 
-def _match(stats: dict, capacity: int) -> tuple[list, list, dict[int, int], int]:
-    """Intervals of ranks that match across ranges: of documents, of gaps, taken of each range, matched.
+def _met(swept: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """What the ranges leave, matched across them: (kind, id, size, level, gap, room, slot) of each document, and the gaps no document can use.
 
-    stats: (pid, kind) to (count, least, most, sum). Every gap of a range is as large as every
-    document of a range before it; each takes the largest documents not yet taken, so many at once
-    as fit whatever their sizes in the range, if documents outnumber gaps.
+    Read from the largest size down, gaps are opening and documents closing brackets: a document
+    closes the bracket opened last that is still open, which is the smallest gap as large. A gap
+    opens a bracket for each document that it holds whatever their sizes (those of smaller ranges),
+    ``most`` at most. Brackets that belong together have the same level and follow each other there;
+    the level is a running sum over ranges, one row each, and ranks within them. A level has at most
+    two brackets of a range. A document without a gap has a level that no bracket opened: 0, -1, ..
+    from the largest on.
     """
-    docs, gaps, stack, slot = [], [], [], 0
-    crowd = sum(v[0] for (_, k), v in stats.items() if k == DOC) > 2 * sum(v[0] for (_, k), v in stats.items() if k == GAP)
-    taken = dict.fromkeys((p for p, _ in stats), 0)
-    for pid in sorted(taken):
-        count, least, _, _ = stats.get((pid, GAP), (0, 0, 0, 0))
-        at = 0
-        while at < count and stack:
-            p, most = stack[-1]
-            there = stats[p, DOC][0] - taken[p]
-            many = max(1, least // most) if crowd else 1
-            n = min(count - at, math.ceil(there / many))
-            d = min(there, n * many)
-            docs.append((p, taken[p], taken[p] + d, slot, many))
-            gaps.append((pid, at, at + n, slot, 1))
-            taken[p] += d
-            at, slot = at + n, slot + n
-            if taken[p] == stats[p, DOC][0]:
-                stack.pop()
-        if (pid, DOC) in stats:
-            stack.append((pid, stats[pid, DOC][2]))
-    return docs, gaps, taken, slot
+    down = Window.orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    left = swept.where(F.col("kind").isin(DOC, GAP))
+    largest = left.groupBy("pid").agg(F.max(F.when(F.col("kind") == DOC, F.col("size"))).alias("largest"), F.count_if(F.col("kind") == DOC).alias("docs"))
+    ranges = if_small(written(largest.select("pid", "docs", F.max("largest").over(up).alias("below")), "ranges"))
+    slots = F.when(F.col("below").isNull(), 0).otherwise(F.least(F.lit(most), F.floor(F.col("size") / F.col("below")))).cast("int")
+    gaps = left.where(F.col("kind") == GAP).join(ranges.drop("docs"), "pid").withColumn("slots", slots)
+    open_gaps = gaps.where("slots > 0")
+    in_range = Window.partitionBy("pid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    opened = open_gaps.groupBy("pid").agg(F.sum("slots").alias("opens"))
+    sums = ranges.join(opened, "pid", "left").select("pid", "docs", F.coalesce(F.sum(F.coalesce("opens", F.lit(0)) - F.col("docs")).over(down), F.lit(0)).alias("before"))
+    levels = if_small(written(sums, "levels"))
+    closing = left.where(F.col("kind") == DOC).join(levels, "pid").select("pid", "kind", "id", "size", F.lit(0).alias("slot"), (F.col("before") - F.col("rank")).alias("level"))
+    first = open_gaps.withColumn("first", F.coalesce(F.sum("slots").over(in_range), F.lit(0))).join(levels, "pid")
+    opening = first.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(
+        "pid", "kind", "id", "size", "slot", (F.col("before") - F.col("docs") + 1 + F.col("first") + F.col("slot")).alias("level")
+    )
+    order = Window.partitionBy("level").orderBy(F.desc("pid"), "kind")
+    mate = lambda step, k: F.when(step("kind").over(order) == k, F.struct(step("id").over(order).alias("id"), step("size").over(order).alias("size"), step("slot").over(order).alias("slot")))
+    both = closing.unionByName(opening).withColumn("before", mate(F.lag, GAP)).withColumn("after", mate(F.lead, DOC))
+    met = both.where((F.col("kind") == DOC) | F.col("after").isNotNull() | (F.col("slot") == 0)).select(
+        "kind", "id", "size", "level", "slot", F.when(F.col("kind") == DOC, F.col("before.id")).alias("gap"), F.when(F.col("kind") == GAP, F.col("after.id")).alias("doc"), F.when(F.col("kind") == GAP, F.col("after.size")).alias("taken"),
+    )
+    return met, gaps.where("slots = 0").select("kind", "id", "size")
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
@@ -225,71 +241,57 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
 
     Documents longer than half the capacity open sequences. In each round the documents left and the
     gaps left are sorted by size into ranges; each task sweeps its range (a document takes the
-    smallest gap as large, its successor); what a range leaves is matched across ranges by rank, from
-    counts per range, so that no two documents want the same gap; gaps shrink, gaps below the
-    smallest document left are closed, and if documents need more room than all gaps have, or none
-    fitted, the largest open new sequences. The driver sees a few numbers per range only. Each
-    round is a table in the shared folder.
+    smallest gap as large, its successor); what a range leaves is matched across ranges by rank
+    (see :func:`_met`), so that no two documents want the same gap; gaps shrink, gaps below the
+    smallest document left are closed, and if documents need more room than all gaps have, or few
+    fitted, the largest without a gap open new sequences. The driver sees sums only. Each round is
+    a table in the shared folder.
     """
-    spark = items.sparkSession
-    none = lambda kind: F.lit(None).cast(kind)
     big = F.col("size") * 2 > capacity
     base = items.select(F.col("id").cast("long").alias("id"), F.col("size").cast("int").alias("size"))
+    fields = lambda kind, key, size, seq, at: (F.lit(kind).alias("kind"), F.col(key).alias("id"), F.expr(size).cast("int").alias("size"), F.expr(seq).cast("long").alias("seq"), F.expr(at).cast("int").alias("at"))
 
     def opened(rows: DataFrame) -> DataFrame:
-        own = rows.select(F.lit(PLACED).alias("kind"), "id", "size", F.col("id").alias("seq"), F.lit(0).alias("at"))
-        gap = rows.where(F.col("size") < capacity).select(F.lit(GAP).alias("kind"), "id", (capacity - F.col("size")).cast("int").alias("size"), none("long").alias("seq"), none("int").alias("at"))
-        return own.unionByName(gap)
-
-    small = base.where(~big).select(F.lit(DOC).alias("kind"), "id", "size", none("long").alias("seq"), none("int").alias("at"))
-    after = written(opened(base.where(big)).unionByName(small), "packed")
-    waiting, gaps_left = (after.where(F.col("kind") == k).count() for k in (DOC, GAP))
-    done = []
+        own = rows.select(*fields(PLACED, "id", "size", "id", "0"))
+        return own.unionByName(rows.where(F.col("size") < capacity).select(*fields(GAP, "id", f"{capacity} - size", "null", "null")))
+
+    def plain(kind: int, rows: DataFrame) -> DataFrame:
+        return rows.select(*fields(kind, "id", "size", "null", "null"))
+
+    after = written(opened(base.where(big)).unionByName(plain(DOC, base.where(~big))), "packed")
+    counts = {r["kind"]: r["count"] for r in after.groupBy("kind").count().collect()}
+    waiting, gaps_left, done = counts.get(DOC, 0), counts.get(GAP, 0), []
     for _ in range(MAX_ROUNDS):
         done.append(after.where(F.col("kind") == PLACED).select("id", "seq", "at"))
-        left = after.where(F.col("kind") != PLACED)
         if not waiting:
             break
-        tasks = math.ceil((waiting + gaps_left) / rows_a_task)
-        swept = written(_swept(left, capacity, tasks), "swept")
+        swept = written(_swept(after.where(F.col("kind") != PLACED), capacity, math.ceil((waiting + gaps_left) / rows_a_task)), "swept")
         done.append(swept.where(F.col("kind") == PLACED).select("id", "seq", "at"))
-        found = swept.groupBy("pid", "kind").agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).collect()
-        stats = {(r[0], r[1]): tuple(r[2:]) for r in found if r[1] != PLACED}
-        of = lambda k: [(p, v) for (p, kind), v in stats.items() if kind == k]  # noqa: E731, B023
-        if not of(DOC):
+        sums = {r["kind"]: r for r in swept.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least")).collect()}
+        of = lambda k, c: sums[k][c] if k in sums else 0  # noqa: E731, B023
+        waiting = of(DOC, "n")
+        if not waiting:
             break
-        doc_ranks, gap_ranks, taken, matched = _match(stats, capacity)
-        rest = sum(v[3] * (v[0] - taken[p]) / v[0] for p, v in of(DOC))
-        room = sum(v[3] for _, v in [*of(GAP), *of(SHRUNK)]) - sum(v[3] * taken[p] / v[0] for p, v in of(DOC))
-        fitted = matched + sum(r[2] for r in found if r[1] == PLACED)
-        waiting = sum(v[0] - taken[p] for p, v in of(DOC))
-        gaps_left = sum(r[2] for r in found if r[1] in (GAP, SHRUNK))
-        new = math.ceil(max(0.0, rest - max(0.0, room) if fitted * 20 > waiting else rest) / capacity)
-        for pid in sorted((p for p, _ in of(DOC)), reverse=True):
-            n = min(new, stats[pid, DOC][0] - taken[pid])
-            if n:
-                doc_ranks.append((pid, taken[pid], taken[pid] + n, -1, 1))
-                new, waiting = new - n, waiting - n
-        least = min(v[1] for _, v in of(DOC))
-        ranks = lambda rows: F.broadcast(spark.createDataFrame(rows or [(-1, 0, 0, 0, 1)], "p int, lo int, hi int, first long, many int"))
-        within = (F.col("pid") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-        slot = F.when(F.col("first") < 0, -1).otherwise(F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("many")))
-        side = lambda k, rows: swept.where(F.col("kind") == k).join(ranks(rows), within, "left").select("id", "size", "rank", slot.alias("slot"))  # noqa: E731, B023
-        docs, gaps = side(DOC, doc_ranks), side(GAP, gap_ranks)
-        order = Window.partitionBy("slot").orderBy("rank")
-        pairs = docs.where("slot >= 0").join(gaps.where("slot >= 0").select("slot", F.col("id").alias("seq"), F.col("size").alias("gap")), "slot").select(
-            "id", "size", "seq", "gap",
-            F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("upto"),
-            F.lead("id").over(order).alias("next"),
-        )
-        pairs = pairs.select(F.inline(F.array(
-            F.struct(F.lit(PLACED).alias("kind"), "id", "size", "seq", (F.lit(capacity) - F.col("gap") + F.col("upto") - F.col("size")).alias("at")),
-            F.struct(F.when(F.col("next").isNull(), GAP).alias("kind"), F.col("seq").alias("id"), (F.col("gap") - F.col("upto")).alias("size"), none("long").alias("seq"), none("int").alias("at")),
-        ))).where("kind is not null")
-        plain = lambda k, rows: rows.where("slot is null").select(F.lit(k).alias("kind"), "id", "size", none("long").alias("seq"), none("int").alias("at"))
-        shrunk = swept.where(F.col("kind") == SHRUNK).select(F.lit(GAP).alias("kind"), "id", "size", "seq", "at")
-        then = pairs.unionByName(opened(docs.where("slot = -1"))).unionByName(plain(DOC, docs)).unionByName(plain(GAP, gaps)).unionByName(shrunk)
+        most = 1 + 2 * waiting // max(1, of(GAP, "n"))
+        found, unused = _met(swept, most)
+        met = written(found, "met")
+        without = met.where((F.col("kind") == DOC) & F.col("gap").isNull()).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        matched, rest = waiting - without["n"], without["size"] or 0
+        room = of(GAP, "size") + of(SHRUNK, "size") - (of(DOC, "size") - rest)
+        fitted = matched + of(PLACED, "n")
+        waiting = without["n"]
+        new = min(waiting, math.ceil((max(0, rest - max(0, room)) if fitted * 20 > waiting else rest) / capacity))
+        least, gaps_left, waiting = of(DOC, "least"), of(GAP, "n") + of(SHRUNK, "n") + new, waiting - new
+        docs = met.where((F.col("kind") == DOC) & F.col("gap").isNull())
+        order = Window.partitionBy("id").orderBy("slot")
+        upto = F.coalesce(F.sum("taken").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+        gaps = met.where(F.col("kind") == GAP).withColumn("upto", upto).withColumn("next", F.lead("slot").over(order))
+        placed = gaps.where("doc is not null").select(*fields(PLACED, "doc", "taken", "id", f"{capacity} - size + upto - taken"))
+        parts = [placed, plain(GAP, gaps.where("next is null").withColumn("size", F.col("size") - F.col("upto"))), plain(GAP, unused), plain(GAP, swept.where(F.col("kind") == SHRUNK))]
+        parts += [opened(docs.where(F.col("level") > -new)), plain(DOC, docs.where(F.col("level") <= -new))]
+        then = functools.reduce(DataFrame.unionByName, parts)
         after = written(then.where((F.col("kind") != GAP) | (F.col("size") >= least)), "packed")
+        drop_written(met)
     else:
         raise RuntimeError(f"packing did not end in {MAX_ROUNDS} rounds")
     return functools.reduce(DataFrame.unionByName, done)
