@@ -1,7 +1,9 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows and odd columns, against brute force."""
 
+import bisect
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -229,13 +231,33 @@ def test_packing(spark):
     tokenizer = Tokenizer.from_file(path)
     rows = ROWS + [(50 + i, "Straße naïve, don't! " * i, "de", "s") for i in range(0, 900, 60)]
     for _, t, _, _ in rows:
-        assert packing.token_bytes(t, path) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert next(packing.token_bytes([t], path)) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
     got = packing.pack(docs(spark, rows), path).toPandas()
-    assert got.length.sum() == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in rows)
-    by = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id").length
-    assert by.sum().max() <= 2048
+    want = []
+    for i, t, _, _ in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.append((-1 if i is None else i, n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    said = got.fillna({"doc_id": -1}).astype({"doc_id": int})
+    assert sorted(said[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
     ordered = got.sort_values(["sequence_id", "offset"])
+    by = ordered.groupby("sequence_id").length
+    assert by.sum().max() <= 2048
     assert (by.cumsum() - ordered.length == ordered.offset).all()
+    assert got.sequence_id.nunique() == best_fit_decreasing(got.length)
+    assert packing.pack(docs(spark, []), path).count() == 0
+
+
+def best_fit_decreasing(sizes, capacity=2048):
+    """The number of sequences that one process needs."""
+    gaps, count = [], 0
+    for size in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(gaps, size)
+        fits = i < len(gaps)
+        bisect.insort(gaps, (gaps.pop(i) if fits else capacity) - size)
+        count += not fits
+    return count
 
 
 def test_packing_is_tight(spark):
@@ -244,8 +266,10 @@ def test_packing_is_tight(spark):
     items = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(sizes)), "size": sizes}))
     got = packing.best_fit(items, rows_a_task=500).toPandas().merge(pd.DataFrame({"id": np.arange(len(sizes)), "size": sizes}), on="id")
     assert len(got) == len(sizes)
+    ordered = got.sort_values(["seq", "at"])
+    assert (ordered.groupby("seq")["size"].cumsum() - ordered["size"] == ordered["at"]).all()
     assert got.groupby("seq")["size"].sum().max() <= 2048
-    assert got.seq.nunique() <= 1.02 * np.ceil(sizes.sum() / 2048)
+    assert got.seq.nunique() <= 1.005 * best_fit_decreasing(sizes)
 
 
 def test_warc(spark, tmp_path):
@@ -284,7 +308,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def test_embedding_duplicates(spark):
     rows = vectors(spark, np.random.default_rng(5))
-    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), block=64).toPandas().set_index("vec_id")
+    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), block=64, part=100).toPandas().set_index("vec_id")
     assert len(got) == len(rows)
     fine = rows[:1500]
     x = np.array([np.array(v, np.float32) for _, v, _ in fine], float)
@@ -326,7 +350,7 @@ def test_groups_larger_than_the_window(spark):
     share = link[:900, :900].sum() / (900 * 899 / 2)
     assert 0.2 < share < 0.45 and not link[900:1350, 1350:].any()
     degree = (link + link.T).sum(axis=1)
-    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), passes=1, block=64).toPandas().set_index("vec_id")
+    got = neardup.embedding_duplicates(spark.createDataFrame(rows, SCHEMA), passes=4, block=64, part=128).toPandas().set_index("vec_id")
     assert (got.loc[range(1800), "n_links"].to_numpy() == degree).all()
 
 
