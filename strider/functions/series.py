@@ -10,16 +10,18 @@ def clip_window(clip: str = "clip", t: str = "t"):
     return Window.partitionBy(clip).orderBy(t)
 
 
-def difference(x: Column | str, order: int, window, scale: float = 1.0) -> Column:
-    """The backward difference of this order of an array column, element by element, times ``scale``; null for the first rows.
+def difference(x: Column | str, order: int, window, dt: float | None = None) -> Column:
+    """The backward difference of this order of an array column, element by element, divided by ``dt`` to that power; null for the first rows.
 
-    Frame t takes its own values and those of the ``order`` frames before it.
+    Frame t takes its own values and those of the ``order`` frames before it. Whole multiples are
+    summed before the division, so equal steps give equal rates.
     """
     x = F.col(x) if isinstance(x, str) else x
     signs = {1: (1, -1), 2: (1, -2, 1), 3: (1, -3, 3, -1)}[order]
     rows = F.array(*[x, *[F.lag(x, i).over(window) for i in range(1, order + 1)]])
     whole = F.lag(x, order).over(window).isNotNull()
-    sums = F.transform(x, lambda _, j: sum((F.get(F.get(rows, i), j) * (s * scale) for i, s in enumerate(signs)), F.lit(0.0)))
+    per = 1.0 if dt is None else dt**order
+    sums = F.transform(x, lambda _, j: sum((F.get(F.get(rows, i), j) * s for i, s in enumerate(signs)), F.lit(0.0)) / per)
     return F.when(whole, sums)
 
 

@@ -51,7 +51,7 @@ def invariance(spark: SparkSession, d: str) -> DataFrame:
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """(clip, quantity, value): speed of each point between frames, height of the points in each."""
     kp = tables.keypoints(spark, d)
-    moved = kp.select("clip", S.difference("p", 1, S.clip_window(), 1 / DT).alias("v"))
+    moved = kp.select("clip", S.difference("p", 1, S.clip_window(), DT).alias("v"))
     speed = moved.select("clip", F.explode(S.norms(F.col("v"))).alias("value"))
     height = kp.select("clip", F.get(S.point_sum(F.col("p")), F.lit(2)).alias("value"))
     return speed.select("clip", F.lit("speed").alias("quantity"), "value").unionByName(height.select("clip", F.lit("height").alias("quantity"), "value"))
@@ -119,5 +119,5 @@ SELECT clip, quantity, round(list_avg(list_transform(list_zip(q, r), lambda x: a
         "event_sliding_windows": f"WITH {_E} SELECT epoch(date_trunc('day', ts))::BIGINT - 86400 * back AS start, event_type, count(*) AS n, count(*) FILTER (flag) AS n_flagged, round(max(value), 5) AS worst FROM e, range(2) r(back) GROUP BY ALL",
         "event_sessions": f"""WITH {_E}, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR AS fresh FROM e),
 i AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT user_id, epoch(min(ts))::BIGINT AS start, epoch(max(ts) + INTERVAL 6 HOUR)::BIGINT AS "end", count(*) AS n, count(*) FILTER (flag) AS n_flagged FROM i GROUP BY user_id, run""",
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts) + INTERVAL 6 HOUR))::BIGINT AS "end", count(*) AS n, count(*) FILTER (flag) AS n_flagged FROM i GROUP BY user_id, run""",
     }
