@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strider.llm.tables import written
+from strider.llm.tables import if_small, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: Bits of the hash that a histogram resolves, and how many histograms follow each other.
-BITS, LEVELS = 12, 3
+BITS, LEVELS = 16, 3
+#: How often the largest row that fits is taken of what a source's threshold leaves of its budget.
+FILLS = 4
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,13 +48,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
 
 
 def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(source, whole, threshold): take each row ``whole`` times, and once more below the threshold.
+    """(source, whole, threshold, left): take each row ``whole`` times, and once more below the threshold, which leaves ``left`` of the budget.
 
     ``rows``: source, size, pos. The histogram of the leading bits gives, per source, the bucket in
     which the budget ends; only the rows of that bucket are counted again by the next bits. All
     buckets before are inside the threshold, so thresholds of larger budgets hold those of smaller
-    ones. In the last bucket the nearer side of the budget wins. A source has at most ``2 ** BITS``
-    buckets in a window.
+    ones. A source has at most ``2 ** BITS`` buckets in a window.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("int")
     state = wanted.withColumn("whole", whole).select(
@@ -69,19 +70,46 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         summed = counts.withColumn("upto", F.sum("n").over(upto))
         at = summed.join(state.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        last = level == LEVELS - 1
-        past = F.col("upto") - (F.col("n") / 2 if last else 0) > F.col("left")
-        ends = at.where(past).groupBy("source").agg(F.min(F.struct("bucket", "upto", "n")).alias("b"))
+        ends = at.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("bucket", "upto", "n")).alias("b"))
+        inner = at.groupBy("source").agg(F.sum("n").alias("all"))
         joined = state.join(ends.select(F.col("source").alias("of"), "b"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        joined = joined.join(inner.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         # No bucket lies past the budget: all of them are inside.
         prefix = F.coalesce(F.col("b.bucket"), (F.col("prefix") + 1) * step)
-        rest = F.when(F.col("b").isNull(), 0.0).otherwise(F.col("left") - (F.col("b.upto") - F.col("b.n")))
+        rest = F.col("left") - F.coalesce(F.col("b.upto") - F.col("b.n"), F.col("all"), F.lit(0))
         state = written(joined.select("source", "whole", rest.alias("left"), prefix.alias("prefix")), "level")
-    return state.select("source", "whole", F.col("prefix").alias("threshold"))
+    return state.select("source", "whole", F.col("prefix").alias("threshold"), "left")
+
+
+def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS) -> DataFrame:
+    """(source, pos, n): of the rows at ``pos``, at or past the threshold, ``n`` are taken once more.
+
+    At the threshold itself stand a row or copies of it, of which as many as fit are taken. Then, a
+    few times, the largest row past it that fits into what is left: one row per source each time,
+    found by a maximum.
+    """
+    same = F.col("source").eqNullSafe(F.col("of"))
+    named = if_small(plan.select(F.col("source").alias("of"), "threshold", "left"))
+    there = rows.join(named, same).where((F.col("pos") == F.col("threshold")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+    first = there.groupBy("source", "pos").agg(F.max("size").alias("size"), F.count("*").alias("count"), F.first("left").alias("left"))
+    n = F.least(F.col("count"), F.floor(F.col("left") / F.col("size")))
+    taken = written(first.select("source", "pos", n.cast("long").alias("n"), (n * F.col("size")).cast("long").alias("words")), "fill")
+    for _ in range(times):
+        used = taken.groupBy("source").agg(F.sum("words").alias("used"))
+        left = plan.join(used.withColumnRenamed("source", "of"), same, "left").select(F.col("source").alias("of"), "threshold", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+        before = taken.select(F.col("source").alias("s"), F.col("pos").alias("p"))
+        fit = rows.join(if_small(written(left.where("left >= 1"), "left")), same).where((F.col("pos") > F.col("threshold")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+        fit = fit.join(if_small(written(before, "before")), F.col("source").eqNullSafe(F.col("s")) & (F.col("pos") == F.col("p")), "left_anti")
+        best = fit.groupBy("source").agg(F.max(F.struct("size", (-F.col("pos")).alias("back"))).alias("b"))
+        more = written(best.select("source", (-F.col("b.back")).alias("pos"), F.lit(1).cast("long").alias("n"), F.col("b.size").alias("words")), "fill")
+        if not more.head(1):
+            break
+        taken = taken.unionByName(more)
+    return written(taken.select("source", "pos", "n"), "fills")
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS):
-    """(rows, plan): doc_id, source, size, pos of each row, and what to take of each source."""
+    """(rows, plan, fills): doc_id, source, size and pos of each row; what to take of each source; and of single rows."""
     rows = written(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), position(F.col(doc_id), F.col(text)).alias("pos")),
         "sizes",
@@ -89,31 +117,48 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     wanted = written(wanted, "targets")
     plan = wanted.join(thresholds(rows, wanted).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    return rows, written(plan, "plan")
+    plan = written(plan, "plan")
+    return rows, plan, fills(rows, plan)
+
+
+def _planned(rows: DataFrame, plan: DataFrame, single: DataFrame) -> DataFrame:
+    """``rows`` (__source, __pos, ..) with ``__times``; of rows at a place of ``single``, copies of each other, the first so many are taken once more.
+
+    Those few rows are a table of their own, numbered within their part of it after the counts of
+    the parts before, so that no task gets all copies.
+    """
+    named = if_small(plan.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold")))
+    known = rows.join(named, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
+    spots = if_small(single.select(F.col("source").alias("__s"), F.col("pos").alias("__p"), F.col("n").alias("__n")))
+    marked = known.join(spots, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__pos") == F.col("__p")), "left")
+    plain = marked.where("__n is null").withColumn("__times", F.col("__whole") + (F.col("__pos") < F.col("__threshold")).cast("int"))
+    own = written(marked.where("__n is not null").withColumn("__row", F.monotonically_increasing_id()), "single")
+    part = F.shiftrightunsigned("__row", 33)
+    counts = own.groupBy("__s", "__p", part.alias("__part")).agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy("__s", "__p").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), F.col("__part").alias("__part2"), before.alias("__before"))
+    here = own.withColumn("__part", part).join(if_small(written(offsets, "offsets")), F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__p") == F.col("__p2")) & (F.col("__part") == F.col("__part2")))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__s", "__p", "__part").orderBy("__row"))
+    return plain.unionByName(here.withColumn("__times", F.col("__whole") + (number <= F.col("__n")).cast("int")).select(*plain.columns))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs``.
 
     taken is a multiple of size, at most ``max_repeats`` times it. Rows are taken by the hash of
-    their doc_id and text: reruns agree, and repeated rows are taken alike. Null texts have size
-    zero, null sources are a source; an empty table gives no rows.
+    their doc_id and text: reruns agree, and of copies of a row as many as fit are taken. Null texts
+    have size zero, null sources are a source; an empty table gives no rows.
     """
-    rows, plan = mix_plan(docs, **options)
-    named = plan.withColumnRenamed("source", "of")
-    times = F.col("whole") + (F.col("pos") < F.col("threshold")).cast("int")
-    return rows.join(named, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken")
+    rows, plan, single = mix_plan(docs, **options)
+    sizes = if_small(plan.select(F.col("source").alias("of"), "source_size", "target"))
+    judged = _planned(rows.select("doc_id", "size", F.col("source").alias("__source"), F.col("pos").alias("__pos")), plan, single)
+    return judged.join(sizes, F.col("__source").eqNullSafe(F.col("of"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken")
     )
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    _, plan = mix_plan(docs, doc_id, text, source, **options)
-    plan = plan.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    times = F.col("__whole") + (position(F.col(doc_id), F.col(text)) < F.col("__threshold")).cast("int")
-    return (
-        docs.join(plan, F.col(source).eqNullSafe(F.col("__of")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times)))
-        .select(*docs.columns)
-    )
+    _, plan, single = mix_plan(docs, doc_id, text, source, **options)
+    named = docs.withColumn("__source", F.col(source)).withColumn("__pos", position(F.col(doc_id), F.col(text)))
+    return _planned(named, plan, single).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
