@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,14 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strider.llm.tables import if_small, new_path, written
+from strider.llm.tables import drop_written, if_small, new_path, written
 
-#: Payload bytes of a shard, and compressed bytes at which a file of it is closed.
-SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
+#: Payload bytes of a shard, most shards (beyond that they are larger), and compressed bytes at which a file of one is closed.
+SHARD_BYTES, MOST_SHARDS, ROLL_BYTES = 32 << 20, 20_000, 8 << 20
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
-#: Ranges of ids whose payloads are summed to cut shards.
-RANGES = 4096
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -50,10 +48,13 @@ def _http(length: int, body: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + body
 
 
-def page_record(page_id, url: str | None, payload: bytes, digest: str, length: int, refers_to) -> bytes:
-    """The response or, with ``refers_to``, the revisit record of a page; its payload is stored in the former only."""
+def page_record(page_id, url: str | None, payload: bytes, digest: str, length: int, refers_to, again: str = "") -> bytes:
+    """The response or, with ``refers_to``, the revisit record of a page; its payload is stored in the former only.
+
+    ``again`` tells records of the same page_id and digest apart; the first has none.
+    """
     headers = [
-        ("WARC-Record-ID", _record_id("page", page_id)), ("WARC-Date", DATE),
+        ("WARC-Record-ID", _record_id("page", f"{page_id}:{digest}{again}")), ("WARC-Date", DATE),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
@@ -63,20 +64,47 @@ def page_record(page_id, url: str | None, payload: bytes, digest: str, length: i
         return record("response", headers, _http(length, payload))
     headers += [
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        ("WARC-Refers-To", _record_id("page", refers_to)), ("X-Refers-To-Page-Id", str(refers_to)),
+        ("WARC-Refers-To", _record_id("page", f"{refers_to}:{digest}")), ("X-Refers-To-Page-Id", str(refers_to)),
     ]
     return record("revisit", headers, _http(length, b""))
 
 
-def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> tuple[DataFrame, int]:
-    """(shard, page_id, digest, bytes, kept, url, body) and the number of shards.
+def _shard_starts(sizes: DataFrame, shard_bytes: int, most: int) -> list[bytes]:
+    """The first key of each shard but the first: runs of sorted ``sizes`` (key, bytes) of about so many bytes, ``most`` of them at most.
+
+    Rows are sorted in ranges and summed from the first on, so starts do not depend on how the
+    input or the ranges are split.
+    """
+    spark = sizes.sparkSession
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    width = max(shard_bytes, -(-total // most))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(sizes.repartitionByRange(n, "key").sortWithinPartitions("key").select("key", "bytes", F.monotonically_increasing_id().alias("at")), "placed")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.shiftrightunsigned("at", 33)
+    sums = placed.groupBy(part.alias("p")).agg(F.sum("bytes").alias("bytes"))  # a row for each task of the sort
+    offsets = if_small(written(sums.select("p", F.coalesce(F.sum("bytes").over(ahead(Window.orderBy("p"))), F.lit(0)).alias("offset")), "offsets"))
+    before = F.coalesce(F.sum("bytes").over(ahead(Window.partitionBy("p").orderBy("at"))), F.lit(0))
+    shard = F.floor((F.col("offset") + F.col("before")) / width)
+    starts = placed.withColumn("p", part).withColumn("before", before).join(offsets, "p").groupBy(shard.alias("shard")).agg(F.min("key").alias("key"))
+    found = [bytes(r["key"]) for r in starts.orderBy("shard").collect()][1:]
+    drop_written(placed)
+    return found
+
+
+def plan_records(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT,
+    shard_bytes: int = SHARD_BYTES, most: int = MOST_SHARDS,
+) -> tuple[DataFrame, int]:
+    """(shard, first, page_id, digest, bytes, kept, url, body) and the number of shards.
 
     Of equal payloads of ``least`` bytes or more the one with the largest page_id is stored; rows
     that repeat that id are stored too. Each other page has, besides its row, a notice without body
     whose ``kept`` is that page_id. Repeats are found on digests alone and notices travel with the
-    bodies, so each body is shuffled once, however many repeat. Shards are runs of page_id of about
-    ``SHARD_BYTES``, cut from exact sums over ``RANGES`` equal ranges of ids, so they do not depend
-    on how the input is split.
+    bodies, so each body is shuffled once, however many repeat. Shards are runs of page_id and
+    digest, cut by the exact sum of bytes before them; no more than ``most`` first keys come to the
+    driver. Rows without an id are sorted by digest alone. Where rows of one page_id and payload
+    fill several shards, they are dealt to these; ``first`` is the first of them.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
@@ -85,16 +113,23 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     repeated = sizes.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
     repeated = written(repeated.where("n > 1 and kept is not null").drop("n"), "repeated")
     notices = sizes.join(if_small(repeated), ["digest", "bytes"]).where("page_id is null or page_id < kept")
-    lo, hi = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, math.ceil((hi - lo + 1) / RANGES))
-    at = F.coalesce(F.floor((F.col("page_id") - lo) / width), F.lit(-1))
-    sums = sizes.groupBy(at.alias("range")).agg(F.sum("bytes").alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = written(sums.select("range", F.floor(before / SHARD_BYTES).cast("int").alias("shard")), "shards")
-    both = rows.withColumn("kept", F.lit(None).cast("long")).unionByName(notices, allowMissingColumns=True)
-    plan = both.withColumn("range", at).join(F.broadcast(shards), "range").select("shard", "page_id", "digest", "bytes", "kept", "url", "body")
-    return plan, (shards.agg(F.max("shard")).first()[0] or 0) + 1
+    # Bytes that sort like (page_id, digest), null first.
+    sorted_id = F.unhex(F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    key = F.concat(F.when(F.col("page_id").isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), sorted_id)), F.unhex("digest"))
+    starts = _shard_starts(sizes.select(key.alias("key"), "bytes"), shard_bytes, most)
+    shared = pages.sparkSession.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("lo int, hi int")
+    def shards_of(keys: pd.Series) -> pd.DataFrame:
+        cuts = shared.value
+        hi = [bisect.bisect_right(cuts, bytes(k)) for k in keys]
+        lo = [min(h, bisect.bisect_left(cuts, bytes(k)) + 1) for h, k in zip(hi, keys, strict=True)]
+        return pd.DataFrame({"lo": lo, "hi": hi}, dtype="int32")
+
+    both = rows.withColumn("kept", F.lit(None).cast("long")).unionByName(notices, allowMissingColumns=True).withColumn("at", shards_of(key))
+    dealt = F.array((F.col("at.lo") + F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.col("at.hi") - F.col("at.lo") + 1)).cast("int"))
+    plan = both.withColumn("shard", F.explode(F.when(F.col("kept").isNull(), dealt).otherwise(F.sequence("at.lo", "at.hi"))))
+    return plan.select("shard", F.col("at.lo").alias("first"), "page_id", "digest", "bytes", "kept", "url", "body"), len(starts) + 1
 
 
 def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **options) -> DataFrame:
@@ -111,7 +146,7 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **optio
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _fs(uri)
         store.create_dir(root, recursive=True)
-        out, shard, number, state, notice = [], None, 0, {}, (None, None)
+        out, shard, number, state, notice, last, times = [], None, 0, {}, (None, None), None, 0
 
         def close() -> None:
             if state:
@@ -136,7 +171,9 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, **optio
                     state.update(name=name, to=store.open_output_stream(temporary, compression=None), n=0, size=len(info), **{"as": temporary})
                     state["to"].write(info)
                 refers = notice[1] if notice[0] == own else None
-                data = page_record(r.page_id, r.url, b"" if refers is not None else bytes(r.body), r.digest, int(r.bytes), refers)
+                last, times = (r.shard, own), times + 1 if last == (r.shard, own) else 0
+                again = "" if r.shard == r.first and not times else f":{r.shard}:{times}"
+                data = page_record(r.page_id, r.url, b"" if refers is not None else bytes(r.body), r.digest, int(r.bytes), refers, again)
                 state["to"].write(data)
                 state["n"] += 1
                 state["size"] += len(data)
