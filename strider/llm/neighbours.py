@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strider.llm.tables import written
+from strider.llm.tables import if_small, written
 
-#: Pivots, taken from the data; nearest pivots that stand for a vector; the share of all rows that is reranked,
-#: and the least number of a block.
+#: Pivots of a block, taken from its rows; nearest pivots that stand for a vector; the share of a block that is reranked,
+#: and the least number.
 PIVOTS, NEAREST, SHARE, LEAST_RERANKED = 384, 96, 0.3, 512
 #: Rows of a block of candidates, and of a block of queries.
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 8192, 2048
 
 
 def _fine(e: Column) -> Column:
@@ -23,11 +23,9 @@ def _fine(e: Column) -> Column:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, vec) of the rows that take part, one per id: of ids that repeat the least vector, of lengths the commonest."""
+    """(row, vec_id, vec, dim) of the rows that take part: row tells rows of one vec_id apart, dim is the length."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & _fine(F.col("vec")))
-    rows = written(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
-    common = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").head(1)
-    return rows.where(F.size("vec") == (common[0]["dim"] if common else 0))
+    return written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "vectors")
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -66,43 +64,44 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the ``k`` other rows of largest inner product found.
 
-    Pivots are the ``pivots`` rows whose id hashes lowest. Rows are dealt by hash to blocks of about
-    ``candidates``, queries of about ``queries``; a task indexes a block of rows in an inverted file
-    of their nearest pivots, ranks them for each query of a block by footrule distance, and scores
-    the nearest ``share`` (and ``LEAST_RERANKED`` at least) by the inner product in double
-    precision. The best of the blocks are merged, ties by smaller vec_id. Each row is indexed;
-    queries against rows are the product the search asks for, made in blocks. ``is_query`` is a
-    condition on ``vec_id``. Vectors that are null, empty, zero, of an odd length or hold null or
-    non-finite components take no part; no rows or queries give no rows.
+    Rows are dealt by hash to blocks of about ``candidates``, queries to sets of about ``queries``; a
+    task indexes a block in an inverted file of the nearest pivots of its rows, ranks them for each
+    query of a set by footrule distance, and scores the nearest ``share`` (and ``LEAST_RERANKED`` at
+    least) by the inner product in double precision. The pivots of a block are its ``pivots`` rows
+    whose ids hash lowest, so nothing comes to the driver but a count for each length of vectors.
+    The best of the blocks are merged, ties by smaller vec_id. Each row is indexed; queries against
+    rows are the product the search asks for, made in blocks. ``is_query`` is a condition on
+    ``vec_id``. Vectors meet those of their own length. Rows that repeat a vec_id are rows of their
+    own, as queries as well. Vectors that are null, empty, zero or hold null or non-finite
+    components take no part; no rows or queries give no rows.
     """
     rows = usable(vectors, vec_id, embedding)
-    fixed = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array(fixed, float))
     asked = rows.where(is_query)
-    n, m = rows.count(), asked.count()
-    blocks, sets = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / queries))
-    place = lambda count: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(count)).cast("int")
-    own = rows.select("vec_id", "vec", F.lit(False).alias("asks"), place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
-    ask = asked.select("vec_id", "vec", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), place(sets).alias("set"))
+    place = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), n).cast("int")
+    parts = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    sizes = rows.groupBy("dim").agg(parts(F.count("*"), candidates).alias("blocks"), parts(F.count_if(is_query), queries).alias("sets"))
+    sizes = if_small(written(sizes, "sizes"))
+    own = rows.join(sizes, "dim").select("row", "vec_id", "vec", "dim", F.lit(False).alias("asks"), place(F.col("blocks"), 3).alias("block"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("set"))
+    ask = asked.join(sizes, "dim").select("row", "vec_id", "vec", "dim", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), place(F.col("sets"), 5).alias("set"))
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
         out = []
-        rows, asks = g[~g["asks"]], g[g["asks"]]
-        if len(rows) and len(asks):
-            p = shared.value
-            length = min(nearest, len(p))
-            x, q = np.stack(rows["vec"]).astype(float), np.stack(asks["vec"]).astype(float)
-            ids = rows["vec_id"].to_numpy()
+        own, asks = g[~g["asks"]].sort_values(["vec_id", "row"]), g[g["asks"]]
+        if len(own) and len(asks):
+            x, q = np.stack(own["vec"]).astype(float), np.stack(asks["vec"]).astype(float)
+            ids, numbers = own["vec_id"].to_numpy(), own["row"].to_numpy()
+            chosen = np.lexsort((ids, pd.util.hash_array(ids)))[:pivots]
+            p, length = x[chosen], min(nearest, len(chosen))
             posts = inverted_file(permutations(x, p, length), len(p))
             most = min(len(x), max(math.ceil(share * len(x)), LEAST_RERANKED, k + 1))
-            for key, v, lists in zip(asks["vec_id"], q, permutations(q, p, length), strict=True):
+            for row, key, v, lists in zip(asks["row"], asks["vec_id"], q, permutations(q, p, length), strict=True):
                 near = np.argpartition(-footrule_gain(lists, posts, len(x)), most - 1)[:most]
-                near = near[ids[near] != key]
+                near = near[numbers[near] != row]
                 score = x[near] @ v
                 best = np.lexsort((ids[near], -score))[:k]
-                out.append(pd.DataFrame({"query_id": key, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query": row, "query_id": key, "vec_id": ids[near][best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
 
-    found = own.unionByName(ask).groupBy("block", "set").applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = own.unionByName(ask).groupBy("dim", "block", "set").applyInPandas(search, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
