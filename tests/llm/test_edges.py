@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strider.llm import langid, secrets, simhash
+from strider.llm import langid, licenses, neighbours, secrets, simhash, urls, warc
 from tests.llm.test_operators import BASE, DOCS, docs
 
 STAGE = DOCS + ", n_chars long, score double, rejected boolean, lang_pred string, digest long, component long, node long, key string"
@@ -116,3 +116,55 @@ def test_very_long_texts(spark):
     assert re.match("access:300000:", got.spans[1])
     said = langid.language_report(docs(spark, rows)).toPandas()
     assert len(said) == 2 and isinstance(said, pd.DataFrame)
+
+
+def record_ids(folder):
+    out = []
+    for f in sorted(folder.glob("*.gz")):
+        with f.open("rb") as stream:
+            out += [warc.parse_record(m)[0] for m in warc._members(stream)]
+    return out
+
+
+def test_shards_follow_bytes(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"http://h/{i}", f"{i} " * int(rng.integers(20, 400))) for i in range(300)] + [(10**15, "u", "far away")]
+    rows += [(None, f"n{i}", f"null {i} " * 60) for i in range(80)] + [(5, "twice", "same text " * 200)] * 60 + [(7, None, None), (7, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("bytes", F.lit(1)).withColumn("shard", F.lit("y"))
+    total = sum(len((h or "").encode()) for *_, h in rows)
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w", shard_bytes=20_000)
+    assert manifest.count() >= 0.8 * total / 20_000
+    got = warc.read_warc(manifest, f"file://{tmp_path}/w").toPandas()
+    assert len(got) == len(rows) and got.page_id.isna().sum() == 80
+    said = record_ids(tmp_path / "w")
+    ids = [h["warc-record-id"] for h in said]
+    assert len(set(ids)) == len(ids)
+    assert all(h["warc-refers-to"] in ids for h in said if h["warc-type"] == "revisit")
+    few = warc.write_warc(pages, f"file://{tmp_path}/few", shard_bytes=20_000, most=3)
+    assert {r.file[:11] for r in few.select("file").collect()} <= {f"part-{i:06d}" for i in range(4)}
+
+
+def test_neighbours_of_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (2 * x[1]).tolist()), (0, x[0].tolist()), (100, [1.0, 2.0]), (101, [2.0, 1.0]), (120, None), (140, [0.0, 0.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("r")).withColumn("dim", F.lit("d"))
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0, k=5).toPandas()
+    want = []
+    for n, (i, v) in enumerate(rows):
+        if i is None or i % 20 or not v or not any(v):
+            continue
+        scored = sorted((-float(np.dot(v, w)), j) for m, (j, w) in enumerate(rows) if m != n and j is not None and w and any(w) and len(w) == len(v))
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+    said = sorted(got.itertuples(index=False, name=None))
+    assert [w[:3] for w in sorted(want)] == [g[:3] for g in said] and np.allclose([w[3] for w in sorted(want)], [g[3] for g in said])
+
+
+def test_empty_and_odd_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert urls.filter_urls(none, none).count() == 0
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+    assert langid.language_report(docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, "http://a.org/" + "x" * 100_000, "", "k", 1), (None, None, None, "k", 1)], "page_id long, url string, html string, key string, block int")
+    got = urls.filter_urls(odd, odd).toPandas()
+    assert len(got) == 2 and sorted(len(p) for p in got.path) == [0, 100_001]
