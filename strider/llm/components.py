@@ -18,15 +18,15 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _with_least(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+def _with_least(rows: DataFrame, key: str, value: str, n: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` (key, value) with ``m``, the least value of each key; and the table of the latter.
 
     Rows of a hub are dealt to ``SALTS`` parts, its least value goes to each: no task gets all of
     them. The least values are summed up before the shuffle.
     """
-    least = written(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least")
+    least = written(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least", n)
     hubs = least.where(F.col("n") >= HUB)
-    if not hubs.head(1):
+    if n < HUB or not hubs.head(1):
         return rows.join(least.drop("n"), key), least
     salt = F.pmod(F.xxhash64(F.col(value), F.lit(5)), F.lit(SALTS)).cast("int")
     spread = least.withColumn("salt", F.explode(F.when(F.col("n") >= HUB, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -57,11 +57,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             now.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        met, one = _with_least(both, "u", "v")
-        large = written(met.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct(), "large")
-        pairs, two = _with_least(large, "a", "b")
+        met, one = _with_least(both, "u", "v", 2 * seen[0])
+        large = written(met.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct(), "large", seen[0])
+        pairs, two = _with_least(large, "a", "b", seen[0])
         small = pairs.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
-        then = written(small, "edges")
+        then = written(small, "edges", seen[0])
         drop_written(now, large, one, two)
         now, before, seen = then, seen, _signature(then)
         if seen == before:

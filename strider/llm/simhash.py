@@ -161,11 +161,12 @@ def near_duplicates(
         fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", width).select("doc_id", "fp"),
         "fingerprints",
     )
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    n = fps.count()
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", n)
     found = connected_components(near_links(least.select(F.col("fp").alias("node"), "fp"), max_bits, segments, bucket))
-    joined = written(least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components")
+    joined = written(least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "components", n)
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(joined.join(ids, "component").select("fp", "component_id"), "groups")
+    of = written(joined.join(ids, "component").select("fp", "component_id"), "groups", n)
     drop_written(least, joined)
     return fps.join(if_small(of), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -314,7 +315,7 @@ def candidate_pairs(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFram
     """
     probes = written(_held(nodes, _stride(bits), True), "probes")
     held = probes.where("own").select("val", F.col("node").alias("dst"), F.col("f").alias("g"), F.col("c").alias("d"))
-    full = written(held.groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("val"), "full")
+    full = written(held.groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("val"), "full", nodes.count())
     other = (F.col("c") != F.col("d")) & _near("f", "g")
     asks = probes.select("val", "node", "f", "c")
     if full.head(1):
@@ -327,16 +328,17 @@ def candidate_pairs(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFram
         met = met.unionByName(ask.where("c = main").drop("main").join(have.where("d <> main"), "val").where(other).select("node", "dst"))
     else:
         met = asks.join(held, "val").where(other).select("node", "dst")
-    out = written(_within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits)), "candidates")
+    out = written(_within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits)), "candidates", nodes.count())
     drop_written(probes)
     return out
 
 
-def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST, many: bool = True) -> DataFrame:
     """Enough of ``pairs`` of nodes to join the same ones as all whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     ``texts`` gives the (node, text) of a table of nodes, perhaps more than once each. Similarities are exact, on whole texts. A node is compared with its
-    smallest partner first; of the other pairs, those that this has joined already need no comparison.
+    smallest partner first if there are ``many`` pairs a node; of the other pairs, those that this has
+    joined already need no comparison.
     """
 
     @F.pandas_udf("array<long>")
@@ -344,7 +346,8 @@ def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], wid
         for some in batches:
             yield pd.Series([shingle_set(t, width).view("<i8") for t in some], dtype=object)
 
-    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends")
+    n = pairs.count()
+    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends", n)
     sets = written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
@@ -352,16 +355,21 @@ def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], wid
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
-    first = written(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "first")
+    if not many:
+        links = written(similar(pairs), "links")
+        drop_written(ends, sets)
+        return links
+    first = written(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "first", n)
     links = written(similar(first), "links")
-    known = written(connected_components(links), "known")
+    known = written(connected_components(links), "known", n)
     other = pairs.join(first, ["src", "dst"], "left_anti")
     other = other.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
         known.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst", "left"
     )
-    more = written(similar(written(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).select("src", "dst"), "other")), "links")
-    drop_written(ends, sets, first, known)
-    return links.unionByName(more)
+    more = written(similar(written(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).select("src", "dst"), "other", n)), "links")
+    out = known.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(more)
+    drop_written(ends, sets, first, links)
+    return out
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
@@ -373,7 +381,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     is null joins nothing. An empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
-    bits = segment_bits(own.count())
+    n = own.count()
+    bits = segment_bits(n)
     rows = written(wide_votes(own, ["doc_id", "digest"], bits, "text", width), "votes")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("one")
     reps = written(rows.groupBy("cls").agg(one, F.first("votes").alias("votes")).withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -381,14 +390,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     nodes = written(wide_fingerprints(reps, bits), "fingerprints")
 
     def texts(ends: DataFrame) -> DataFrame:
-        wanted = if_small(written(of_text.join(if_small(ends), "node"), "wanted"))
+        wanted = if_small(written(of_text.join(if_small(ends), "node"), "wanted", n))
         return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("node", "text")
 
-    led_pairs = written(leader_pairs(nodes, bits), "candidates")
-    led = similar_pairs(led_pairs, texts, width, least)
-    known = written(nodes.join(connected_components(led), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
+    led_pairs = written(leader_pairs(nodes, bits), "candidates", n)
+    joined = written(connected_components(similar_pairs(led_pairs, texts, width, least)), "joined", n)
+    known = written(nodes.join(if_small(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
     more_pairs = candidate_pairs(known, bits, crowd)
-    links = led.unionByName(similar_pairs(more_pairs, texts, width, least))
-    of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups")
+    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(similar_pairs(more_pairs, texts, width, least, False))
+    of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups", n)
     drop_written(nodes, known, led_pairs, more_pairs, reps)
     return rows.select("doc_id", "digest", "cls").join(if_small(of), "cls").select("doc_id", "digest", "component")

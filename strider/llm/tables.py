@@ -26,9 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again with the same schema."""
+#: Rows of a few numbers each that a task writes, where their number is known.
+ROWS_A_TASK = 5000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again with the same schema.
+
+    ``rows``: about how many it has, if its last step is light, so that a small table has few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
