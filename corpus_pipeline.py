@@ -36,12 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts are one group. An empty table gives no rows.
     """
     small_batches(spark)
+    n = docs.count()
     keys = simhash.similar_documents(docs).groupBy("doc_id", "digest").agg(F.first("component").alias("component"), F.count("*").alias("n"))
-    keys = written(keys.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")), "keys")
-    kept = written(keys.groupBy("component").agg(F.min("key").alias("kept")), "kept")
-    named = lambda rows: if_small(written(rows.select(F.col("key.doc_id").alias("__id"), F.col("key.digest").alias("__digest")), "kinds"))
+    keys = written(keys.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")), "keys", n)
+    kept = written(keys.groupBy("component").agg(F.min("key").alias("kept")), "kept", n)
+    named = lambda rows: if_small(written(rows.select(F.col("key.doc_id").alias("__id"), F.col("key.digest").alias("__digest")), "kinds", n))
     judged = keys.join(if_small(kept), "component")
-    again = written(judged.where("n > 1 and key = kept").select("key"), "again")
+    again = written(judged.where("n > 1 and key = kept").select("key"), "again", n)
     of = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
     left = docs.join(named(judged.where("key <> kept")), of, "left_anti")
     if not again.head(1):
