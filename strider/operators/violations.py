@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
+from strider.operators import order
 
 
 def scores(kp: DataFrame, bones: list[tuple[int, int]], rest: float, gap: int = 2) -> DataFrame:
@@ -28,8 +29,8 @@ def scores(kp: DataFrame, bones: list[tuple[int, int]], rest: float, gap: int =
 def thresholds(frames: DataFrame, score: str, pct: float = 95.0, floor: float = 0.0, higher_is_worse: bool = True) -> DataFrame:
     """The percentile of a score over all real frames, at least ``floor``; where lower is worse, that of 100 - pct, without a floor."""
     if not higher_is_worse:
-        return frames.agg(F.percentile(score, F.lit((100 - pct) / 100)).alias("threshold"))
-    return frames.agg(F.greatest(F.percentile(score, F.lit(pct / 100)), F.lit(floor)).alias("threshold"))
+        return order.percentile(frames, [], score, (100 - pct) / 100, "threshold")
+    return order.percentile(frames, [], score, pct / 100, "threshold").select(F.greatest("threshold", F.lit(floor)).alias("threshold"))
 
 
 def intervals(flags: DataFrame) -> DataFrame:

@@ -46,6 +46,33 @@ def _bend_report(kp: DataFrame) -> DataFrame:
     return violations.report(frames, "bend", violations.thresholds(frames, "bend", floor=BEND_FLOOR))
 
 
+MEASURES = (("l_extendedprice", "lower_better", 2, 500.0), ("l_quantity", "higher_better", None, 0.0), ("l_discount", "lower_better", 0, 0.01))
+
+
+def _long_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(method, metric, episode, role, value) of three measures and, for metric ``lonely``, of few episodes."""
+    parts = [tables.scores(spark, d, m).withColumn("metric", F.lit(m)) for m, *_ in MEASURES]
+    few = tables.scores(spark, d).where("episode <= 3").withColumn("metric", F.lit("lonely"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(few)
+
+
+def _specs(spark: SparkSession) -> DataFrame:
+    rows = [(m, "u", e, way, floor) for m, way, e, floor in MEASURES] + [("lonely", "u", 1, "lower_better", None)]
+    return spark.createDataFrame(rows, "metric string, units string, dt_exponent int, direction string, noise_floor double")
+
+
+def _seconds(spark: SparkSession, d: str) -> DataFrame:
+    """Paired deltas with a method ``X`` that has no episode in common with the others."""
+    own = stats.paired_deltas(tables.scores(spark, d)).select("method", "episode", "delta")
+    return own.unionByName(own.where("method = 'R'").select(F.lit("X").alias("method"), (F.col("episode") + 1_000_000).alias("episode"), (F.col("delta") / 2).alias("delta")))
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    rows = stats.rank_methods(_taxes(spark, d).unionByName(spark.createDataFrame([("Z", None, "l_tax", "lower_better")], "method string, tax double, metric string, direction string")), "N")
+    said = lambda c, x: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], x(e["value"]))), ",")
+    return rows.select("method", F.round("mean_rank", 5).alias("mean_rank"), "n_axes", F.coalesce(said("axis_ranks", lambda v: v.cast("string")), F.lit("")).alias("axis_ranks"), F.coalesce(said("extra_cost", lambda v: F.when(v >= 0, "+").otherwise("-")), F.lit("")).alias("dearer"))
+
+
 def _taxes(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         stats.paired_deltas(tables.scores(spark, d, m)).groupBy("method").agg(F.median("delta").alias("tax")).withColumn("metric", F.lit(m)).withColumn("direction", F.lit(way))
@@ -126,10 +153,12 @@ _QUERIES = {
     "paired_deltas": _scores(stats.paired_deltas),
     "auroc": _scores(stats.auroc),
     "paired_tests": _scores(lambda s: stats.tests(stats.paired_deltas(s))),
-    "separation": _scores(stats.separation),
-    "second_difference": _scores(lambda s: stats.second_difference(stats.paired_deltas(s), "N")),
+    "separation": lambda spark, d: _rounded(stats.separation(_long_scores(spark, d), _specs(spark))),
+    "separation_tests": lambda spark, d: _rounded(stats.separation_tests(_long_scores(spark, d), _specs(spark))),
+    "second_difference": lambda spark, d: _rounded(stats.second_difference(_seconds(spark, d), "N")),
+    "second_difference_tests": lambda spark, d: _rounded(stats.second_difference_tests(_seconds(spark, d), "N")),
     "noise_floor": _scores(lambda s: stats.null_deltas(stats.paired_deltas(s))),
-    "rank_methods": lambda spark, d: _rounded(stats.rank_methods(_taxes(spark, d))),
+    "rank_methods": _ranked,
     "holm": holm_by_method,
     "violations_teleport": _report("teleport"),
     "violations_jerk": _report("jerk"),
@@ -200,7 +229,27 @@ SELECT clip, CASE WHEN n >= 8 AND path > 1e-9 THEN round(-ln(((n-1)*0.1)**5/path
     "auroc": f"""WITH {_SP}, r AS (SELECT method, role, rank() OVER (PARTITION BY method ORDER BY value) + (count(*) OVER (PARTITION BY method, value) - 1)/2.0 AS r FROM s),
 q AS (SELECT method, (sum(r) FILTER (role='pred') - count(*) FILTER (role='pred')*(count(*) FILTER (role='pred')+1)/2.0)/(count(*) FILTER (role='pred')*count(*) FILTER (role='gt')+1e-9) AS a FROM r GROUP BY method)
 SELECT method, round(a,5) AS auroc, round(2*a-1,5) AS cliffs_delta FROM q""",
-    "second_difference": f"WITH {_SP} SELECT p.method, count(*) AS n, round(median(p.delta-b.delta),5) AS extra FROM pd p JOIN pd b ON p.episode = b.episode AND b.method = 'N' WHERE p.method <> 'N' GROUP BY p.method",
+    "second_difference": f"""WITH {_SP}, x AS (SELECT method, episode, delta FROM pd UNION ALL SELECT 'X', episode + 1000000, delta / 2 FROM pd WHERE method = 'R'),
+c AS (SELECT p.method, count(*) AS n, median(p.delta-b.delta) AS extra FROM x p JOIN x b ON p.episode = b.episode AND b.method = 'N' WHERE p.method <> 'N' GROUP BY p.method),
+o AS (SELECT method, count(*) AS n, median(delta) AS m FROM x WHERE method <> 'N' GROUP BY method), b AS (SELECT count(*) AS n, median(delta) AS m FROM x WHERE method = 'N')
+SELECT o.method, c.n IS NOT NULL AS paired, coalesce(c.n, least(o.n, b.n)) AS n, round(coalesce(c.extra, o.m - b.m),5) AS extra FROM o LEFT JOIN c ON o.method = c.method, b""",
+    "separation": f"""WITH spec(metric, dt_exponent, direction, noise_floor) AS (VALUES ('l_extendedprice', 2, 'lower_better', 500.0::DOUBLE), ('l_quantity', NULL, 'higher_better', 0.0), ('l_discount', 0, 'lower_better', 0.01), ('lonely', 1, 'lower_better', NULL)),
+s AS ({" UNION ALL ".join(f"SELECT l_returnflag AS method, '{m}' AS metric, l_suppkey AS episode, CASE WHEN l_linestatus = 'F' THEN 'gt' ELSE 'pred' END AS role, avg({c}) AS value FROM lineitem {w} GROUP BY ALL" for m, c, w in (("l_extendedprice", "l_extendedprice", ""), ("l_quantity", "l_quantity", ""), ("l_discount", "l_discount", ""), ("lonely", "l_extendedprice", "WHERE l_suppkey <= 3")))}),
+pd AS (SELECT g.method, g.metric, p.value - g.value AS delta, direction FROM s g JOIN s p ON g.method = p.method AND g.metric = p.metric AND g.episode = p.episode AND g.role = 'gt' AND p.role = 'pred' JOIN spec ON spec.metric = g.metric),
+t AS (SELECT method, metric, count(*) AS n, median(delta) AS dm, avg(CASE WHEN (delta > 0 AND direction = 'lower_better') OR (delta < 0 AND direction = 'higher_better') THEN 1.0 ELSE 0.0 END) AS fw FROM pd GROUP BY ALL),
+sd AS (SELECT method, metric, median(value) FILTER (role = 'gt') AS rm, median(value) FILTER (role = 'pred') AS gm FROM s GROUP BY ALL),
+r AS (SELECT method, metric, role, rank() OVER (PARTITION BY method, metric ORDER BY value) + (count(*) OVER (PARTITION BY method, metric, value) - 1)/2.0 AS r FROM s),
+q AS (SELECT method, metric, (sum(r) FILTER (role='pred') - count(*) FILTER (role='pred')*(count(*) FILTER (role='pred')+1)/2.0)/(count(*) FILTER (role='pred')*count(*) FILTER (role='gt')+1e-9) AS a FROM r GROUP BY ALL),
+z AS (SELECT s.method, s.metric, spec.dt_exponent, spec.direction, spec.noise_floor, coalesce(t.n, 0) AS n, dm, fw, rm, gm, CASE WHEN spec.direction = 'higher_better' THEN 1 - a ELSE a END AS a, coalesce(t.n, 0) >= 5 AS ok
+  FROM (SELECT DISTINCT method, metric FROM s) s JOIN spec USING (metric) LEFT JOIN t USING (method, metric) LEFT JOIN sd USING (method, metric) LEFT JOIN q USING (method, metric))
+SELECT method, metric, 'u' AS units, dt_exponent, direction, dt_exponent IS NOT NULL AS rate_comparable, n, CASE WHEN ok THEN round(rm,5) END AS real_median, CASE WHEN ok THEN round(gm,5) END AS gen_median, CASE WHEN ok THEN round(dm,5) END AS delta_median, CASE WHEN ok THEN round(fw,5) END AS frac_worse,
+  CASE WHEN ok THEN round(a,5) END AS separation, CASE WHEN ok THEN round(2*a-1,5) END AS cliffs_delta, noise_floor, CASE WHEN ok AND noise_floor <> 0 THEN abs(dm)/noise_floor > 1 END AS above_noise,
+  CASE WHEN ok AND a IS NOT NULL THEN CASE WHEN greatest(a, 1-a) >= 0.8 THEN 'strong' WHEN greatest(a, 1-a) >= 0.6 THEN 'clear' ELSE 'can''t tell' END END AS verdict, CASE WHEN NOT ok THEN 'too_few_episodes:' || n || '<5' END AS reason FROM z""",
+    "rank_methods": f"""WITH {", ".join(_S.format(m=m).replace("s AS", f"s{i} AS").replace("pd AS", f"pd{i} AS").replace("FROM s g JOIN s p", f"FROM s{i} g JOIN s{i} p") for i, m in enumerate(("l_extendedprice", "l_quantity", "l_discount")))},
+x AS (SELECT method, 'l_extendedprice' AS metric, median(delta) AS o FROM pd0 GROUP BY method UNION ALL SELECT method, 'l_quantity', -median(delta) FROM pd1 GROUP BY method UNION ALL SELECT method, 'l_discount', median(delta) FROM pd2 GROUP BY method),
+y AS (SELECT *, count(*) OVER (PARTITION BY metric) AS many FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY o, method) AS rank, max(CASE WHEN method = 'N' THEN o END) OVER (PARTITION BY metric) AS base FROM y WHERE many >= 2),
+g AS (SELECT method, avg(rank) AS mean_rank, count(*) AS n_axes, string_agg(metric || '=' || rank, ',' ORDER BY metric) AS axis_ranks, string_agg(CASE WHEN method <> 'N' AND base IS NOT NULL THEN metric || '=' || CASE WHEN o - base >= 0 THEN '+' ELSE '-' END END, ',' ORDER BY metric) AS dearer FROM r GROUP BY method)
+SELECT m.method, round(mean_rank,5) AS mean_rank, coalesce(n_axes, 0) AS n_axes, coalesce(axis_ranks, '') AS axis_ranks, coalesce(dearer, '') AS dearer FROM (SELECT DISTINCT method FROM x UNION SELECT 'Z') m LEFT JOIN g USING (method)""",
     "noise_floor": f"WITH {_SP} SELECT method, count(*) AS n, round(avg(delta),5) AS mean, round(median(delta),5) AS median, round(stddev_pop(delta),5) AS std, round(quantile_cont(abs(delta),0.95),5) AS p95_abs, round(median(abs(delta)),5) AS median_abs FROM pd GROUP BY method",
     "holm": """WITH p AS (SELECT l_returnflag AS method, l_linenumber::VARCHAR AS metric, round(avg(CASE WHEN l_quantity < 3 THEN 1.0 ELSE 0.0 END),9) AS p FROM lineitem GROUP BY ALL),
 q AS (SELECT *, (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, metric) + 1)*p AS s FROM p)

@@ -21,7 +21,7 @@ def compare(spark, query, sql, data=DATA):
     cols = sorted(ours.columns)
 
     def sorted_rows(df):
-        text = df[cols].apply(lambda c: c.map(lambda v: None if v is None or v != v else (float(f"{v:.3f}") + 0.0 if isinstance(v, float) else v)))
+        text = df[cols].apply(lambda c: c.map(lambda v: None if pd.isna(v) else (float(f"{v:.3f}") + 0.0 if isinstance(v, float) else v)))
         return df[cols].iloc[text.astype(str).agg("|".join, axis=1).argsort(kind="stable")].reset_index(drop=True)
 
     ours, theirs = sorted_rows(ours), sorted_rows(theirs)
