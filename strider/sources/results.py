@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATUSES = ("ok", "skipped", "failed")
 #: One line of the store.
@@ -24,10 +25,23 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path) if there else spark.createDataFrame([], SCHEMA)
 
 
+def conformed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns and fields of ``SCHEMA``, null where they lack one; others are left out."""
+    def field(at: str, f: T.StructField, given: T.StructType | None):
+        have = given is not None and f.name in given.fieldNames()
+        if isinstance(f.dataType, T.StructType):
+            inner = given[f.name].dataType if have else None
+            made = F.struct(*[field(f"{at}{f.name}.", g, inner) for g in f.dataType.fields])
+            return (F.when(F.col(at + f.name).isNotNull(), made) if have else F.lit(None).cast(f.dataType)).alias(f.name)
+        return (F.col(at + f.name) if have else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    wanted = T.StructType.fromDDL(SCHEMA)
+    return rows.select(*[field("", f, rows.schema) for f in wanted.fields])
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """Add lines to a store, as files of their own that are committed together."""
-    wanted = rows.sparkSession.createDataFrame([], SCHEMA).schema
-    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields]).write.mode("append").json(path)
+    conformed(rows).write.mode("append").json(path)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
@@ -51,11 +65,13 @@ def keys(results: DataFrame) -> DataFrame:
 
 def metric_rows(results: DataFrame) -> DataFrame:
     """(path, suite_id, reader_id, status, metric, value, reason): each metric of each line, with a value or the reason for none."""
-    at = F.map_concat(F.transform_values(F.coalesce("metrics_unavailable", F.create_map().cast("map<string,string>")), lambda k, v: F.lit(None).cast("double")), F.coalesce("metrics", F.create_map().cast("map<string,double>")))
-    named = results.select(F.col("clip.path").alias("path"), F.col("run.suite_id").alias("suite_id"), F.col("run.reader_id").alias("reader_id"), "status", "metrics_unavailable", F.map_filter(at, lambda k, v: F.lit(True)).alias("m"))
-    return named.select("path", "suite_id", "reader_id", "status", "metrics_unavailable", F.explode("m").alias("metric", "value")).select(
-        "path", "suite_id", "reader_id", "status", "metric", "value", F.when(F.col("value").isNull(), F.col("metrics_unavailable")[F.col("metric")]).alias("reason")
-    )
+    names = lambda c: F.coalesce(F.map_keys(c), F.array().cast("array<string>"))
+    each = F.explode(F.array_union(names("metrics"), names("metrics_unavailable"))).alias("metric")
+    value = F.col("metrics")[F.col("metric")]
+    return results.select("clip", "run", "status", "metrics", "metrics_unavailable", each).select(
+        F.col("clip.path").alias("path"), F.col("run.suite_id").alias("suite_id"), F.col("run.reader_id").alias("reader_id"), "status", "metric", value.alias("value"),
+        F.when(value.isNull(), F.col("metrics_unavailable")[F.col("metric")]).alias("reason"),
+    )
 
 
 def unscored(manifest: DataFrame, results: DataFrame, suite_id: str, reader_id: str) -> DataFrame:
