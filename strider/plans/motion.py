@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
-from strider.operators import metrics, reference, resample
+from strider.operators import feasibility, metrics, reference, resample, traces
 from strider.sources import tables
 from strider.streaming import detectors
 
@@ -88,7 +90,39 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("start", F.unix_timestamp("start")).withColumn("end", F.unix_timestamp("end"))
 
 
+ARMS, BODY, FEET = [[2, 3, 4, 5], [8, 9, 10, 11]], {0: 0.2, 1: 0.1}, [18, 19]
+MASSES = {0: 5.0, 1: 3.0, 20: 1.0}
+LENGTHS, LINKS, RATED = [0.4, 0.3], [2.0, 1.0], [40.0, 15.0]
+
+
+def collisions(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(feasibility.collisions(feasibility.penetration(tables.keypoints(spark, d), ARMS, BODY)))
+
+
+def balance(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(feasibility.balance(tables.keypoints(spark, d), MASSES, FEET))
+
+
+def smoothed(spark: SparkSession, d: str) -> DataFrame:
+    rows = feasibility.smoothed(tables.joints(spark, d))
+    return _rounded(rows.select("clip", "t", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b")))
+
+
+def torque(spark: SparkSession, d: str) -> DataFrame:
+    own = feasibility.planar_torques(feasibility.smoothed(tables.joints(spark, d)), DT, LENGTHS, LINKS)
+    return _rounded(feasibility.peak_share(own, RATED), 4)
+
+
+def frame_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's largest step and jerk of a clip as traces, unfolded again."""
+    w = S.clip_window()
+    kp = tables.keypoints(spark, d)
+    frames = kp.select(F.col("clip").cast("string").alias("clip_id"), "t", F.array_max(S.norms(S.difference("p", 1, w))).alias("step"), F.array_max(S.norms(S.difference("p", 3, w))).alias("jerk"))
+    return _rounded(traces.unfolded(traces.traces(frames, ["step", "jerk"])))
+
+
 QUERIES = {
+    "metrics_collision": collisions, "metrics_balance": balance, "joints_smoothed": smoothed, "metrics_torque": torque, "frame_traces": frame_traces,
     "resample_plan": resample_plan, "resample_decimate": resample_decimate, "resample_interpolate": resample_interpolate,
     "reference_baselines": baselines, "reference_invariance": invariance, "reference_w1": wasserstein, "reference_frechet": frechet,
     "event_windows": event_windows, "event_sliding_windows": event_sliding_windows, "event_sessions": event_sessions,
@@ -104,8 +138,33 @@ def sql(temporal: str, points: str, joints: str) -> dict[str, str]:
 terms AS (SELECT clip, metric, CASE WHEN n_frames >= least THEN v END AS value FROM u),
 b0 AS (SELECT metric, median(value) AS base FROM terms GROUP BY metric),
 b AS (SELECT metric, any_value(base) AS base, greatest(median(abs(value - base)), 0.001) AS floor FROM terms JOIN b0 USING (metric) GROUP BY metric)"""
+    spot = lambda k, c: f"e[{3 * k + c + 1}]"
+    sphere = lambda chain, first: [
+        *[[f"({spot(i, c)} + ({spot(j, c)} - {spot(i, c)}) * {s / 3!r})" for c in range(3)] for i, j in zip(chain[first:], chain[first + 1 :], strict=False) for s in range(3)], [spot(chain[-1], c) for c in range(3)],
+    ]
+    gap = lambda r, a, b: f"{r!r} - sqrt({' + '.join(f'({x} - {y})**2' for x, y in zip(a, b, strict=True))})"
+    radius = feasibility.ARM_RADIUS
+    depths = [gap(radius + r, a, [spot(k, c) for c in range(3)]) for arm in ARMS for a in sphere(arm, 1) for k, r in BODY.items()]
+    depths += [gap(2 * radius, a, b) for a in sphere(ARMS[0], 0) for b in sphere(ARMS[1], 0)]
+    taps = [math.exp(-0.5 * k * k) for k in range(-3, 4)]
+    near = lambda c, k: f"coalesce({'lead' if k > 0 else 'lag'}({c}, {abs(k)}) OVER w, {'last_value' if k > 0 else 'first_value'}({c}) OVER v)" if k else c
+    mixed = lambda c: " + ".join(f"{near(c, k)} * {v / sum(taps)!r}" for k, v in zip(range(-3, 4), taps, strict=True))
+    smooth = f"{joints}, sm AS (SELECT clip, t, {mixed('a')} AS a, {mixed('b')} AS b FROM j WINDOW w AS (PARTITION BY clip ORDER BY t), v AS (PARTITION BY clip ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+    com = lambda c: f"({' + '.join(f'{m!r} * {spot(k, c)}' for k, m in MASSES.items())}) / {sum(MASSES.values())!r}"
+    edge = lambda c: f"{com(c)} - (least({spot(18, c)}, {spot(19, c)}) - 0.12), greatest({spot(18, c)}, {spot(19, c)}) + 0.12 - {com(c)}"
+    second = lambda c: f"(lead({c}) OVER w - 2 * {c} + lag({c}) OVER w) / 0.01"
     at = ", ".join(repr(i / (reference.QUANTILES - 1)) for i in range(reference.QUANTILES))
     return {
+        "metrics_collision": f"""WITH {points}, z AS (SELECT clip, greatest(0, {", ".join(depths)}) AS depth FROM kp)
+SELECT clip, round(avg(depth) * 1000, 5) AS penetration_mm, round(avg(CASE WHEN depth > 0.01 THEN 1.0 ELSE 0.0 END), 5) AS self_collision_frac FROM z GROUP BY clip""",
+        "metrics_balance": f"WITH {points} SELECT clip, round(avg(least({edge(0)}, {edge(1)})), 5) AS com_margin_m FROM kp GROUP BY clip",
+        "joints_smoothed": f"WITH {smooth} SELECT clip, t, round(a, 5) AS a, round(b, 5) AS b FROM sm",
+        "metrics_torque": f"""WITH {smooth}, po AS (SELECT clip, t, a AS a1, a + b AS a2, 0.2 * cos(a) AS x1, 0.2 * sin(a) AS y1, 0.4 * cos(a) AS px, 0.4 * sin(a) AS py, 0.4 * cos(a) + 0.15 * cos(a + b) AS x2, 0.4 * sin(a) + 0.15 * sin(a + b) AS y2 FROM sm),
+ac AS (SELECT *, {second('x1')} AS ax1, {second('y1')} AS ay1, {second('x2')} AS ax2, {second('y2')} AS ay2, {second('a1')} AS s1, {second('a2')} AS s2 FROM po WINDOW w AS (PARTITION BY clip ORDER BY t)),
+tq AS (SELECT clip, (x1 * 2 * (ay1 + 9.81) - y1 * 2 * ax1) + 2 * 0.16 / 12 * s1 + (x2 * (ay2 + 9.81) - y2 * ax2) + 0.09 / 12 * s2 AS t1, ((x2 - px) * (ay2 + 9.81) - (y2 - py) * ax2) + 0.09 / 12 * s2 AS t2 FROM ac WHERE ax1 IS NOT NULL)
+SELECT clip, round(100 * quantile_cont(greatest(abs(t1) / 40, abs(t2) / 15), 0.98), 4) AS torque_frac_rated FROM tq GROUP BY clip""",
+        "frame_traces": f"""WITH {points}, g AS (SELECT clip::VARCHAR AS clip_id, t, max(d1) AS step, max(d3) AS jerk FROM d GROUP BY clip, t)
+SELECT clip_id, 'step' AS metric, (t - 1)::INT AS frame, round(step, 5) AS value FROM g WHERE step IS NOT NULL UNION ALL SELECT clip_id, 'jerk', (t - 1)::INT, round(jerk, 5) FROM g WHERE jerk IS NOT NULL""",
         "resample_plan": """WITH c AS (SELECT user_id AS clip, count(*) AS n, (user_id % 6 + 1) * 5.0::DOUBLE AS fps FROM events GROUP BY user_id)
 SELECT *, CASE WHEN fps = 10 THEN 'noop' WHEN fps < 10 THEN 'refuse' WHEN fps % 10 = 0 THEN 'decimate' ELSE 'interpolate' END AS action, CASE WHEN fps > 10 AND fps % 10 = 0 THEN (fps / 10)::INT END AS factor FROM c""",
         "resample_decimate": f"WITH {joints} SELECT clip, ((t - 1) // 3 + 1)::INT AS t, round(a, 5) AS a, round(b, 5) AS b FROM j WHERE (t - 1) % 3 = 0",
