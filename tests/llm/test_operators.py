@@ -397,10 +397,34 @@ def test_urls(spark):
     assert got[7][2:] == (None, "block") and got[8][3] == "block" and got[9][2] == "net/" and got[10] == ("x.net", "", None, "allow")
 
 
-def test_licenses(spark):
+def brute_licenses(text, templates=None):
+    """Shares of the shingles of each template that some window of the text holds."""
+    cut = lambda t: (lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)])(re.sub(r"[^\W_]+|(.)", lambda m: " " if m[1] else m[0], t, flags=re.S).lower().split())
+    own, out = cut(text or ""), {}
+    for name, body in licenses.TEMPLATES.items():
+        have = cut(body)
+        if not have:
+            continue
+        window = 2 << (len(have) - 1).bit_length()
+        best = max((len(set(own[at : at + window]) & set(have)) / len(set(have)) for at in range(0, max(1, len(own)), window // 2)), default=0)
+        if best >= 0.8:
+            out[name] = best
+    return out
+
+
+@pytest.mark.parametrize("most", [licenses.MOST_SHINGLES, 0])
+def test_licenses(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_SHINGLES", most)
+    rng = np.random.default_rng(2)
     rows = [(i, "pad " * i + body + " more words here", "en", "s") for i, body in enumerate(licenses.TEMPLATES.values())]
-    rows += [(100, None, "", ""), (101, "", "", ""), (102, "under the MIT", "", ""), (103, "x " * 500 + "RELEASED under\nthe MIT-License!" + " y" * 500, "", "")]
-    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    for i, name in enumerate(licenses.TEMPLATES):
-        assert name in got[i].licenses.split(",") and got[i].containment == 1
-    assert [got[i].n_licenses for i in (100, 101, 102, 103)] == [0, 0, 0, 1]
+    rows += [(100, None, "", ""), (101, "", "", ""), (102, "under the MIT", "", ""), (103, "x " * 500 + "RELEASED under\nthe MIT-License!" + " y" * 500, "", ""), (None, rows[0][1], "", ""), (0, rows[0][1], "", "")]
+    for i, body in enumerate(list(licenses.TEMPLATES.values()) * 2):  # with words changed or left out
+        w = body.split()
+        for at in rng.choice(len(w), max(1, len(w) // (12 + 20 * (i % 3))), replace=False):
+            w[at] = "changed" if i % 2 else ""
+        rows.append((200 + i, f"start {i} " * 30 + " ".join(w) + " end" * 40, "en", "s"))
+    got = licenses.scan_licenses(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = sorted((-1 if i is None else i, ",".join(sorted(f)), round(max(f.values(), default=0.0), 9)) for i, t, *_ in rows for f in [brute_licenses(t)])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.licenses, round(r.containment, 9)) for r in got) == want
+    assert all(r.n_licenses == len([x for x in r.licenses.split(",") if x]) for r in got)
