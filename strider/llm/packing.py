@@ -199,7 +199,7 @@ def _swept(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
     return ranged.mapInPandas(of, _ROUND)
 
 
-def _met(swept: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _met(swept: DataFrame, most: int, ranges: int) -> tuple[DataFrame, DataFrame]:
     """What the ranges leave, matched across them: (kind, id, size, level, gap, room, slot) of each document, and the gaps no document can use.
 
     Read from the largest size down, gaps are opening and documents closing brackets: a document
@@ -214,14 +214,14 @@ def _met(swept: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     up = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     left = swept.where(F.col("kind").isin(DOC, GAP))
     largest = left.groupBy("pid").agg(F.max(F.when(F.col("kind") == DOC, F.col("size"))).alias("largest"), F.count_if(F.col("kind") == DOC).alias("docs"))
-    ranges = if_small(written(largest.select("pid", "docs", F.max("largest").over(up).alias("below")), "ranges"))
+    below = if_small(written(largest.select("pid", "docs", F.max("largest").over(up).alias("below")), "ranges", ranges))
     slots = F.when(F.col("below").isNull(), 0).otherwise(F.least(F.lit(most), F.floor(F.col("size") / F.col("below")))).cast("int")
-    gaps = left.where(F.col("kind") == GAP).join(ranges.drop("docs"), "pid").withColumn("slots", slots)
+    gaps = left.where(F.col("kind") == GAP).join(below.drop("docs"), "pid").withColumn("slots", slots)
     open_gaps = gaps.where("slots > 0")
     in_range = Window.partitionBy("pid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     opened = open_gaps.groupBy("pid").agg(F.sum("slots").alias("opens"))
-    sums = ranges.join(opened, "pid", "left").select("pid", "docs", F.coalesce(F.sum(F.coalesce("opens", F.lit(0)) - F.col("docs")).over(down), F.lit(0)).alias("before"))
-    levels = if_small(written(sums, "levels"))
+    sums = below.join(opened, "pid", "left").select("pid", "docs", F.coalesce(F.sum(F.coalesce("opens", F.lit(0)) - F.col("docs")).over(down), F.lit(0)).alias("before"))
+    levels = if_small(written(sums, "levels", ranges))
     closing = left.where(F.col("kind") == DOC).join(levels, "pid").select("pid", "kind", "id", "size", F.lit(0).alias("slot"), (F.col("before") - F.col("rank")).alias("level"))
     first = open_gaps.withColumn("first", F.coalesce(F.sum("slots").over(in_range), F.lit(0))).join(levels, "pid")
     opening = first.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(
@@ -265,7 +265,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
         done.append(after.where(F.col("kind") == PLACED).select("id", "seq", "at"))
         if not waiting:
             break
-        swept = written(_swept(after.where(F.col("kind") != PLACED), capacity, math.ceil((waiting + gaps_left) / rows_a_task)), "swept")
+        items, ranges = waiting + gaps_left, math.ceil((waiting + gaps_left) / rows_a_task)
+        swept = written(_swept(after.where(F.col("kind") != PLACED), capacity, ranges), "swept")
         done.append(swept.where(F.col("kind") == PLACED).select("id", "seq", "at"))
         sums = {r["kind"]: r for r in swept.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least")).collect()}
         of = lambda k, c: sums[k][c] if k in sums else 0  # noqa: E731, B023
@@ -273,8 +274,8 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
         if not waiting:
             break
         most = 1 + 2 * waiting // max(1, of(GAP, "n"))
-        found, unused = _met(swept, most)
-        met = written(found, "met")
+        found, unused = _met(swept, most, ranges)
+        met = written(found, "met", items)
         without = met.where((F.col("kind") == DOC) & F.col("gap").isNull()).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
         matched, rest = waiting - without["n"], without["size"] or 0
         room = of(GAP, "size") + of(SHRUNK, "size") - (of(DOC, "size") - rest)
@@ -290,7 +291,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, rows_a_task: int = ROWS
         parts = [placed, plain(GAP, gaps.where("next is null").withColumn("size", F.col("size") - F.col("upto"))), plain(GAP, unused), plain(GAP, swept.where(F.col("kind") == SHRUNK))]
         parts += [opened(docs.where(F.col("level") > -new)), plain(DOC, docs.where(F.col("level") <= -new))]
         then = functools.reduce(DataFrame.unionByName, parts)
-        after = written(then.where((F.col("kind") != GAP) | (F.col("size") >= least)), "packed")
+        after = written(then.where((F.col("kind") != GAP) | (F.col("size") >= least)), "packed", items)
         drop_written(met)
     else:
         raise RuntimeError(f"packing did not end in {MAX_ROUNDS} rounds")
