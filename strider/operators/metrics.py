@@ -29,6 +29,7 @@ class MetricSpec:
 SPECS = {s.key: s for s in (
     MetricSpec("rigidity_residual_mm", "mm", 0, ("P",), 1),
     MetricSpec("rigidity_wobble_mm", "mm", 0, ("P",), 2),
+    MetricSpec("rigidity_worst_bone_mm", "mm", 0, ("P",), 2),
     MetricSpec("mean_speed_mps", "m/s", 1, ("P",), 2),
     MetricSpec("mean_accel_mps2", "m/s^2", 2, ("P",), 3),
     MetricSpec("max_accel_mps2", "m/s^2", 2, ("P",), 3),
@@ -52,6 +53,7 @@ SPECS = {s.key: s for s in (
     MetricSpec("penetration_mm", "mm", 0, ("q", "colliders"), 1),
     MetricSpec("self_collision_frac", "1", 0, ("q", "colliders"), 1),
     MetricSpec("com_margin_m", "m", 0, ("q", "support_polygon"), 1, "higher_better"),
+    MetricSpec("torque_frac_rated", "%", None, ("q", "inertia"), 3),
     MetricSpec("no_teleport_frac", "1", None, ("P",), 2),
 )}
 
