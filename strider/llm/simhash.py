@@ -333,12 +333,11 @@ def candidate_pairs(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFram
     return out
 
 
-def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST, many: bool = True) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST) -> DataFrame:
     """Enough of ``pairs`` of nodes to join the same ones as all whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     ``texts`` gives the (node, text) of a table of nodes, perhaps more than once each. Similarities are exact, on whole texts. A node is compared with its
-    smallest partner first if there are ``many`` pairs a node; of the other pairs, those that this has
-    joined already need no comparison.
+    smallest partner first; of the other pairs, those that this has joined already need no comparison.
     """
 
     @F.pandas_udf("array<long>")
@@ -347,29 +346,24 @@ def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], wid
             yield pd.Series([shingle_set(t, width).view("<i8") for t in some], dtype=object)
 
     n = pairs.count()
-    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends", n)
-    sets = written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
+        some = written(some, "pairs", n)
+        ends = written(some.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends", n)
+        sets = written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
         both = some.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
         common = F.size(F.array_intersect("a", "b"))
-        return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst")
-
-    if not many:
-        links = written(similar(pairs), "links")
-        drop_written(ends, sets)
-        return links
-    first = written(pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"), "first", n)
-    links = written(similar(first), "links")
-    known = written(connected_components(links), "known", n)
-    other = pairs.join(first, ["src", "dst"], "left_anti")
-    other = other.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
+        out = written(both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst"), "links")
+        drop_written(some, ends, sets)
+        return out
+
+    first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    known = written(connected_components(similar(first)), "known", n)
+    other = pairs.join(known.select(F.col("node").alias("src"), F.col("component").alias("c")), "src", "left").join(
         known.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst", "left"
     )
-    more = written(similar(written(other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).select("src", "dst"), "other", n)), "links")
-    out = known.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(more)
-    drop_written(ends, sets, first, links)
-    return out
+    other = other.where(F.coalesce("c", "src") != F.coalesce("d", "dst")).select("src", "dst").join(first, ["src", "dst"], "left_anti")
+    return known.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(similar(other))
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
@@ -397,7 +391,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     joined = written(connected_components(similar_pairs(led_pairs, texts, width, least)), "joined", n)
     known = written(nodes.join(if_small(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
     more_pairs = candidate_pairs(known, bits, crowd)
-    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(similar_pairs(more_pairs, texts, width, least, False))
+    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(similar_pairs(more_pairs, texts, width, least))
     of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups", n)
     drop_written(nodes, known, led_pairs, more_pairs, reps)
     return rows.select("doc_id", "digest", "cls").join(if_small(of), "cls").select("doc_id", "digest", "component")
