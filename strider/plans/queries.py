@@ -203,6 +203,8 @@ SELECT fl.clip, round(any_value(threshold), 2) AS threshold, round(avg(CASE WHEN
 FROM fl LEFT JOIN runs ON fl.clip = runs.clip GROUP BY fl.clip"""
 
 
+_COLLISION = "col AS (SELECT a.clip, a.t, min(sqrt((a.x-c.x)**2+(a.y-c.y)**2+(a.z-c.z)**2))*1000 AS collision FROM pts a JOIN pts c ON a.clip = c.clip AND a.t = c.t AND c.k >= a.k + 2 GROUP BY a.clip, a.t)"
+
 _MAN = """man AS (SELECT o_orderkey AS path, c_mktsegment AS family, o_custkey AS pair_key, CASE WHEN o_orderkey % 2 = 0 THEN 'gt' ELSE 'pred' END AS role, o_orderstatus AS codec, o_totalprice/1000 AS dt, length(o_orderpriority) AS w FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 _SQL = {
@@ -255,7 +257,12 @@ SELECT m.method, round(mean_rank,5) AS mean_rank, coalesce(n_axes, 0) AS n_axes,
 q AS (SELECT *, (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, metric) + 1)*p AS s FROM p)
 SELECT method, metric, round(p,6) AS p, round(least(1.0, max(s) OVER (PARTITION BY method ORDER BY p, metric ROWS UNBOUNDED PRECEDING)),6) AS p_holm FROM q""",
     "violations_teleport": _report_sql("teleport"), "violations_jerk": _report_sql("jerk"), "violations_rigidity": _report_sql("rigidity"),
-    "violation_scores": f"""WITH {_FRAMES}, col AS (SELECT a.clip, a.t, min(sqrt((a.x-c.x)**2+(a.y-c.y)**2+(a.z-c.z)**2))*1000 AS collision FROM pts a JOIN pts c ON a.clip = c.clip AND a.t = c.t AND c.k >= a.k + 2 GROUP BY a.clip, a.t)
+    "violations_collision": f"""WITH {_KP}, {_COLLISION}, th AS (SELECT quantile_cont(collision, 0.05) AS threshold FROM col),
+fl AS (SELECT clip, t, threshold / greatest(collision, 1e-9) AS s, threshold, collision < threshold AS flag FROM col, th),
+isl AS (SELECT clip, t - row_number() OVER (PARTITION BY clip ORDER BY t) AS i FROM fl WHERE flag), runs AS (SELECT clip, count(DISTINCT i) AS runs FROM isl GROUP BY clip)
+SELECT fl.clip, round(any_value(threshold), 2) AS threshold, round(avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END), 3) AS fraction, count(*) FILTER (flag) AS n_flagged,
+  round(median(s), 3) AS severity_median, round(quantile_cont(s, 0.9), 3) AS severity_p90, coalesce(any_value(runs), 0) AS runs FROM fl LEFT JOIN runs ON fl.clip = runs.clip GROUP BY fl.clip""",
+    "violation_scores": f"""WITH {_FRAMES}, {_COLLISION}
 SELECT clip, t, round(rigidity,5) AS rigidity, round(teleport,5) AS teleport, round(jerk,5) AS jerk, round(collision,5) AS collision FROM f JOIN col USING (clip, t)""",
     "episode_cap": f"WITH {_MAN} SELECT path, family FROM man QUALIFY row_number() OVER (PARTITION BY family ORDER BY path) <= 100",
     "resume_anti_join": f"WITH {_MAN} SELECT path, family FROM man WHERE path NOT IN (SELECT l_orderkey FROM lineitem)",
