@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm import langid, licenses, mixing, neardup, neighbours, packing, secrets, simhash, urls, warc
+from strider.llm import chat, langid, lexical, licenses, mixing, neardup, neighbours, packing, secrets, simhash, urls, warc, whitening
 from strider.llm.tables import small_batches
 
 
@@ -61,10 +61,33 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+#: The conversation that says the control strings of the template, beside those of the table.
+SAYS_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, k, role, SAYS_CONTROL) for k, role in enumerate(("user", "assistant"))], given.schema)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(chat.format_conversations(given.unionByName(added), path), path)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict:
     ops = (
         op1_url_filter, op2_language_id, op3_secret_scan, op4_source_mix, op5_simhash_dedup, op6_best_fit_packing,
         op7_warc_round_trip, op8_embedding_dedup, op9_nearest_neighbours, op10_license_scan,
+        op11_chat_format, op12_lexical_search, op13_whitening,
     )
     return {f.__name__: f for f in ops}
 
@@ -120,5 +143,34 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_link
 FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id"""
 
 
+_OP11 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (SELECT *, len(regexp_extract_all(role, '<\\*\|(im_start|im_sep|im_end)\|>')) + len(regexp_extract_all(text, '<\\*\|(im_start|im_sep|im_end)\|>')) AS escapes FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(32 + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+c AS (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d WHERE len(ts) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM c WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM df, s),
+p AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM b JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM p WHERE score > 0 QUALIFY rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op7_warc_round_trip": _OP7, "op8_embedding_dedup": _OP8}
+    return {"op1_url_filter": _OP1, "op7_warc_round_trip": _OP7, "op8_embedding_dedup": _OP8, "op11_chat_format": _OP11, "op12_lexical_search": _OP12}
