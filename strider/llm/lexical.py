@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,11 +33,11 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split() if text else []
 
 
-def places(term: bytes) -> np.ndarray:
-    """Where the entries of a term lie in a signature, before the remainder by its bits: a row for each level."""
-    h = xxhash.xxh3_128_intdigest(term)
-    one, two = h & 0xFFFFFFFF, (h >> 64) & 0xFFFFFFFF | 1
-    return (one + two * np.arange(len(LEVELS) * PROBES, dtype=np.int64)).reshape(len(LEVELS), PROBES)
+def places(found: Iterable[bytes], n: int) -> np.ndarray:
+    """Where the entries of ``n`` terms lie in a signature, before the remainder by its bits: (term, level, probe)."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n)
+    one, two = (h & np.uint64(0xFFFFFFFF)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) | 1
+    return (one[:, None] + two[:, None] * np.arange(len(LEVELS) * PROBES)).reshape(n, len(LEVELS), PROBES)
 
 
 def impact_bounds(lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
@@ -56,6 +56,9 @@ class Items:
     vocabulary: list[bytes]
     weights: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.places = places(self.vocabulary, len(self.vocabulary))
+
     def weigh(self, df: dict[bytes, int], n_docs: int) -> None:
         self.weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(t, 0) + 1))) for t in self.vocabulary], np.int64)
 
@@ -109,22 +112,16 @@ def _signer(vocabulary: list[bytes], kind: pa.DataType, signatures: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[int, _Block] = {}
         df: Counter = Counter()
-        known: dict[bytes, np.ndarray] = {}
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 counts = Counter(terms(text.as_py()))
                 if not counts:
                     continue
-                df.update(wanted & counts.keys())
+                df.update(wanted.intersection(counts))
                 if not signatures:
                     continue
-                parts = []
-                for t, tf in counts.items():
-                    p = known.get(t)
-                    if p is None:
-                        p = known[t] = places(t)
-                    parts.append(p[0] if tf == 1 else p[: sum(tf >= x for x in LEVELS)].ravel())
-                held = np.concatenate(parts)
+                tf = np.fromiter(counts.values(), np.int64, len(counts))
+                held = places(counts, len(counts))[tf[:, None] >= np.array(LEVELS)].ravel()
                 size = max(0, (len(held) // PROBES - 1).bit_length())
                 block = open_blocks.get(size)
                 if block is None:
@@ -134,8 +131,6 @@ def _signer(vocabulary: list[bytes], kind: pa.DataType, signatures: bool):
                 block.bits.append((held & ((BITS_PER_ENTRY << size) - 1)).astype(np.uint32))
                 if len(block.ids) == block.room:
                     yield row(open_blocks.pop(size))
-                if len(known) > 200_000:
-                    known.clear()
         for block in open_blocks.values():
             yield row(block)
         if df:
@@ -173,15 +168,14 @@ def bounds(slices: np.ndarray, caps: np.ndarray, items: Items, chunk: slice) ->
     """
     rows = items.rows[chunk]
     used, where = np.unique(np.concatenate(rows), return_inverse=True)
-    at = np.stack([places(items.vocabulary[t]) for t in used]) & (len(slices) - 1)
+    at = items.places[used] & (len(slices) - 1)
     there = np.bitwise_and.accumulate(np.bitwise_and.reduce(slices[at], axis=2), axis=1)
-    bits = np.unpackbits(there, axis=2, count=caps.shape[1]).astype(np.float64)
-    steps = np.diff(caps, axis=0).astype(np.float64)
-    gains = sum(bits[:, level] * steps[level] for level in range(len(LEVELS))) * items.weights[used].astype(np.float64)[:, None]
-    holds = np.zeros((len(rows), len(used)))
-    holds[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), where] = 1
+    term, level = np.nonzero(there.any(axis=2))
+    gains = np.unpackbits(there[term, level], axis=1, count=caps.shape[1]) * np.diff(caps, axis=0).astype(np.float64)[level]
+    weights = np.zeros((len(rows), len(used)))
+    weights[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), where] = items.weights[used][where]
     # All sums are whole numbers below 2^53 for items of up to 300,000 terms; the factor covers any beyond.
-    return np.floor(holds @ gains * (1 + 1e-9)) + 1.0 * (holds @ (gains > 0) > 0)
+    return np.floor(weights[:, term] @ gains * (1 + 1e-9))
 
 
 def _bounded(items: Items, n_docs: int, n_terms: int, least: np.ndarray | None, kind: pa.DataType):
@@ -218,20 +212,26 @@ def _bounded(items: Items, n_docs: int, n_terms: int, least: np.ndarray | None,
 
 def _scorer(items: Items, n_docs: int, n_terms: int):
     """(doc_id, text, items) to the exact scores above 0."""
-    weighted = [[(items.vocabulary[t], int(items.weights[t])) for t in row] for row in items.rows]
+    index = {t: k for k, t in enumerate(items.vocabulary)}
+    wanted_terms = set(index)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adds = np.zeros(len(index), np.int64)  # what each term adds to the score of the document at hand
         for b in batches:
             item, at, score = [], [], []
             for k, (text, wanted) in enumerate(zip(b.column("text"), b.column("items"), strict=True)):
                 counts = Counter(terms(text.as_py()))
                 m = 50 + (50 * counts.total() * n_docs) // n_terms
+                held = wanted_terms.intersection(counts)
+                there, tf = [index[t] for t in held], np.array([counts[t] for t in held], np.int64)
+                adds[there] = items.weights[there] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
                 for i in wanted.as_py():
-                    s = sum(w * ((1_000_000_000 * counts[t]) // (1000 * counts[t] + 20 * m)) for t, w in weighted[i] if t in counts)
+                    s = int(adds[items.rows[i]].sum())
                     if s > 0:
                         item.append(i)
                         at.append(k)
                         score.append(s)
+                adds[there] = 0
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(score, pa.int64())], names=["item", "doc_id", "score"])
 
     return of
