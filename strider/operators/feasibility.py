@@ -60,11 +60,16 @@ def balance(frames: DataFrame, masses: dict[int, float], feet: list[int], half:
     return frames.select("clip", F.least(*margins).alias("m")).groupBy("clip").agg(F.avg("m").alias("com_margin_m"))
 
 
-def smoothed(joints: DataFrame, sigma: float = 1.0) -> DataFrame:
+def smoothing_reach(sigma: float) -> int:
+    """Frames that smoothing looks at on either side."""
+    return max(1, int(3 * sigma)) if sigma > 0 else 0
+
+
+def smoothed(joints: DataFrame, sigma: float = 1.0, window=None) -> DataFrame:
     """``joints`` (clip, t, q) with q smoothed over time by a Gaussian of ``sigma`` frames, cut at three; the ends repeat."""
     if sigma <= 0:
         return joints
-    reach, w = max(1, int(3 * sigma)), S.clip_window()
+    reach, w = smoothing_reach(sigma), window or S.clip_window()
     taps = {k: math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)}
     first, last = F.first("q").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("q").over(w.rowsBetween(0, Window.unboundedFollowing))
     shifted = {k: F.coalesce(F.lead("q", k).over(w), last) if k > 0 else F.coalesce(F.lag("q", -k).over(w), first) if k < 0 else F.col("q") for k in taps}

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
+from strider.functions import spatial as V
+from strider.operators import blocks
 
 
 @dataclass(frozen=True)
@@ -111,10 +113,11 @@ def energy(kp: DataFrame, dt: float) -> DataFrame:
     )
 
 
-def rigidity(kp: DataFrame, bones: list[tuple[int, int]], rest: float) -> DataFrame:
-    """How bone lengths differ from rest, from their mean, and the worst bone from its lower median, in mm."""
+def rigidity(kp: DataFrame, bones: list[tuple[int, int]], rest: float | list[float]) -> DataFrame:
+    """How bone lengths differ from rest (one length, or one a bone), from their mean, and the worst bone from its lower median, in mm."""
     long = kp.select("clip", "t", F.posexplode(S.bone_lengths(F.col("p"), bones)).alias("b", "l"))
-    per_bone = long.groupBy("clip", "b").agg(F.avg(F.abs(F.col("l") - rest)).alias("r"), F.stddev_pop("l").alias("s"), F.expr("percentile_disc(0.5) within group (order by l)").alias("m"))
+    nominal = F.lit(rest) if isinstance(rest, float) else F.get(F.array(*map(F.lit, rest)), F.col("b"))
+    per_bone = long.groupBy("clip", "b").agg(F.avg(F.abs(F.col("l") - nominal)).alias("r"), F.stddev_pop("l").alias("s"), F.expr("percentile_disc(0.5) within group (order by l)").alias("m"))
     flat = per_bone.groupBy("clip").agg((F.avg("r") * 1000).alias("rigidity_residual_mm"), (F.avg("s") * 1000).alias("rigidity_wobble_mm"))
     worst = long.join(per_bone.select("clip", "b", "m"), ["clip", "b"]).groupBy("clip", "t").agg(F.max(F.abs(F.col("l") - F.col("m"))).alias("d"))
     return flat.join(worst.groupBy("clip").agg((F.avg("d") * 1000).alias("rigidity_worst_bone_mm")), "clip")
@@ -163,6 +166,26 @@ def angular(frames: DataFrame, dt: float) -> DataFrame:
     )
 
 
+def angular_velocity(r: Column, before: Column, links: int, dt: float) -> Column:
+    """Three values a link: the vector of the skew part of R(t) R(t-1)^T, by dt; near the angular velocity while a frame turns little."""
+    turns = [V.vee(V.product(V.parts(r, k, 9), V.transpose(V.parts(before, k, 9)))) for k in range(links)]
+    return F.array(*[x / dt for turn in turns for x in turn])
+
+
+def angular_3d(frames: DataFrame, links: int, dt: float) -> DataFrame:
+    """Angular speed and acceleration of ``links`` links that turn about any axis, from (clip, t, r) with nine values a rotation.
+
+    Frames are numbered one by one within a clip; a clip is cut into blocks, so none is one task's.
+    """
+    w = blocks.window()
+    rows = blocks.blocked(frames.select("clip", "t", "r"), 2).withColumn("r0", F.lag("r").over(w))
+    turned = rows.select("clip", "t", "block", "own", F.when(F.col("r0").isNotNull(), angular_velocity(F.col("r"), F.col("r0"), links, dt)).alias("o"))
+    moved = turned.select("clip", "own", S.norms(F.col("o")).alias("s"), S.norms(S.difference("o", 1, w, dt)).alias("a")).where("own")
+    return moved.groupBy("clip").agg(
+        F.count("*").alias("n_frames"), F.avg(S.mean(F.col("s"))).alias("mean_angvel_radps"), F.max(F.array_max("s")).alias("max_angvel_radps"), F.avg(S.mean(F.col("a"))).alias("mean_angacc_radps2")
+    )
+
+
 def log_dimensionless_jerk(kp: DataFrame, point: int, dt: float) -> DataFrame:
     """-ln of jerk made dimensionless by duration and path of one point; null below 8 frames or for no motion."""
     w = S.clip_window()

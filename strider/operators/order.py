@@ -23,7 +23,10 @@ def percentiles(rows: DataFrame, by: list[str], value: str, probs: list[float])
     edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-reach, reach)})
     at = {e: i for i, e in enumerate(edges)}
     sketch = fine.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__x", F.array(*map(F.lit, edges)), ACCURACY).alias("e"))
-    edge = lambda p, d: F.col("e")[at[min(1.0, max(0.0, p + d))]]
+    # The sketch takes the rank p n, off by n / ACCURACY at most; p (n - 1) lies between its edges once
+    # these are two ranks wider than that. A smaller group is put in order whole.
+    few, inf = F.col("n") < 2 * ACCURACY, float("inf")
+    edge = lambda p, d: F.when(few, F.lit(inf if d > 0 else -inf)).otherwise(F.col("e")[at[min(1.0, max(0.0, p + d))]])
     wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), edge(p, -reach).alias("lo"), edge(p, reach).alias("hi")) for p in probs]))
     brackets = stored(sketch.select(*[F.col(c).alias(f"__{c}") for c in by], "n", wanted.alias("w")).select(*[f"__{c}" for c in by], "n", "w.*"), "brackets")
     same = F.lit(True)

@@ -21,6 +21,12 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, t, e): each label a clip, its vectors in order the frames, in doubles."""
+    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    return table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null").select(F.col("label").alias("clip"), t.alias("t"), F.col("embedding").cast("array<double>").alias("e"))
+
+
 def joints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, t, q): each user a clip, the events in order the frames, value and ``k`` the two joints."""
     t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

@@ -76,3 +76,13 @@ def test_percentiles_and_running_sums(spark):
     sums = order.running_sums(table, ["g"], ["v"], {"before": "one"}).toPandas()
     for _, g in sums.groupby("g"):
         assert sorted(g.before) == list(range(len(g))) and g.sort_values("before").v.is_monotonic_increasing
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 41, 999, 30_001])
+def test_percentiles_of_groups_of_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.standard_normal(n), 2)
+    df = spark.createDataFrame([(1, float(v)) for v in values] + [(2, float("nan")), (2, None), (2, 5.0)], "g int, v double").repartition(7)
+    probs = [0.0, 0.02, 0.05, 0.5, 0.9, 0.95, 0.98, 0.999, 1.0]
+    got = {(r.g, r.p): r.q for r in order.percentiles(df, ["g"], "v", probs).collect()}
+    assert all(abs(got[1, p] - np.quantile(values, p)) < 1e-12 and got[2, p] == 5.0 for p in probs)
