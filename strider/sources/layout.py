@@ -36,14 +36,20 @@ def episodes(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(F.col(path).rlike(pattern)).select(files["*"], *[F.nullif(part(i + 1), F.lit("")).alias(c) for i, c in enumerate(named)])
 
 
-def problems(clips: DataFrame, generators: DataFrame, rel_tol: float = 0.01) -> DataFrame:
+def problems(clips: DataFrame, generators: DataFrame, rel_tol: float = 0.01, by_robot: bool = False) -> DataFrame:
     """(place, problem) of episodes: an unknown generator, a missing file, a size, rate or number of frames that does not agree.
 
     ``clips``: cell, generator, episode, file (pred or gt), w, h, fps, n_frames. ``generators``: generator,
-    width, height, fps (null if any), has_gt.
+    width, height, fps (null if any), has_gt. ``by_robot``: clips have a robot, and so have generators
+    (null: all robots), whose rates and sizes then are those of the robot.
     """
     side = lambda f: F.max(F.when(F.col("file") == f, F.struct("w", "h", "fps", "n_frames"))).alias(f)
-    both = clips.groupBy("cell", "generator", "episode").agg(side("pred"), side("gt")).join(F.broadcast(generators), "generator", "left")
+    own = clips.groupBy("cell", "generator", *(["robot"] if by_robot else []), "episode").agg(side("pred"), side("gt"))
+    if by_robot:
+        asked = F.broadcast(generators.withColumnsRenamed({"generator": "__of", "robot": "__robot"}))
+        both = own.join(asked, (F.col("generator") == F.col("__of")) & (F.col("__robot").isNull() | (F.col("robot") == F.col("__robot"))), "left")
+    else:
+        both = own.join(F.broadcast(generators), "generator", "left")
     size = lambda f: F.when((F.col(f"{f}.w") != F.col("width")) | (F.col(f"{f}.h") != F.col("height")), F.concat(F.lit(f"{f}: size "), F.concat_ws("x", f"{f}.w", f"{f}.h"), F.lit(" is not "), F.concat_ws("x", "width", "height")))
     off = F.abs(F.col("pred.fps") - F.col("fps")) > rel_tol * F.greatest(F.abs("pred.fps"), F.abs("fps"))
     known = [
