@@ -15,9 +15,17 @@ from strider.functions import spatial as V
 from strider.operators import blocks
 
 
+#: Inputs that a metric may need: places, rotations and joints of frames, joints as they were read, and what a robot is capable of.
+INPUTS = ("P", "R", "q", "q_raw", "colliders", "support_polygon")
+
+
 @dataclass(frozen=True)
 class MetricSpec:
-    """key, unit, power of the frame rate (None: not simply scaled), direction, inputs and least frames."""
+    """key, unit, power of the frame rate (None: not simply scaled), direction, inputs and least frames.
+
+    unobservable_when: conditions flag=value under which the metric cannot fire. perframe: whether it
+    has a value for each frame as well.
+    """
 
     key: str
     units: str
@@ -25,13 +33,27 @@ class MetricSpec:
     requires: tuple[str, ...]
     min_frames: int
     direction: str = "lower_better"
+    unobservable_when: tuple[str, ...] = ()
+    perframe: bool = False
+
+    def __post_init__(self) -> None:
+        if not self.key.replace("_", "").isalnum():
+            raise ValueError(f"metric key {self.key!r} has other signs than letters, digits and _")
+        if bad := sorted(set(self.requires) - set(INPUTS)):
+            raise ValueError(f"{self.key}: no such input: {', '.join(bad)}")
+        if self.min_frames < 1:
+            raise ValueError(f"{self.key}: min_frames is below 1")
+        if bad := [c for c in self.unobservable_when if "=" not in c]:
+            raise ValueError(f"{self.key}: {bad[0]!r} is not flag=value")
 
 
 # The metric registry.
 SPECS = {s.key: s for s in (
     MetricSpec("rigidity_residual_mm", "mm", 0, ("P",), 1),
     MetricSpec("rigidity_wobble_mm", "mm", 0, ("P",), 2),
-    MetricSpec("rigidity_worst_bone_mm", "mm", 0, ("P",), 2),
+    MetricSpec("rigidity_worst_bone_mm", "mm", 0, ("P",), 2, perframe=True),
+    MetricSpec("rigidity_residual_all_mm", "mm", 0, ("P",), 1),
+    MetricSpec("rigidity_wobble_all_mm", "mm", 0, ("P",), 2),
     MetricSpec("mean_speed_mps", "m/s", 1, ("P",), 2),
     MetricSpec("mean_accel_mps2", "m/s^2", 2, ("P",), 3),
     MetricSpec("max_accel_mps2", "m/s^2", 2, ("P",), 3),
@@ -55,8 +77,8 @@ SPECS = {s.key: s for s in (
     MetricSpec("penetration_mm", "mm", 0, ("q", "colliders"), 1),
     MetricSpec("self_collision_frac", "1", 0, ("q", "colliders"), 1),
     MetricSpec("com_margin_m", "m", 0, ("q", "support_polygon"), 1, "higher_better"),
-    MetricSpec("torque_frac_rated", "%", None, ("q", "inertia"), 3),
-    MetricSpec("no_teleport_frac", "1", None, ("P",), 2),
+    MetricSpec("torque_frac_rated", "%", None, ("q",), 3, perframe=True),
+    MetricSpec("no_teleport_frac", "1", None, ("P",), 2, perframe=True),
 )}
 
 ACCEL_BOUND, TELEPORT_SPEED, GRAVITY = 5.0, 2.0, 9.81
@@ -119,10 +141,21 @@ def rigidity(kp: DataFrame, bones: list[tuple[int, int]], rest: float | list[flo
     nominal = F.lit(rest) if isinstance(rest, float) else F.get(F.array(*map(F.lit, rest)), F.col("b"))
     per_bone = long.groupBy("clip", "b").agg(F.avg(F.abs(F.col("l") - nominal)).alias("r"), F.stddev_pop("l").alias("s"), F.expr("percentile_disc(0.5) within group (order by l)").alias("m"))
     flat = per_bone.groupBy("clip").agg((F.avg("r") * 1000).alias("rigidity_residual_mm"), (F.avg("s") * 1000).alias("rigidity_wobble_mm"))
-    worst = long.join(per_bone.select("clip", "b", "m"), ["clip", "b"]).groupBy("clip", "t").agg(F.max(F.abs(F.col("l") - F.col("m"))).alias("d"))
+    worst = _farthest(long, per_bone)
     return flat.join(worst.groupBy("clip").agg((F.avg("d") * 1000).alias("rigidity_worst_bone_mm")), "clip")
 
 
+def _farthest(long: DataFrame, per_bone: DataFrame) -> DataFrame:
+    """(clip, t, d): of each frame the largest distance of a bone (clip, t, b, l) from its median (clip, b, m)."""
+    return long.join(per_bone.select("clip", "b", "m"), ["clip", "b"]).groupBy("clip", "t").agg(F.max(F.abs(F.col("l") - F.col("m"))).alias("d"))
+
+
+def worst_bones(kp: DataFrame, bones: list[tuple[int, int]]) -> DataFrame:
+    """(clip, t, d): how far the worst bone of each frame is from its own lower median over the clip."""
+    long = kp.select("clip", "t", F.posexplode(S.bone_lengths(F.col("p"), bones)).alias("b", "l"))
+    return _farthest(long, long.groupBy("clip", "b").agg(F.expr("percentile_disc(0.5) within group (order by l)").alias("m")))
+
+
 def joint_limits(joints: DataFrame, limits: list[tuple[float, float]]) -> DataFrame:
     """Share of frames outside the limits, mean excess and mean headroom, from (clip, t, q)."""
     lo, hi = (F.array(*[F.lit(x[i]) for x in limits]) for i in (0, 1))

@@ -70,11 +70,11 @@ def _flat(values: list[V.Number]) -> Column:
     return F.array(*map(V.column, values))
 
 
-def keypoints(frames: DataFrame, robot: Robot, links: list[str] | None = None) -> DataFrame:
-    """(clip, t, p, r): places and rotations of the spec's keypoints (or of ``links``), flat, nine values a rotation."""
+def keypoints(frames: DataFrame, robot: Robot, links: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(clip, t, keep, p, r): places and rotations of the spec's keypoints (or of ``links``), flat, nine values a rotation."""
     links = list(robot.spec.keypoints) if links is None else links
     rows, poses = posed(frames, robot, links)
-    return rows.select("clip", "t", _flat([x for k in links for x in poses[k][1]]).alias("p"), _flat([x for k in links for x in poses[k][0]]).alias("r"))
+    return rows.select("clip", "t", *keep, _flat([x for k in links for x in poses[k][1]]).alias("p"), _flat([x for k in links for x in poses[k][0]]).alias("r"))
 
 
 def link_poses(frames: DataFrame, robot: Robot, links: list[str] | None = None) -> DataFrame:
