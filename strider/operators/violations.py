@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
@@ -56,21 +56,22 @@ def report(frames: DataFrame, score: str, threshold: DataFrame, higher_is_worse:
 
 def bend_angles(kp: DataFrame, points: int) -> DataFrame:
     """(clip, t, joint, angle) between consecutive bones, in degrees."""
-    at = lambda i, c: F.get("p", F.lit(3 * i + c))
-    angles = []
-    for j in range(points - 2):
-        a = [at(j + 1, c) - at(j, c) for c in range(3)]
-        b = [at(j + 2, c) - at(j + 1, c) for c in range(3)]
+    bone = lambda j: [F.get("p", 3 * (j + 1) + c) - F.get("p", 3 * j + c) for c in range(3)]
+
+    def angle(j: Column) -> Column:
+        a, b = bone(j), bone(j + 1)
         dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
         size = F.sqrt(sum((x * x for x in a), F.lit(0.0))) * F.sqrt(sum((x * x for x in b), F.lit(0.0))) + 1e-6
-        angles.append(F.degrees(F.acos(S.clamp(dot / size, F.lit(-1.0), F.lit(1.0)))))
-    return kp.select("clip", "t", F.posexplode(F.array(*angles)).alias("joint", "angle"))
+        return F.degrees(F.acos(S.clamp(dot / size, F.lit(-1.0), F.lit(1.0))))
+
+    return kp.select("clip", "t", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 3)), angle)).alias("joint", "angle"))
 
 
 def bend_excess(angles: DataFrame) -> DataFrame:
     """(clip, t, bend): the most a frame leaves the 1 to 99 % range of a joint over all real frames, in degrees."""
-    fit = angles.groupBy("joint").agg(F.percentile("angle", F.lit(0.01)).alias("lo"), F.percentile("angle", F.lit(0.99)).alias("hi"))
-    return angles.join(fit, "joint").groupBy("clip", "t").agg(F.max(S.excess(F.col("angle"), F.col("lo"), F.col("hi"))).alias("bend"))
+    found = order.percentiles(angles, ["joint"], "angle", [0.01, 0.99])
+    fit = found.groupBy("joint").agg(F.max(F.when(F.col("p") < 0.5, F.col("q"))).alias("lo"), F.max(F.when(F.col("p") > 0.5, F.col("q"))).alias("hi"))
+    return angles.join(F.broadcast(fit), "joint").groupBy("clip", "t").agg(F.max(S.excess(F.col("angle"), F.col("lo"), F.col("hi"))).alias("bend"))
 
 
 def joint_envelope(angles: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def resample_decimate(spark: SparkSession, d: str) -> DataFrame:
 
 def resample_interpolate(spark: SparkSession, d: str) -> DataFrame:
     rows = resample.interpolate(tables.joints(spark, d), DT, 0.13)
-    return rows.select("clip", "t", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"))
+    return _rounded(rows.select("clip", "t", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b")))
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +153,8 @@ b AS (SELECT metric, any_value(base) AS base, greatest(median(abs(value - base))
     com = lambda c: f"({' + '.join(f'{m!r} * {spot(k, c)}' for k, m in MASSES.items())}) / {sum(MASSES.values())!r}"
     edge = lambda c: f"{com(c)} - (least({spot(18, c)}, {spot(19, c)}) - 0.12), greatest({spot(18, c)}, {spot(19, c)}) + 0.12 - {com(c)}"
     second = lambda c: f"(lead({c}) OVER w - 2 * {c} + lag({c}) OVER w) / 0.01"
+    edge_slope = lambda near, next_: f"CASE WHEN {next_} IS NULL THEN {near} WHEN sign((3*{near}-{next_})/2) <> sign({near}) THEN 0 WHEN sign({near}) <> sign({next_}) AND abs((3*{near}-{next_})/2) > 3*abs({near}) THEN 3*{near} ELSE (3*{near}-{next_})/2 END"
+    slope = lambda c: f"CASE WHEN {c}b1 IS NOT NULL AND {c}e1 IS NOT NULL THEN CASE WHEN ({c}-{c}b1)*({c}e1-{c}) > 0 THEN 2/(1/({c}-{c}b1) + 1/({c}e1-{c})) ELSE 0 END WHEN {c}e1 IS NOT NULL THEN {edge_slope(f'({c}e1-{c})', f'({c}e2-{c}e1)')} ELSE {edge_slope(f'({c}-{c}b1)', f'({c}b1-{c}b2)')} END"
     at = ", ".join(repr(i / (reference.QUANTILES - 1)) for i in range(reference.QUANTILES))
     return {
         "metrics_collision": f"""WITH {points}, z AS (SELECT clip, greatest(0, {", ".join(depths)}) AS depth FROM kp)
@@ -168,6 +170,10 @@ SELECT clip_id, 'step' AS metric, (t - 1)::INT AS frame, round(step, 5) AS value
         "resample_plan": """WITH c AS (SELECT user_id AS clip, count(*) AS n, (user_id % 6 + 1) * 5.0::DOUBLE AS fps FROM events GROUP BY user_id)
 SELECT *, CASE WHEN fps = 10 THEN 'noop' WHEN fps < 10 THEN 'refuse' WHEN fps % 10 = 0 THEN 'decimate' ELSE 'interpolate' END AS action, CASE WHEN fps > 10 AND fps % 10 = 0 THEN (fps / 10)::INT END AS factor FROM c""",
         "resample_decimate": f"WITH {joints} SELECT clip, ((t - 1) // 3 + 1)::INT AS t, round(a, 5) AS a, round(b, 5) AS b FROM j WHERE (t - 1) % 3 = 0",
+        "resample_interpolate": f"""WITH {joints}, ny AS (SELECT *, {", ".join(f"lag({c}, {n}) OVER w AS {c}b{n}, lead({c}, {n}) OVER w AS {c}e{n}" for c in "ab" for n in (1, 2))} FROM j WINDOW w AS (PARTITION BY clip ORDER BY t)),
+sl AS (SELECT *, {slope("a")} AS da, {slope("b")} AS db FROM ny), iv AS (SELECT *, lead(da) OVER w AS fa, lead(db) OVER w AS fb, ceil((t-1)*0.1/0.13 - 1e-9) AS lo, CASE WHEN ae1 IS NULL THEN floor((t-1)*0.1/0.13 + 1e-9) ELSE ceil(t*0.1/0.13 - 1e-9) - 1 END AS hi FROM sl WINDOW w AS (PARTITION BY clip ORDER BY t)),
+kk AS (SELECT *, unnest(range(lo::BIGINT, hi::BIGINT + 1)) AS k FROM iv WHERE lo <= hi), uu AS (SELECT *, least(greatest(k*0.13/0.1 - (t-1), 0), 1) AS u FROM kk)
+SELECT clip, (k+1)::INT AS t, {", ".join(f"round(CASE WHEN ae1 IS NULL THEN {c} ELSE {c}*(1+2*u)*(1-u)**2 + d{c}*u*(1-u)**2 + {c}e1*u**2*(3-2*u) + f{c}*u**2*(u-1) END, 5) AS {c}" for c in "ab")} FROM uu""",
         "reference_baselines": f"WITH {terms} SELECT metric, round(base, 5) AS base, round(floor, 5) AS floor FROM b",
         "reference_invariance": f"""WITH {terms}, s AS (SELECT clip, least(greatest(CASE WHEN metric LIKE '%\\_frac' ESCAPE '\\' THEN (value - base) / 0.1 ELSE (value - base) / (greatest(base, floor) * 2) END, 0), 1) AS s, value FROM terms JOIN b USING (metric))
 SELECT clip, count(value) AS n_terms, count(*) - count(value) AS n_missing, CASE WHEN count(*) = count(value) THEN round(avg(s), 5) END AS score FROM s GROUP BY clip""",

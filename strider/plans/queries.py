@@ -193,8 +193,8 @@ h AS (SELECT clip, t, coalesce(tele, 0) AS teleport, coalesce(lead(j) OVER (PART
 f AS (SELECT h.*, r.rigidity FROM h JOIN (SELECT clip, t, max(abs(l - 0.15))*1000 AS rigidity FROM bones GROUP BY clip, t) r USING (clip, t))"""
 
 
-def _report_sql(score: str) -> str:
-    return f"""WITH {_FRAMES}, th AS (SELECT quantile_cont({score}, 0.95) AS threshold FROM f),
+def _report_sql(score: str, frames: str = _FRAMES, floor: float = 0.0) -> str:
+    return f"""WITH {frames}, th AS (SELECT greatest(quantile_cont({score}, 0.95), {floor}) AS threshold FROM f),
 fl AS (SELECT clip, t, {score} AS s, threshold, {score} > threshold AS flag FROM f, th),
 isl AS (SELECT clip, t - row_number() OVER (PARTITION BY clip ORDER BY t) AS i FROM fl WHERE flag),
 runs AS (SELECT clip, count(DISTINCT i) AS runs FROM isl GROUP BY clip)
@@ -203,6 +203,10 @@ SELECT fl.clip, round(any_value(threshold), 2) AS threshold, round(avg(CASE WHEN
 FROM fl LEFT JOIN runs ON fl.clip = runs.clip GROUP BY fl.clip"""
 
 
+_BEND = f"""{_KP}, bone AS (SELECT a.clip, a.t, a.k, c.x-a.x AS x, c.y-a.y AS y, c.z-a.z AS z FROM pts a JOIN pts c ON a.clip = c.clip AND a.t = c.t AND c.k = a.k + 1),
+an AS (SELECT a.clip, a.t, a.k AS joint, degrees(acos(greatest(-1.0, least(1.0, (a.x*c.x+a.y*c.y+a.z*c.z)/(sqrt(a.x**2+a.y**2+a.z**2)*sqrt(c.x**2+c.y**2+c.z**2)+1e-6))))) AS angle FROM bone a JOIN bone c ON a.clip = c.clip AND a.t = c.t AND c.k = a.k + 1),
+fit AS (SELECT joint, quantile_cont(angle, 0.01) AS lo, quantile_cont(angle, 0.99) AS hi FROM an GROUP BY joint),
+f AS (SELECT clip, t, max(greatest(angle-hi, 0) + greatest(lo-angle, 0)) AS bend FROM an JOIN fit USING (joint) GROUP BY clip, t)"""
 _COLLISION = "col AS (SELECT a.clip, a.t, min(sqrt((a.x-c.x)**2+(a.y-c.y)**2+(a.z-c.z)**2))*1000 AS collision FROM pts a JOIN pts c ON a.clip = c.clip AND a.t = c.t AND c.k >= a.k + 2 GROUP BY a.clip, a.t)"
 
 _MAN = """man AS (SELECT o_orderkey AS path, c_mktsegment AS family, o_custkey AS pair_key, CASE WHEN o_orderkey % 2 = 0 THEN 'gt' ELSE 'pred' END AS role, o_orderstatus AS codec, o_totalprice/1000 AS dt, length(o_orderpriority) AS w FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -257,6 +261,8 @@ SELECT m.method, round(mean_rank,5) AS mean_rank, coalesce(n_axes, 0) AS n_axes,
 q AS (SELECT *, (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, metric) + 1)*p AS s FROM p)
 SELECT method, metric, round(p,6) AS p, round(least(1.0, max(s) OVER (PARTITION BY method ORDER BY p, metric ROWS UNBOUNDED PRECEDING)),6) AS p_holm FROM q""",
     "violations_teleport": _report_sql("teleport"), "violations_jerk": _report_sql("jerk"), "violations_rigidity": _report_sql("rigidity"),
+    "violations_bend": _report_sql("bend", _BEND, BEND_FLOOR),
+    "violations_joint_envelope": f"WITH {_BEND} SELECT clip, round(max(bend),5) AS worst, round(avg(bend),5) AS mean FROM f GROUP BY clip",
     "violations_collision": f"""WITH {_KP}, {_COLLISION}, th AS (SELECT quantile_cont(collision, 0.05) AS threshold FROM col),
 fl AS (SELECT clip, t, threshold / greatest(collision, 1e-9) AS s, threshold, collision < threshold AS flag FROM col, th),
 isl AS (SELECT clip, t - row_number() OVER (PARTITION BY clip ORDER BY t) AS i FROM fl WHERE flag), runs AS (SELECT clip, count(DISTINCT i) AS runs FROM isl GROUP BY clip)
