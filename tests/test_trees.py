@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strider.plans import trees as plans
-from strider.sources import clips, trees
+from strider.sources import clips, samples, trees
 
 P = "tree/c/e0/output/multiview"
 
@@ -130,3 +130,17 @@ def test_manifest_round_trip(spark, tmp_path, form):
     spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "odd.parquet"))
     with pytest.raises(ValueError, match="lacks method"):
         clips.load(spark, str(tmp_path / "odd.parquet"))
+
+
+def test_frames_meet_their_rows(spark):
+    frames = spark.createDataFrame([("a", f) for f in range(5)] + [("b", 0), ("lost", 0)], "episode string, frame int")
+    logs = spark.createDataFrame([("a", r, float(r)) for r in range(8)] + [("b", 0, 9.0)], "episode string, row int, q double")
+    got = {(r.episode, r.frame): (r.row, r.q) for r in samples.joined(frames, logs, 3).collect()}
+    assert got == {("a", 0): (0, 0.0), ("a", 1): (3, 3.0), ("a", 2): (6, 6.0), ("a", 3): (7, 7.0), ("a", 4): (7, 7.0), ("b", 0): (0, 9.0)}
+    with pytest.raises(ValueError):
+        samples.joined(frames, logs, 0)
+    names = spark.createDataFrame([(n,) for n in ("10", "b", "9", "a", "100")], "episode string")
+    assert [r.episode for r in samples.limited(names, 4).collect()] == ["9", "10", "100", "a"] and samples.limited(names, 0).count() == 5
+    rows = spark.createDataFrame([(s, k) for s in "xy" for k in range(50)] + [("z", 0)], "s string, k int")
+    one, two, other = (sorted(tuple(r) for r in samples.drawn(rows.repartition(n), "s", 5, seed, ["k"]).collect()) for n, seed in ((2, 1), (7, 1), (2, 2)))
+    assert one == two != other and len(one) == 11
