@@ -23,11 +23,11 @@ MISS = 0.001
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(vec_id, embedding, label) of all rows, the embedding null where the row links with nothing: its label or id is null, or its vector is null, zero, or holds null or non-finite components."""
+    """(vec_id, embedding, label) of all rows, the embedding null where the row links with nothing: its label is null, or its vector is null, zero, or holds null or non-finite components."""
     e = F.col("embedding")
     fine = F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
-    return rows.withColumn("embedding", F.when(fine & F.col("vec_id").isNotNull(), e))
+    return rows.withColumn("embedding", F.when(fine, e))
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -207,8 +207,9 @@ def embedding_duplicates(
     with each other and with all of a linked class without being paired; n_links counts rows. The
     passes find what is joined; the links inside a component are then counted in full, so counts
     miss nothing that windows cut. Rows that link with nothing (a null label; a vector that is null,
-    empty, zero or holds null or non-finite components; a null id) are their own component. Rows
-    that repeat an id count each. An empty table gives no rows. ``passes`` follows from the classes
+    empty, zero or holds null or non-finite components) are their own component. Rows that repeat an
+    id count each. Rows without an id link as any other; they name no component and are not kept, and a
+    component of such rows alone has no id. An empty table gives no rows. ``passes`` follows from the classes
     of the largest label unless given.
     """
     rows = usable(vectors, vec_id, embedding, label)
@@ -227,4 +228,4 @@ def embedding_duplicates(
     )
     out = rows.join(of, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("v")), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
