@@ -81,12 +81,14 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "whole", F.col("prefix").alias("threshold"), "left")
 
 
-def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS) -> DataFrame:
-    """(source, pos, n): of the rows at ``pos``, at or past the threshold, ``n`` are taken once more.
+def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """(source, pos, n): of the rows at ``pos``, ``n`` are taken once more than the threshold has it.
 
     At the threshold itself stand a row or copies of it, of which as many as fit are taken. Then, a
     few times, the largest row past it that fits into what is left: one row per source each time,
-    found by a maximum.
+    found by a maximum. At last the smallest row that does not fit, where the mix ends nearer to the
+    budget with it than without: one not yet taken this way, below the threshold only if that leaves it
+    within ``max_repeats``.
     """
     same = F.col("source").eqNullSafe(F.col("of"))
     named = if_small(plan.select(F.col("source").alias("of"), "threshold", "left"))
@@ -105,6 +107,14 @@ def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS) -> DataFrame:
         if not more.head(1):
             break
         taken = taken.unionByName(more)
+    used = taken.groupBy("source").agg(F.sum("words").alias("used"))
+    left = plan.join(used.withColumnRenamed("source", "of"), same, "left").select(F.col("source").alias("of"), "threshold", "whole", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+    over = rows.join(if_small(written(left.where("left > 0"), "left")), same).where((F.col("size") > F.col("left")) & (F.col("size") < 2 * F.col("left")))
+    over = over.where((F.col("pos") >= F.col("threshold")) | (F.col("whole") + 2 <= max_repeats))
+    before = if_small(written(taken.select(F.col("source").alias("s"), F.col("pos").alias("p")), "before"))
+    over = over.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("pos") == F.col("p")), "left_anti")
+    nearest = over.groupBy("source").agg(F.min(F.struct("size", "pos")).alias("b"))
+    taken = taken.unionByName(nearest.select("source", F.col("b.pos").alias("pos"), F.lit(1).cast("long").alias("n"), F.col("b.size").alias("words")))
     return written(taken.select("source", "pos", "n"), "fills")
 
 
@@ -118,7 +128,7 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     wanted = written(wanted, "targets")
     plan = wanted.join(thresholds(rows, wanted).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     plan = written(plan, "plan")
-    return rows, plan, fills(rows, plan)
+    return rows, plan, fills(rows, plan, max_repeats=max_repeats)
 
 
 def _planned(rows: DataFrame, plan: DataFrame, single: DataFrame) -> DataFrame:
@@ -139,7 +149,7 @@ def _planned(rows: DataFrame, plan: DataFrame, single: DataFrame) -> DataFrame:
     offsets = counts.select(F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), F.col("__part").alias("__part2"), before.alias("__before"))
     here = own.withColumn("__part", part).join(if_small(written(offsets, "offsets")), F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__p") == F.col("__p2")) & (F.col("__part") == F.col("__part2")))
     number = F.col("__before") + F.row_number().over(Window.partitionBy("__s", "__p", "__part").orderBy("__row"))
-    return plain.unionByName(here.withColumn("__times", F.col("__whole") + (number <= F.col("__n")).cast("int")).select(*plain.columns))
+    return plain.unionByName(here.withColumn("__times", F.col("__whole") + (F.col("__pos") < F.col("__threshold")).cast("int") + (number <= F.col("__n")).cast("int")).select(*plain.columns))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
