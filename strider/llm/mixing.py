@@ -13,6 +13,8 @@ MAX_REPEATS = 3
 BITS, LEVELS = 16, 3
 #: How often the largest row that fits is taken of what a source's threshold leaves of its budget.
 FILLS = 4
+#: What may be left of a source's target, as a share of it, before a row is taken that goes beyond the budget.
+SLACK = 0.01
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,9 +88,10 @@ def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS, max_repeats: int
 
     At the threshold itself stand a row or copies of it, of which as many as fit are taken. Then, a
     few times, the largest row past it that fits into what is left: one row per source each time,
-    found by a maximum. At last the smallest row that does not fit, where the mix ends nearer to the
-    budget with it than without: one not yet taken this way, below the threshold only if that leaves it
-    within ``max_repeats``.
+    found by a maximum. A budget is kept while at most ``SLACK`` of the target is left. Where more is, at
+    last the smallest row that does not fit is taken, if the mix ends nearer to the budget with it than
+    without: one not yet taken this way, below the threshold only if that leaves it within
+    ``max_repeats``.
     """
     same = F.col("source").eqNullSafe(F.col("of"))
     named = if_small(plan.select(F.col("source").alias("of"), "threshold", "left"))
@@ -108,8 +111,8 @@ def fills(rows: DataFrame, plan: DataFrame, times: int = FILLS, max_repeats: int
             break
         taken = taken.unionByName(more)
     used = taken.groupBy("source").agg(F.sum("words").alias("used"))
-    left = plan.join(used.withColumnRenamed("source", "of"), same, "left").select(F.col("source").alias("of"), "threshold", "whole", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
-    over = rows.join(if_small(written(left.where("left > 0"), "left")), same).where((F.col("size") > F.col("left")) & (F.col("size") < 2 * F.col("left")))
+    left = plan.join(used.withColumnRenamed("source", "of"), same, "left").select(F.col("source").alias("of"), "threshold", "whole", "target", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+    over = rows.join(if_small(written(left.where(F.col("left") > SLACK * F.col("target")).drop("target"), "left")), same).where((F.col("size") > F.col("left")) & (F.col("size") < 2 * F.col("left")))
     over = over.where((F.col("pos") >= F.col("threshold")) | (F.col("whole") + 2 <= max_repeats))
     before = if_small(written(taken.select(F.col("source").alias("s"), F.col("pos").alias("p")), "before"))
     over = over.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("pos") == F.col("p")), "left_anti")
