@@ -49,7 +49,8 @@ def arm(spark: SparkSession) -> body.Robot:
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded; a zero has no sign."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +242,7 @@ SQL = {
     "fk_sites": f"""WITH RECURSIVE {_POSES}, a AS (SELECT *, acos(least(greatest((r0+r4+r8-1)/2, -1+1e-6), 1-1e-6)) AS a FROM pose WHERE link = 'hand'), b AS (SELECT *, a/greatest(sin(a), 1e-6)/2 AS s FROM a)
 SELECT clip, t, link AS site, round(x,5) AS x, round(y,5) AS y, round(z,5) AS z, round((r7-r5)*s,5) AS rx, round((r2-r6)*s,5) AS ry, round((r3-r1)*s,5) AS rz FROM b""",
     "fk_body_spheres": f"""WITH RECURSIVE {_POSES}, b(sphere, link, c, radius) AS (VALUES (0, 'base', 0.0, 0.18), (1, 'base', 0.25, 0.18), (2, 'base', 0.5, 0.18), (3, 'head', 0.1, 0.12))
-SELECT clip, t, sphere, round(x+r2*c,5) AS x, round(y+r5*c,5) AS y, round(z+r8*c,5) AS z, radius::DOUBLE AS radius FROM pose JOIN b USING (link)""",
+SELECT clip, t, sphere, round(x+r2*c,5) + 0.0 AS x, round(y+r5*c,5) + 0.0 AS y, round(z+r8*c,5) + 0.0 AS z, radius::DOUBLE AS radius FROM pose JOIN b USING (link)""",
     "fk_centre_of_mass": f"WITH RECURSIVE {_POSES}, {_COM} SELECT clip, t, round(x,5) AS x, round(y,5) AS y, round(z,5) AS z FROM com",
     "fk_balance": f"WITH RECURSIVE {_POSES}, {_COM} SELECT clip, round(avg(least(x+0.12, 0.12-x, y+0.32, 0.32-y)),5) AS com_margin_m FROM com GROUP BY clip",
     "joints_clamped": f"""WITH RECURSIVE {_POSES}, b AS (SELECT clip, t, [greatest(v[1]-0.4,0)+greatest(-0.4-v[1],0), greatest(v[2]-0.6,0)+greatest(-0.5-v[2],0), greatest(v[3]-0.6,0)+greatest(-0.6-v[3],0), greatest(v[4]-0.3,0)+greatest(-0.3-v[4],0)] AS o, v FROM fr)
