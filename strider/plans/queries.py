@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strider.operators import metrics, stats, violations
-from strider.plans import layouts, motion, results, robots, samples, stored, suites, trees
+from strider.plans import layouts, motion, reports, results, robots, samples, stored, suites, trees, views
 from strider.sources import manifest, tables
 
 DT, REST, BEND_FLOOR = 0.1, 0.15, 3.0
@@ -282,8 +282,8 @@ SELECT g.pair_key, g.codec = p.codec AS same_codec, abs(g.dt-p.dt) <= 0.01*great
 
 
 def queries() -> dict:
-    return _QUERIES | motion.QUERIES | results.QUERIES | layouts.QUERIES | robots.QUERIES | trees.QUERIES | suites.QUERIES | stored.QUERIES | samples.QUERIES
+    return _QUERIES | motion.QUERIES | results.QUERIES | layouts.QUERIES | robots.QUERIES | trees.QUERIES | suites.QUERIES | stored.QUERIES | samples.QUERIES | views.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | motion.sql(_TEMPORAL, _KP + _D, _J) | results.SQL | layouts.SQL | robots.SQL | trees.SQL | suites.SQL | stored.sql(_TEMPORAL, _KP + _D) | samples.SQL
+    return _SQL | motion.sql(_TEMPORAL, _KP + _D, _J) | results.SQL | layouts.SQL | robots.SQL | trees.SQL | suites.SQL | stored.sql(_TEMPORAL, _KP + _D) | samples.SQL | views.SQL | reports.SQL
