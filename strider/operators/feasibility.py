@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
+from strider.operators import blocks
 
 # Radius of an arm and depth that counts as a collision in metres, spheres of a segment, half size of a foot, percentile of a peak.
 ARM_RADIUS, COLLISION_DEPTH, SPHERES, FOOT_HALF, PEAK = 0.05, 0.01, 4, 0.12, 98.0
@@ -69,7 +70,10 @@ def smoothed(joints: DataFrame, sigma: float = 1.0, window=None) -> DataFrame:
     """``joints`` (clip, t, q) with q smoothed over time by a Gaussian of ``sigma`` frames, cut at three; the ends repeat."""
     if sigma <= 0:
         return joints
-    reach, w = smoothing_reach(sigma), window or S.clip_window()
+    if window is None:  # by blocks of a clip, which hold as many frames to either side as smoothing looks at
+        rows = smoothed(blocks.blocked(joints, smoothing_reach(sigma)), sigma, blocks.window())
+        return rows.where("own").drop("block", "own")
+    reach, w = smoothing_reach(sigma), window
     taps = {k: math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)}
     first, last = F.first("q").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last("q").over(w.rowsBetween(0, Window.unboundedFollowing))
     shifted = {k: F.coalesce(F.lead("q", k).over(w), last) if k > 0 else F.coalesce(F.lag("q", -k).over(w), first) if k < 0 else F.col("q") for k in taps}
@@ -85,7 +89,7 @@ def planar_torques(joints: DataFrame, dt: float, lengths: list[float], masses: l
     Of each link the force on its centre, by central differences, and its turning, both about each
     joint below it. The first and last frame have no neighbour and are left out.
     """
-    n, w = len(lengths), S.clip_window()
+    n, w = len(lengths), blocks.window()
     angle = [sum((F.get("q", F.lit(j)) for j in range(i + 1)), F.lit(0.0)) for i in range(n)]
     at, centre, x, y = [], [], F.lit(0.0), F.lit(0.0)
     for i in range(n):
@@ -93,10 +97,10 @@ def planar_torques(joints: DataFrame, dt: float, lengths: list[float], masses: l
         centre.append((x + lengths[i] / 2 * F.cos(angle[i]), y + lengths[i] / 2 * F.sin(angle[i])))
         x, y = x + lengths[i] * F.cos(angle[i]), y + lengths[i] * F.sin(angle[i])
     flat = lambda pairs: F.array(*[c for pair in pairs for c in pair])
-    posed = joints.select("clip", "t", flat(at).alias("at"), flat(centre).alias("c"), F.array(*angle).alias("a"))
+    posed = blocks.blocked(joints.select("clip", "t", "q"), 1).select("clip", "t", "block", "own", flat(at).alias("at"), flat(centre).alias("c"), F.array(*angle).alias("a"))
     near = lambda c, i: (F.get(F.lag(c).over(w), F.lit(i)), F.get(F.lead(c).over(w), F.lit(i)))
     second = lambda c, i: (lambda b, f: (f - 2 * F.get(c, F.lit(i)) + b) / dt**2)(*near(c, i))
-    acc = posed.select("clip", "t", "at", "c", F.array(*[second("c", i) for i in range(2 * n)]).alias("acc"), F.array(*[second("a", i) for i in range(n)]).alias("spin"), F.lag("t").over(w).isNotNull().alias("a1"), F.lead("t").over(w).isNotNull().alias("a2"))
+    acc = posed.select("clip", "t", "own", "at", "c", F.array(*[second("c", i) for i in range(2 * n)]).alias("acc"), F.array(*[second("a", i) for i in range(n)]).alias("spin"), F.lag("t").over(w).isNotNull().alias("a1"), F.lead("t").over(w).isNotNull().alias("a2"))
     g = lambda c, i: F.get(c, F.lit(i))
     tau = []
     for j in range(n):
@@ -106,7 +110,7 @@ def planar_torques(joints: DataFrame, dt: float, lengths: list[float], masses: l
             parts.append((g("c", 2 * i) - g("at", 2 * j)) * fy - (g("c", 2 * i + 1) - g("at", 2 * j + 1)) * fx)
             parts.append(masses[i] * lengths[i] ** 2 / 12 * g("spin", i))
         tau.append(sum(parts, F.lit(0.0)))
-    return acc.where("a1 and a2").select("clip", "t", F.array(*tau).alias("tau"))
+    return acc.where("own and a1 and a2").select("clip", "t", F.array(*tau).alias("tau"))
 
 
 def peak_share(torques: DataFrame, rated: list[float], pct: float = PEAK) -> DataFrame:

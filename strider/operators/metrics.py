@@ -111,9 +111,10 @@ def with_reason(values: DataFrame, frames: str = "n_frames", available: tuple[st
 
 def temporal(kp: DataFrame, dt: float) -> DataFrame:
     """Speed, acceleration, jerk and what exceeds bounds, from (clip, t, p)."""
-    w = S.clip_window()
+    w = blocks.window()
     d = [S.norms(S.difference("p", i, w, dt)) for i in (1, 2, 3)]
-    return kp.select("clip", *[x.alias(n) for x, n in zip(d, ("v", "a", "j"), strict=True)]).groupBy("clip").agg(
+    rows = blocks.blocked(kp.select("clip", "t", "p"), 3).select("clip", "own", *[x.alias(n) for x, n in zip(d, ("v", "a", "j"), strict=True)]).where("own")
+    return rows.groupBy("clip").agg(
         F.count("*").alias("n_frames"),
         F.avg(S.mean(F.col("v"))).alias("mean_speed_mps"), F.avg(S.mean(F.col("a"))).alias("mean_accel_mps2"),
         F.max(F.array_max("a")).alias("max_accel_mps2"), F.avg(S.mean(F.col("j"))).alias("mean_jerk_mps3"),
@@ -124,13 +125,13 @@ def temporal(kp: DataFrame, dt: float) -> DataFrame:
 
 def energy(kp: DataFrame, dt: float) -> DataFrame:
     """Spread over time of kinetic and total energy, and mean change of momentum; frame t moves to frame t + 1."""
-    w = S.clip_window()
-    moved = kp.select("clip", "t", F.lag("p").over(w).alias("from"), S.difference("p", 1, w, dt).alias("v"))
+    w = blocks.window()
+    moved = blocks.blocked(kp.select("clip", "t", "p"), 2).select("clip", "t", "block", "own", F.lag("p").over(w).alias("from"), S.difference("p", 1, w, dt).alias("v"))
     ke = 0.5 * S.total(F.transform(S.norms(F.col("v")), lambda x: x * x))
     height = F.get(S.point_sum(F.col("from")), F.lit(2))
-    rows = moved.where("v is not null").select("clip", "t", ke.alias("ke"), (ke + GRAVITY * height).alias("te"), S.point_sum(F.col("v")).alias("m"))
+    rows = moved.where("v is not null").select("clip", "t", "block", "own", ke.alias("ke"), (ke + GRAVITY * height).alias("te"), S.point_sum(F.col("v")).alias("m"))
     force = F.get(S.norms(S.difference("m", 1, w, dt)), F.lit(0))
-    return rows.select("clip", "ke", "te", force.alias("f")).groupBy("clip").agg(
+    return rows.select("clip", "own", "ke", "te", force.alias("f")).where("own").groupBy("clip").agg(
         F.stddev_samp("ke").alias("kinetic_energy_tstd"), F.stddev_samp("te").alias("total_energy_tstd"), F.avg("f").alias("momentum_dp_mean")
     )
 
@@ -168,9 +169,9 @@ def joint_limits(joints: DataFrame, limits: list[tuple[float, float]]) -> DataFr
 
 
 def joint_dynamics(joints: DataFrame, dt: float, speed_limits: list[float], efforts: list[float]) -> DataFrame:
-    w = S.clip_window()
+    w = blocks.window()
     absolute = lambda x: F.transform(x, F.abs)
-    rows = joints.select("clip", absolute(S.difference("q", 1, w, dt)).alias("v"), absolute(S.difference("q", 2, w, dt)).alias("a"))
+    rows = blocks.blocked(joints.select("clip", "t", "q"), 2).select("clip", "own", absolute(S.difference("q", 1, w, dt)).alias("v"), absolute(S.difference("q", 2, w, dt)).alias("a")).where("own")
     over = F.zip_with("v", F.array(*map(F.lit, speed_limits)), lambda v, m: (v > m).cast("double"))
     effort = F.zip_with("a", F.array(*map(F.lit, efforts)), lambda a, e: a / e)
     return rows.groupBy("clip").agg(
@@ -189,11 +190,11 @@ def arm_2r(joints: DataFrame, first: float = 0.4, second: float = 0.3) -> DataFr
 
 def angular(frames: DataFrame, dt: float) -> DataFrame:
     """Angular speed and acceleration of frames that turn about z by ``theta``: half the skew part of R(t+1) R(t)^T, by dt."""
-    w = S.clip_window()
+    w = blocks.window()
     omega = F.transform(S.difference("theta", 1, w), lambda x: F.sin(x) / dt)
-    rows = frames.select("clip", "t", omega.alias("o"))
+    rows = blocks.blocked(frames.select("clip", "t", "theta"), 2).select("clip", "t", "block", "own", omega.alias("o"))
     acc = S.difference("o", 1, w, dt)
-    return rows.select("clip", "o", acc.alias("a")).groupBy("clip").agg(
+    return rows.select("clip", "own", "o", acc.alias("a")).where("own").groupBy("clip").agg(
         F.avg(S.mean(F.transform("o", F.abs))).alias("mean_angvel_radps"), F.max(F.array_max(F.transform("o", F.abs))).alias("max_angvel_radps"),
         F.avg(S.mean(F.transform("a", F.abs))).alias("mean_angacc_radps2"),
     )
@@ -221,9 +222,9 @@ def angular_3d(frames: DataFrame, links: int, dt: float) -> DataFrame:
 
 def log_dimensionless_jerk(kp: DataFrame, point: int, dt: float) -> DataFrame:
     """-ln of jerk made dimensionless by duration and path of one point; null below 8 frames or for no motion."""
-    w = S.clip_window()
-    one = kp.select("clip", "t", F.slice("p", 3 * point + 1, 3).alias("p"))
-    rows = one.select("clip", F.get(S.norms(S.difference("p", 1, w)), F.lit(0)).alias("s"), F.get(S.norms(S.difference("p", 3, w, dt)), F.lit(0)).alias("j"))
+    w = blocks.window()
+    one = blocks.blocked(kp.select("clip", "t", F.slice("p", 3 * point + 1, 3).alias("p")), 3)
+    rows = one.select("clip", "own", F.get(S.norms(S.difference("p", 1, w)), F.lit(0)).alias("s"), F.get(S.norms(S.difference("p", 3, w, dt)), F.lit(0)).alias("j")).where("own")
     sums = rows.groupBy("clip").agg(F.count("*").alias("n"), F.sum("s").alias("path"), F.sum(F.col("j") ** 2 * dt).alias("jj"))
     dlj = ((F.col("n") - 1) * dt) ** 5 / F.col("path") ** 2 * F.col("jj")
     return sums.select("clip", F.when((F.col("n") >= 8) & (F.col("path") > 1e-9) & (dlj > 1e-9), -F.log(dlj)).alias("log_dimensionless_jerk"))
@@ -251,6 +252,7 @@ def sparc(kp: DataFrame, point: int, dt: float) -> DataFrame:
         v = spectral_arc_length(g.sort_values("t")["s"].to_numpy(float), dt)
         return pd.DataFrame({"clip": [key[0]], "sparc": [None if np.isnan(v) else v]})
 
-    s = F.get(S.norms(S.difference(F.slice("p", 3 * point + 1, 3), 1, S.clip_window(), dt)), F.lit(0))
+    s = F.get(S.norms(S.difference("p", 1, blocks.window(), dt)), F.lit(0))
     kind = dict(kp.dtypes)["clip"]
-    return kp.select("clip", "t", s.alias("s")).where("s is not null").groupBy("clip").applyInPandas(of, f"clip {kind}, sparc double")
+    one = blocks.blocked(kp.select("clip", "t", F.slice("p", 3 * point + 1, 3).alias("p")), 1)
+    return one.select("clip", "t", "own", s.alias("s")).where("own and s is not null").select("clip", "t", "s").groupBy("clip").applyInPandas(of, f"clip {kind}, sparc double")

@@ -49,6 +49,28 @@ def percentile(rows: DataFrame, by: list[str], value: str, p: float, name: str)
     return found if by else found.agg(F.max(name).alias(name))
 
 
+def profiles(rows: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """(by, profile): ``n`` evenly spaced percentiles of each group; null and NaN do not count.
+
+    Values are ranked in sorted ranges once, however many percentiles are asked for, and each percentile
+    meets the two ranks next to it.
+    """
+    x = F.col(value).cast("double")
+    fine = rows.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("__x"), F.lit(1).alias("__one"))
+    ranked = running_sums(fine, by, ["__x"], {"__k": "__one"}).drop("__one")
+    rank = F.col("__i") * (F.col("__size") - 1) / (n - 1)
+    sizes = fine.groupBy(*by).agg(F.count("*").alias("__size")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = lambda name, k: F.struct(F.lit(name).alias("side"), k.cast("long").alias("k"))
+    wanted = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__i", (rank - F.floor(rank)).alias("__f"), F.explode(F.array(side("a", F.floor(rank)), side("b", F.ceil(rank)))).alias("__w"))
+    same = F.col("__k") == F.col("__w.k")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    at = lambda s: F.max(F.when(F.col("__w.side") == s, F.col("__x")))
+    met = ranked.join(wanted, same).groupBy(*by, "__i", "__f").agg(at("a").alias("a"), at("b").alias("b"))
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("__f"))
+    return met.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))), lambda e: e["q"]).alias("profile"))
+
+
 def running_sums(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """``rows`` with, for each ``{name: column}``, the sum of the column over the rows of its group before it in ``order``.
 

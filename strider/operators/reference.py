@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strider.operators import order
+
 #: Quantiles of a profile.
 QUANTILES = 100
 #: How far above its baseline a term may be, as a multiple of it and for shares, until it counts in full.
@@ -50,8 +52,7 @@ def invariance(terms: DataFrame, reference: DataFrame, policy: str = "strict") -
 
 def quantiles(samples: DataFrame, by: list[str], n: int = QUANTILES) -> DataFrame:
     """(by, profile): ``n`` evenly spaced quantiles of ``value``, over all samples."""
-    at = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    return samples.groupBy(*by).agg(F.percentile("value", at).alias("profile"))
+    return order.profiles(samples, by, "value", n)
 
 
 def profile_distance(a: Column, b: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
-from strider.operators import order
+from strider.operators import blocks, order
 
 
 def scores(kp: DataFrame, bones: list[tuple[int, int]], rest: float, gap: int = 2) -> DataFrame:
@@ -14,14 +14,15 @@ def scores(kp: DataFrame, bones: list[tuple[int, int]], rest: float, gap: int =
 
     jerk of frames t - 2 to t + 1 stands at frame t, from the third frame on; 0 where there is none.
     """
-    w = S.clip_window()
+    w = blocks.window()
     n = len(bones) + 1
     apart = [(i, j) for i in range(n) for j in range(i + gap, n)]
     jerk = F.lead(F.array_max(S.norms(F.col("d3")))).over(w)
-    rows = kp.select("clip", "t", "p", S.difference("p", 1, w).alias("d1"), S.difference("p", 3, w).alias("d3"))
-    return rows.select(
+    rows = blocks.blocked(kp.select("clip", "t", "p"), 3).select("clip", "t", "block", "own", "p", S.difference("p", 1, w).alias("d1"), S.difference("p", 3, w).alias("d3"))
+    found = rows.select("clip", "t", "own", "p", "d1", F.coalesce(jerk * 1000, F.lit(0.0)).alias("jerk")).where("own")
+    return found.select(
         "clip", "t", (F.array_max(F.transform(S.bone_lengths(F.col("p"), bones), lambda x: F.abs(x - rest))) * 1000).alias("rigidity"),
-        F.coalesce(F.array_max(S.norms(F.col("d1"))) * 1000, F.lit(0.0)).alias("teleport"), F.coalesce(jerk * 1000, F.lit(0.0)).alias("jerk"),
+        F.coalesce(F.array_max(S.norms(F.col("d1"))) * 1000, F.lit(0.0)).alias("teleport"), "jerk",
         (F.array_min(S.bone_lengths(F.col("p"), apart)) * 1000).alias("collision"),
     )
 
@@ -34,9 +35,22 @@ def thresholds(frames: DataFrame, score: str, pct: float = 95.0, floor: float =
 
 
 def intervals(flags: DataFrame) -> DataFrame:
-    """(clip, first, last) of each run of flagged frames in (clip, t, flag)."""
-    island = F.col("t") - F.row_number().over(S.clip_window())
-    return flags.where("flag").withColumn("i", island).groupBy("clip", "i").agg(F.min("t").alias("first"), F.max("t").alias("last")).drop("i")
+    """(clip, first, last) of each run of flagged frames in (clip, t, flag).
+
+    A run starts and ends where the frame beside it has no flag; starts are numbered in sorted ranges,
+    and an end has the number of the last start, so no clip is one task's.
+    """
+    edges = _edges(flags).where("start or end")
+    numbered = order.running_sums(edges.withColumn("__one", F.col("start").cast("int")), ["clip"], ["t"], {"__k": "__one"})
+    return numbered.groupBy("clip", (F.col("__k") + F.col("__one")).alias("__k")).agg(F.min("t").alias("first"), F.max("t").alias("last")).drop("__k")
+
+
+def _edges(flags: DataFrame) -> DataFrame:
+    """(clip, t, start, end) of the flagged frames: whether a run starts or ends there."""
+    beside = lambda k: F.coalesce(F.when(F.lag("t", k).over(w) == F.col("t") - k, F.lag("flag", k).over(w)), F.lit(False))
+    w = blocks.window()
+    rows = blocks.blocked(flags.select("clip", "t", "flag"), 1).select("clip", "t", "flag", "own", (~beside(1)).alias("start"), (~beside(-1)).alias("end"))
+    return rows.where("own and flag").select("clip", "t", "start", "end")
 
 
 def report(frames: DataFrame, score: str, threshold: DataFrame, higher_is_worse: bool = True) -> DataFrame:
@@ -47,11 +61,11 @@ def report(frames: DataFrame, score: str, threshold: DataFrame, higher_is_worse:
     worse = F.col(score) > F.col("threshold") if higher_is_worse else F.col(score) < F.col("threshold")
     rows = frames.crossJoin(F.broadcast(threshold)).withColumn("flag", worse)
     severity = F.col(score) / F.col("threshold") if higher_is_worse else F.col("threshold") / F.greatest(F.col(score), F.lit(1e-9))
-    runs = intervals(rows.select("clip", "t", "flag")).groupBy("clip").agg(F.count("*").alias("runs"))
-    return rows.groupBy("clip").agg(
-        F.round(F.first("threshold"), 2).alias("threshold"), F.round(F.avg(F.col("flag").cast("double")), 3).alias("fraction"), F.count_if("flag").alias("n_flagged"),
-        F.round(F.median(severity), 3).alias("severity_median"), F.round(F.percentile(severity, F.lit(0.9)), 3).alias("severity_p90"),
-    ).join(runs, "clip", "left").fillna(0, ["runs"])
+    runs = _edges(rows).groupBy("clip").agg(F.count_if("start").alias("runs"))
+    sums = rows.groupBy("clip").agg(F.round(F.first("threshold"), 2).alias("threshold"), F.round(F.avg(F.col("flag").cast("double")), 3).alias("fraction"), F.count_if("flag").alias("n_flagged"))
+    found = order.percentiles(rows.select("clip", severity.alias("severity")), ["clip"], "severity", [0.5, 0.9]).groupBy(F.col("clip").alias("__clip"))
+    middle = found.agg(F.round(F.max(F.when(F.col("p") < 0.7, F.col("q"))), 3).alias("severity_median"), F.round(F.max(F.when(F.col("p") > 0.7, F.col("q"))), 3).alias("severity_p90"))
+    return sums.join(middle, F.col("clip").eqNullSafe(F.col("__clip")), "left").drop("__clip").join(runs, "clip", "left").fillna(0, ["runs"])
 
 
 def bend_angles(kp: DataFrame, points: int) -> DataFrame:

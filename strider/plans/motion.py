@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.functions import series as S
-from strider.operators import feasibility, metrics, reference, resample, traces
+from strider.operators import blocks, feasibility, metrics, reference, resample, traces
 from strider.sources import tables
 from strider.streaming import detectors
 
@@ -53,7 +53,7 @@ def invariance(spark: SparkSession, d: str) -> DataFrame:
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """(clip, quantity, value): speed of each point between frames, height of the points in each."""
     kp = tables.keypoints(spark, d)
-    moved = kp.select("clip", S.difference("p", 1, S.clip_window(), DT).alias("v"))
+    moved = blocks.blocked(kp, 1).select("clip", "own", S.difference("p", 1, blocks.window(), DT).alias("v")).where("own")
     speed = moved.select("clip", F.explode(S.norms(F.col("v"))).alias("value"))
     height = kp.select("clip", F.get(S.point_sum(F.col("p")), F.lit(2)).alias("value"))
     return speed.select("clip", F.lit("speed").alias("quantity"), "value").unionByName(height.select("clip", F.lit("height").alias("quantity"), "value"))
@@ -115,9 +115,9 @@ def torque(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_traces(spark: SparkSession, d: str) -> DataFrame:
     """Each frame's largest step and jerk of a clip as traces, unfolded again."""
-    w = S.clip_window()
-    kp = tables.keypoints(spark, d)
-    frames = kp.select(F.col("clip").cast("string").alias("clip_id"), "t", F.array_max(S.norms(S.difference("p", 1, w))).alias("step"), F.array_max(S.norms(S.difference("p", 3, w))).alias("jerk"))
+    w = blocks.window()
+    rows = blocks.blocked(tables.keypoints(spark, d), 3)
+    frames = rows.select("own", F.col("clip").cast("string").alias("clip_id"), "t", F.array_max(S.norms(S.difference("p", 1, w))).alias("step"), F.array_max(S.norms(S.difference("p", 3, w))).alias("jerk")).where("own")
     return _rounded(traces.unfolded(traces.traces(frames, ["step", "jerk"])))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strider.operators import metrics, stats, violations
 from strider.plans import layouts, motion, reports, results, robots, samples, stored, suites, trees, views
 from strider.sources import manifest, tables
+from strider.sources.shared import stored as stored_once
 
 DT, REST, BEND_FLOOR = 0.1, 0.15, 3.0
 LIMITS, SPEEDS, EFFORTS = [(0.1, 0.9), (0.5, 8.0)], [5.0, 40.0], [10.0, 20.0]
@@ -35,14 +36,14 @@ def _frames(kp: DataFrame) -> DataFrame:
 
 def _report(score: str, higher_is_worse: bool = True):
     def of(kp: DataFrame) -> DataFrame:
-        frames = _frames(kp)
+        frames = stored_once(_frames(kp).select("clip", "t", score), "scores")
         return violations.report(frames, score, violations.thresholds(frames, score, higher_is_worse=higher_is_worse), higher_is_worse)
 
     return _kp(of)
 
 
 def _bend_report(kp: DataFrame) -> DataFrame:
-    frames = violations.bend_excess(violations.bend_angles(kp, tables.POINTS))
+    frames = stored_once(violations.bend_excess(violations.bend_angles(kp, tables.POINTS)), "scores")
     return violations.report(frames, "bend", violations.thresholds(frames, "bend", floor=BEND_FLOOR))
 
 

@@ -146,8 +146,9 @@ def subsampled(clips: DataFrame, factor: int | Column) -> DataFrame:
     k = F.coalesce(factor if isinstance(factor, Column) else F.lit(factor), F.lit(1))
     new = clips.withColumn("__k", k)
     k = F.col("__k")
+    kept = F.nullif("__k", F.lit(0))
     bad = F.when(k < 1, F.lit("factor is below 1"))
-    new = new.withColumns({"fps": F.col("fps") / F.nullif("__k", F.lit(0)), "dt": F.col("dt") * k, "n_frames": F.ceil(F.col("n_frames") / k), "stride": F.col("stride") * k, "problem": F.coalesce("problem", bad)})
+    new = new.withColumns({"fps": F.col("fps") / kept, "dt": F.col("dt") * k, "n_frames": F.ceil(F.col("n_frames") / kept), "stride": F.col("stride") * k, "problem": F.coalesce("problem", bad)})
     return new.withColumn("duration_s", F.when(F.col("problem").isNull(), F.col("n_frames") * F.col("dt"))).drop("__k")
 
 
