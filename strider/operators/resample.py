@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ def _slope(y: list[Column], before: Column, after: Column) -> Column:
     return F.when(before & after, inner).when(after, end(s[2], s[3])).otherwise(end(s[1], s[0]))
 
 
+def _times(k: Column, dt: float) -> Column:
+    """``k`` frames of ``dt`` as the double next to their exact time; a product of doubles is off by a rounding that grows with ``k``."""
+    return (k.cast("decimal(12,0)") * F.lit(Decimal(repr(dt)))).cast("double")
+
+
 def interpolate(frames: DataFrame, dt: float, target_dt: float, columns: str | list[str] = "q") -> DataFrame:
     """(clip, t, ``columns``) at ``target_dt``, t from 1: no frame lies past the last of the clip.
 
@@ -95,7 +101,7 @@ def interpolate(frames: DataFrame, dt: float, target_dt: float, columns: str | l
     last = F.when(F.col("__a"), F.ceil(x + dt / target_dt - 1e-9) - 1).otherwise(F.floor(x + 1e-9))
     new = whole.where(first <= last).withColumn("__k", F.explode(F.sequence(first, last)))
     # A column of its own: inside a function of an array ``t`` would mean the new number of the frame.
-    new = new.withColumn("__u", F.least(F.greatest(F.col("__k") * target_dt / dt - (F.col("t") - 1), F.lit(0.0)), F.lit(1.0)))
+    new = new.withColumn("__u", F.least(F.greatest(_times(F.col("__k"), target_dt) / dt - (F.col("t") - 1), F.lit(0.0)), F.lit(1.0)))
     u = F.col("__u")
 
     def cubic(c: str) -> Column:

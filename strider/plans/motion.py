@@ -33,7 +33,9 @@ def resample_decimate(spark: SparkSession, d: str) -> DataFrame:
 
 def resample_interpolate(spark: SparkSession, d: str) -> DataFrame:
     rows = resample.interpolate(tables.joints(spark, d), DT, 0.13)
-    return _rounded(rows.select("clip", "t", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b")))
+    # Values between frames often end in a five: round as SQL does, the scaled double and not its digits.
+    at = lambda j, name: (F.round(F.get("q", F.lit(j)) * 1e5) / 1e5).alias(name)
+    return rows.select("clip", "t", at(0, "a"), at(1, "b"))
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:

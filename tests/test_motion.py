@@ -1,11 +1,13 @@
 """Rates, reference distances and streams against closed forms."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strider.operators import blocks, reference, resample
 from strider.plans import motion
+from strider.plans import queries as engine
 from strider.sources import tables
 from strider.streaming import detectors
 from tests.test_oracle import DATA
@@ -133,6 +135,19 @@ def test_interpolate_equals_the_cubic(spark, monkeypatch, size):
             np.testing.assert_allclose([got[c][t] for t in range(1, n + 1)], want, atol=1e-9)
 
 
+def test_interpolated_values_round_as_in_sql(spark, tmp_path):
+    """Times of new frames are exact products, and values whose double ends in a five go where SQL's rounding takes them."""
+    values = [0.0] * 24 + [563.06, 563.24, 563.0, 562.0]
+    rows = [(e, 1, e, v, '{"k": %d}' % (e * 7 % 5)) for e, v in enumerate(values)] + [(100 + e, 2, e, (e * 37 % 101) / 10, '{"k": %d}' % (e * e % 11)) for e in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double, props string")
+    events.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", F.lit("x").alias("event_type"), "value", "props").toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ours = motion.resample_interpolate(spark, str(tmp_path)).collect()
+    theirs = con.execute(engine.oracle_sql()["resample_interpolate"]).fetchall()
+    assert sorted(tuple(r) for r in ours) == sorted(theirs)
+
+
 def test_resample_frames(spark):
     rows = [(1, t + 1, [2.0 * t, 1.0], float(t), f"frame {t}") for t in range(11)]
     df = spark.createDataFrame(rows, "clip long, t int, q array<double>, height double, note string")
