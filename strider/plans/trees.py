@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strider.sources import clips, layout, tables, trees
+from strider.sources.shared import stored
 
 _SIZE = {"width": 640, "height": 480, "n_views": 1, "fps_tolerant": False}
 SPEC = {
@@ -55,16 +56,15 @@ def problems(spark: SparkSession, d: str) -> DataFrame:
 
 def declared(spark: SparkSession, d: str) -> DataFrame:
     """Cells with the counts that files in or above their folders declare: the number of customers, and that of a priority's letters."""
-    rows = trees.cells(found(spark, d))
+    rows = stored(trees.cells(found(spark, d)), "cells")  # a row a cell, read by both files and their cells
     own = rows.select(trees.cell_dir(ROOT).alias("dir"), "generator", "n_episodes")
     info = own.where("generator = 'g0'").select(F.concat("dir", F.lit("/info.json")).alias("path"), F.format_string('{"total_episodes": %s}', F.col("n_episodes") + 3).alias("text"))
     above = own.where("generator = 'g1'").select(F.concat(F.regexp_replace("dir", "/[^/]*$", ""), F.lit("/all_summary.json")).alias("path"), F.lit('{"mean_psnr": 1.5, "n_episodes": 7}').alias("text"))
     return trees.declared(info.unionByName(above), rows, ROOT)
 
 
-def discovered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Placed clips as a source tells them, and records of a probe: sizes and rates follow the number of the order, some records are broken."""
-    rows = trees.episodes(found(spark, d))
+def discovered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Placed clips of whole episodes as a source tells them, and records of a probe: sizes and rates follow the number of the order, some records are broken."""
     pair = F.concat_ws("/", "cache", "generator", "episode")
     role = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{'pred' if r == 'pred' else 'gt'}_path").alias("path"))
     hint = F.when(F.col("generator") == "g1", 16.0).when(F.col("generator") == "g0", 10.0)
@@ -76,25 +76,26 @@ def discovered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    told, records = discovered(spark, d)
+    told, records = discovered(trees.episodes(found(spark, d)))
     rows = clips.build(told, clips.probes(records), cap=500)
     return rows.select("method", "family", "episode", "role", "path", "n_frames", F.round("fps", 5).alias("fps"), "w", "h", F.round("dt", 5).alias("dt"), "pair_key", F.round("fps_probed", 5).alias("fps_probed"), "dt_source", "codec", "view_layout")
 
 
 def left_out(spark: SparkSession, d: str) -> DataFrame:
-    told, records = discovered(spark, d)
+    told, records = discovered(trees.episodes(found(spark, d)))
     return clips.skipped(told, clips.probes(records))
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    told, records = discovered(spark, d)
+    told, records = discovered(trees.episodes(found(spark, d)))
     return clips.pairing_summary(clips.build(told, clips.probes(records)))
 
 
 def placed_problems(spark: SparkSession, d: str) -> DataFrame:
     """What the probes of placed clips say against the generators' sizes and each robot's rate."""
-    told, records = discovered(spark, d)
-    rows = trees.episodes(found(spark, d)).select("robot", "generator", F.concat_ws("/", *trees.PLACED).alias("cell"), "episode", F.inline(F.array(F.struct(F.lit("pred").alias("file"), F.col("pred_path").alias("path")), F.struct(F.lit("gt").alias("file"), F.col("gt_path").alias("path")))))
+    own = trees.episodes(found(spark, d))
+    _, records = discovered(own)
+    rows = own.select("robot", "generator", F.concat_ws("/", *trees.PLACED).alias("cell"), "episode", F.inline(F.array(F.struct(F.lit("pred").alias("file"), F.col("pred_path").alias("path")), F.struct(F.lit("gt").alias("file"), F.col("gt_path").alias("path")))))
     seen = rows.where("path is not null").join(clips.probes(records).withColumnRenamed("fps_probed", "fps"), "path")
     return layout.problems(seen, trees.rates(spark, GENERATORS), by_robot=True)
 

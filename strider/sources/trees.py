@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strider.sources.layout import excluded, glob_pattern
 from strider.sources.manifest import episode_name
+from strider.sources.shared import stored
 
 # Shapes of episodes, folders that are views and horizons, names of placed files and of files that declare a count.
 SHAPES = ("episode_dir", "task_episode", "flat_or_dir")
@@ -139,11 +140,23 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring(bare, from_here, F.length(bare)).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each worked out once a row: filters on them are not moved before them, where each would work them out again."""
+    return rows.select("*", F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))
+
+
 def _placed(files: DataFrame, root: str) -> DataFrame:
-    """``files`` below root/cache/embodiment/output/view/generator/horizon with these and the ``rest`` of the path."""
-    pattern = rf"^\Q{root}\E/([^/]+)/([^/]+)/output/([^/]+)/([^/]+)/(?:([^/]+)/)?(.+)$"
-    parts = {c: F.regexp_extract("path", pattern, k + 1) for k, c in enumerate((*CELL, "rest"))}
-    return files.where(F.col("path").rlike(pattern)).select("path", *[x.alias(c) for c, x in parts.items()])
+    """``files`` below root/cache/embodiment/output/view/generator/horizon with these and the ``rest`` of the path; a file beside the horizons has an empty one."""
+    below = files.where(F.col("path").startswith(f"{root}/")).select("path")
+    rows = _once(below, __p=F.split(F.substring("path", len(root) + 2, 1 << 30), "/"))
+    part = lambda k: F.get("__p", F.lit(k))
+    named = [F.length(part(k)) > 0 for k in (0, 1, 3, 4)]
+    fine = (part(2) == "output") & named[0] & named[1] & named[2] & named[3]
+    rest = lambda k: F.array_join(F.slice("__p", k + 1, F.greatest(F.size("__p") - k, F.lit(0))), "/")
+    deep = (F.length(part(5)) > 0) & (F.length(rest(6)) > 0)
+    horizon, left = F.when(deep, part(5)).otherwise(""), F.when(deep, rest(6)).otherwise(rest(5))
+    cut = _once(rows.where(fine), cache=part(0), embodiment=part(1), view=part(3), generator=part(4), horizon=horizon, rest=left)
+    return cut.where("rest <> ''").select("path", *CELL, "rest")
 
 
 def _left_out(root: str, globs: list[str]) -> Column:
@@ -157,8 +170,7 @@ def _left_out(root: str, globs: list[str]) -> Column:
 
 def _matches() -> Column:
     """(episode, role) that a file of ``inner`` path is of; none, one or several."""
-    depth = F.size(F.split("inner", "/")) - 1
-    folder, file = F.when(depth == 1, F.split_part("inner", F.lit("/"), F.lit(1))), F.element_at(F.split("inner", "/"), -1)
+    depth, folder, file = F.col("__depth"), F.col("__folder"), F.col("__file")
     like = F.rlike(file, F.col("pred_re")) & (F.col("hidden") | ~file.startswith("."))
     stem = F.regexp_replace(file, r"(?<=[^.])[.][^.]*$", "")
     is_ = lambda shape: F.col("shape") == shape
@@ -177,10 +189,10 @@ def _matches() -> Column:
 
 
 def found(files: DataFrame, generators: list[Generator], robots: list[tuple[str, str, str]], root: str, exclude: list[str] | tuple = ()) -> DataFrame:
-    """(cache, robot, embodiment, view, generator, horizon, iter, episode, pred_path, gt_path, whole) of a listing (path).
+    """(cache, robot, embodiment, view, generator, horizon, iter, episode, pred_path, gt_path, whole, skipped) of a listing (path).
 
     A row is an episode that has any of its files, or, with no episode, a folder that has other files
-    only. whole: it has a prediction, and its truth if the generator has any. Folders that are no view,
+    only. whole: it has a prediction, and its truth if the generator has any; skipped: that truth lacks. Folders that are no view,
     horizon, generator or iteration, that no robot claims or that a glob names have no row.
     """
     spark = files.sparkSession
@@ -189,12 +201,17 @@ def found(files: DataFrame, generators: list[Generator], robots: list[tuple[str,
     known = rows.join(F.broadcast(generator_rows(spark, generators)), "generator").join(F.broadcast(claims), ["embodiment", "generator"])
     turn = F.when(F.col("has_iter"), F.nullif(F.regexp_extract("rest", r"^(iter_\d[^/]*)/", 1), F.lit("")))
     inner = F.when(F.col("has_iter"), F.substring("rest", F.length("iter") + 2, F.length("rest"))).otherwise(F.col("rest"))
-    placed = known.withColumn("iter", turn).where("not has_iter or iter is not null").where(~_left_out(root, list(exclude))).withColumn("inner", inner)
-    each = placed.select("*", F.inline_outer(_matches()))
+    placed = _once(known, iter=turn).where("not has_iter or iter is not null").where(~_left_out(root, list(exclude))).withColumn("inner", inner)
+    parts = _once(placed, __q=F.split("inner", "/"))
+    parts = parts.select("*", (F.size("__q") - 1).alias("__depth"), F.when(F.size("__q") == 2, F.get("__q", F.lit(0))).alias("__folder"), F.element_at("__q", -1).alias("__file"))
+    each = parts.select("robot", *CELL, "iter", "has_gt", "path", F.inline_outer(_matches()))
     path = lambda role: F.max(F.when(F.col("role") == role, F.col("path"))).alias(f"{role}_path")
-    both = each.groupBy("robot", *CELL, "iter", "episode").agg(path("pred"), path("gt"), F.first("has_gt").alias("has_gt"))
-    whole = F.col("pred_path").isNotNull() & (~F.col("has_gt") | F.col("gt_path").isNotNull())
-    return both.select(*PLACED, "embodiment", "iter", "episode", "pred_path", "gt_path", whole.alias("whole"))
+    # Flags of their own: who asks for no path, as the counts of cells do, has none gathered.
+    any_ = lambda role: F.coalesce(F.bool_or(F.col("role") == role), F.lit(False)).alias(f"any_{role}")
+    both = each.groupBy("episode", "robot", *CELL, "iter").agg(path("pred"), path("gt"), any_("pred"), any_("gt"), F.bool_or("has_gt").alias("has_gt"))
+    whole = F.col("any_pred") & (~F.col("has_gt") | F.col("any_gt"))
+    skipped = F.col("any_pred") & F.col("has_gt") & ~F.col("any_gt")
+    return both.select(*PLACED, "embodiment", "iter", "episode", "pred_path", "gt_path", whole.alias("whole"), skipped.alias("skipped"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -202,7 +219,7 @@ def cells(rows: DataFrame) -> DataFrame:
 
     n_skipped: predictions left out for want of their truth.
     """
-    each = rows.groupBy(*PLACED, "embodiment", "iter").agg(F.count_if("whole").alias("n"), F.count_if(~F.col("whole") & F.col("pred_path").isNotNull()).alias("skipped"))
+    each = rows.groupBy(*PLACED, "embodiment", "iter").agg(F.count_if("whole").alias("n"), F.count_if("skipped").alias("skipped"))
     best = each.groupBy(*PLACED, "embodiment").agg(F.max(F.struct("n", "iter", "skipped")).alias("b"))
     return best.select(*PLACED, "embodiment", F.col("b.iter").alias("iter"), F.col("b.n").alias("n_episodes"), F.col("b.skipped").alias("n_skipped"))
 
@@ -215,11 +232,12 @@ def cell_dir(root: str, turn: str | None = "iter") -> Column:
 
 def episodes(rows: DataFrame) -> DataFrame:
     """Whole episodes of the chosen iteration of each cell: (cache, robot, view, generator, horizon, embodiment, iter, episode, pred_path, gt_path)."""
+    rows = stored(rows, "found")  # read twice, by the cells and here
     best = cells(rows).select(*[F.col(c).alias(f"__{c}") for c in (*PLACED, "embodiment", "iter")])
     same = F.lit(True)
     for c in (*PLACED, "embodiment", "iter"):
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return rows.where("whole").join(best, same, "left_semi").drop("whole")
+    return rows.where("whole").join(best, same, "left_semi").drop("whole", "skipped")
 
 
 def placing(rows: DataFrame) -> DataFrame:

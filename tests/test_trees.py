@@ -144,3 +144,13 @@ def test_frames_meet_their_rows(spark):
     rows = spark.createDataFrame([(s, k) for s in "xy" for k in range(50)] + [("z", 0)], "s string, k int")
     one, two, other = (sorted(tuple(r) for r in samples.drawn(rows.repartition(n), "s", 5, seed, ["k"]).collect()) for n, seed in ((2, 1), (7, 1), (2, 2)))
     assert one == two != other and len(one) == 11
+
+
+def test_paths_are_matched_once(spark):
+    """A file's place is worked out once, not again for each filter and glob, and the cells are known before files that declare counts read them."""
+    files = listed(spark, f"{P}/g1/makovian/iter_1/episode_1.mp4", f"{P}/g1/makovian/iter_1/", f"{P}/g1/makovian/a//b", f"{P}/g0/full_pred.mp4", f"{P}//makovian/x.mp4", "tree/c/e0/out/multiview/g1/makovian/iter_1/episode_2.mp4", "tree/c/e0", "x/tree/c")
+    found = trees.found(files, plans.GENERATORS, plans.CLAIMS, "tree", ["**/iter_3*", "tree/x"])
+    said = trees.cells(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("regexp_extract") < 10 and said.count("RLIKE") < 20 and "pred_path" not in said
+    assert {(r.view, r.generator, r.horizon, r.rest) for r in trees._placed(files, "tree").collect()} == {("multiview", "g1", "makovian", "iter_1/episode_1.mp4"), ("multiview", "g1", "makovian", "iter_1/"), ("multiview", "g1", "makovian", "a//b"), ("multiview", "g0", "", "full_pred.mp4")}
+    assert trees._placed(listed(spark, f"{P}/g0/makovian/"), "tree").select("horizon", "rest").first() == ("", "makovian/")
