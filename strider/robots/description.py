@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strider.sources.shared import stored
+
 # Kinds of joints that move, those that need limits, the axis of a joint that names none, and the speed limit of one that names none.
 MOVING, LIMITED = ("revolute", "continuous", "prismatic"), ("revolute", "prismatic")
 DEFAULT_AXIS, DEFAULT_SPEED = (0.0, 0.0, 1.0), 1000.0
@@ -87,18 +89,22 @@ def joints(robots: DataFrame) -> DataFrame:
 
 
 def _placed(pairs: Column) -> Column:
-    """Links reached from the roots along (parent, child), each with the moving joints above it: as many rounds as joints."""
+    """Links reached from the roots along (parent, child), each with the moving joints above it: a round for each level, the rounds left then do nothing."""
     children, parents = F.transform(pairs, lambda j: j["child"]), F.transform(pairs, lambda j: j["parent"])
-    start = F.transform(F.array_except(parents, children), lambda x: F.struct(x.alias("link"), F.lit(0).alias("depth")))
-
-    def grow(known: Column, _: Column) -> Column:
-        names = F.transform(known, lambda k: k["link"])
-        new = F.filter(pairs, lambda j: F.array_contains(names, j["parent"]) & ~F.array_contains(names, j["child"]))
-        above = lambda j: F.aggregate(known, F.lit(0), lambda s, k: F.when(k["link"] == j["parent"], k["depth"]).otherwise(s))
-        return F.concat(known, F.transform(new, lambda j: F.struct(j["child"].alias("link"), (above(j) + j["moves"]).alias("depth"))))
+    roots = F.transform(F.array_except(parents, children), lambda x: F.struct(x.alias("link"), F.lit(0).alias("depth")))
+
+    def grow(state: Column, _: Column) -> Column:
+        known, last = state["known"], state["last"]
+        names, ends = F.transform(known, lambda k: k["link"]), F.transform(last, lambda k: k["link"])
+        new = F.filter(pairs, lambda j: F.array_contains(ends, j["parent"]) & ~F.array_contains(names, j["child"]))
+        above = lambda j: F.aggregate(last, F.lit(0), lambda s, k: F.when(k["link"] == j["parent"], k["depth"]).otherwise(s))
+        found = F.transform(new, lambda j: F.struct(j["child"].alias("link"), (above(j) + j["moves"]).alias("depth")))
+        # A variable of a lambda has its value once: what is found is not worked out again for each of its uses.
+        grown = F.get(F.transform(F.array(found), lambda f: F.struct(F.concat(known, f).alias("known"), f.alias("last"))), F.lit(0))
+        return F.when(F.size(last) == 0, state).otherwise(grown)
 
     rounds = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.size(pairs))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, start, grow)
+    return F.aggregate(rounds, F.struct(roots.alias("known"), roots.alias("last")), grow, lambda s: s["known"])
 
 
 def _edges(joint_table: DataFrame) -> DataFrame:
@@ -118,6 +124,7 @@ def problems(robots: DataFrame) -> DataFrame:
     two_parents:x, several_roots, no_root, unreachable:x, no_limit:j and empty_range:j of joints that need
     limits, not_a_number:x of an origin, axis, limit or inertia that is there but no number.
     """
+    robots = stored(robots, "robots")  # each kind of problem reads the files, which are parsed once
     fine, link_table, joint_table = robots.where("readable"), links(robots.where("readable")), joints(robots.where("readable"))
     said = lambda df, problem: df.select("robot", problem.alias("problem"))
     of = lambda what, name: F.concat(F.lit(f"{what}:"), F.coalesce(F.col(name), F.lit("")))

@@ -200,3 +200,11 @@ def test_blocks_change_nothing(spark, monkeypatch, size):
 def test_empty_frames(spark):
     frames, robot = spark.createDataFrame([], FRAME), plans.arm(spark)
     assert kinematics.link_poses(frames, robot).count() == 0 and dynamics.torque_share(frames, robot, 0.1).count() == 0 and kinematics.balance_margin(frames, robot).count() == 0
+
+
+def test_files_are_parsed_once_and_depths_end_with_the_levels(spark):
+    robots = description.parsed(files(spark))
+    assert "xml" not in description.problems(robots)._jdf.queryExecution().optimizedPlan().toString().lower()
+    chain = [("r", k, "revolute", f"l{k}", f"l{k + 1}") for k in range(30)] + [("r", 30, "fixed", "l2", "side"), ("r", 31, "revolute", "l9", "side"), ("r", 32, "revolute", "x", "y"), ("r", 33, "revolute", "y", "x")]
+    got = {(r.link, r.depth) for r in description.depths(spark.createDataFrame(chain, "robot string, at int, kind string, parent string, child string")).collect()}
+    assert got == {(f"l{k}", k) for k in range(31)} | {("side", 2)}
