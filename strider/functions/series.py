@@ -25,10 +25,15 @@ def difference(x: Column | str, order: int, window, dt: float | None = None) ->
     return F.when(whole, sums)
 
 
+def once(value: Column, of) -> Column:
+    """``of`` a value as the variable of a lambda: an expression used inside a function of an array would be worked out again for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def norms(flat: Column, dims: int = 3) -> Column:
     """The Euclidean length of each point of a flat array."""
-    at = F.sequence(F.lit(0), (F.size(flat) / dims).cast("int") - 1)
-    return F.transform(at, lambda k: F.sqrt(sum((F.get(flat, k * dims + c) ** 2 for c in range(dims)), F.lit(0.0))))
+    at = lambda p: F.sequence(F.lit(0), (F.size(p) / dims).cast("int") - 1)
+    return once(flat, lambda p: F.transform(at(p), lambda k: F.sqrt(sum((F.get(p, k * dims + c) ** 2 for c in range(dims)), F.lit(0.0)))))
 
 
 def total(values: Column) -> Column:
@@ -41,8 +46,8 @@ def mean(values: Column) -> Column:
 
 def point_sum(flat: Column, dims: int = 3) -> Column:
     """The sum of all points of a flat array, as one point."""
-    at = F.sequence(F.lit(0), (F.size(flat) / dims).cast("int") - 1)
-    return F.array(*[F.aggregate(at, F.lit(0.0), lambda s, k: s + F.get(flat, k * dims + c)) for c in range(dims)])  # noqa: B023
+    at = lambda p: F.sequence(F.lit(0), (F.size(p) / dims).cast("int") - 1)
+    return once(flat, lambda p: F.array(*[F.aggregate(at(p), F.lit(0.0), lambda s, k: s + F.get(p, k * dims + c)) for c in range(dims)]))  # noqa: B023
 
 
 def bone_lengths(flat: Column, bones: list[tuple[int, int]]) -> Column:

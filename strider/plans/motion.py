@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strider.functions import series as S
 from strider.operators import blocks, feasibility, metrics, reference, resample, traces
 from strider.sources import tables
+from strider.sources.shared import stored
 from strider.streaming import detectors
 
 DT, BOUND, QUANTITIES = 0.1, 90.0, ["height", "speed"]
@@ -39,8 +40,8 @@ def resample_interpolate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    """(clip, metric, value) of the temporal metrics."""
-    return metrics.with_reason(metrics.temporal(tables.keypoints(spark, d), DT)).select("clip", "metric", "value")
+    """(clip, metric, value) of the temporal metrics, worked out once: baselines and scores read them several times."""
+    return stored(metrics.with_reason(metrics.temporal(tables.keypoints(spark, d), DT)).select("clip", "metric", "value"), "terms")
 
 
 def baselines(spark: SparkSession, d: str) -> DataFrame:

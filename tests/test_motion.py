@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strider.functions import series as S
 from strider.operators import blocks, reference, resample
 from strider.plans import motion
 from strider.plans import queries as engine
@@ -162,3 +163,12 @@ def test_resample_frames(spark):
         resample.resample_frames(df, 0.1, policy("resample:30"))
     more = resample.resample_frames(df, 0.1, policy("resample:20", allow_upsample=True))
     assert more.count() == 21 and [resample.looks_per_frame(k) for k in ("array<float>", "decimal(5,2)", "string", "array<string>")] == [True, True, False, False]
+
+
+def test_shared_steps_are_worked_out_once(spark):
+    flat = F.transform(F.col("p"), lambda x: x + 12345.0)
+    df = spark.createDataFrame([([1.0, 2.0, 2.0, 0.0, 3.0, 4.0],), (None,)], "p array<double>")
+    said = df.select(S.norms(flat).alias("n"), S.point_sum(flat).alias("s"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert said.count("12345.0") == 2
+    assert [tuple(r) for r in df.select(S.norms(F.col("p"))).collect()] == [([3.0, 5.0],), (None,)]
+    assert "Window" not in motion.terms(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
