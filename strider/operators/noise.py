@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strider.operators import order
+from strider.sources.shared import stored
 
 # The metrics of a floor, and from which setting on and by how many an episode's own is chosen.
 METRICS = ("mean_jerk_mps3", "mean_accel_mps2", "mean_speed_mps")
@@ -45,6 +46,7 @@ def floors(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     null_p95 is the 95th percentile of their sizes. Percentiles are exact and no group is one task's.
     """
     by = by or ["metric"]
+    rows = stored(rows.select(*by, "delta"), "deltas")  # sums, brackets and what lies in them read it
     sums = rows.groupBy(*by).agg(F.count("delta").alias("n"), F.avg("delta").alias("null_mean"), F.stddev_pop("delta").alias("null_std"))
     middle = order.percentile(rows, by, "delta", 0.5, "null_median")
     sized = order.percentiles(rows.withColumn("size", F.abs("delta")), by, "size", [0.5, 0.95])

@@ -102,3 +102,10 @@ def test_ranks_and_their_forms(spark):
     assert [r.text for r in report.rendered(pairs.limit(0), columns).collect()] == ["rank  method  episode  delta", "----  ------  -------  -----"]
     with pytest.raises(ValueError):
         report.rendered(pairs, columns, "xml")
+
+
+def test_floors_read_their_deltas_once(spark):
+    rows = spark.createDataFrame([("a", float(k)) for k in range(5)], "metric string, d double").select("metric", (F.col("d") - 12345.0).alias("delta"))
+    got = noise.floors(rows)
+    assert "12345.0" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.n, r.null_median, r.null_abs_median) for r in got.collect()] == [(5, -12343.0, 12343.0)]
