@@ -175,16 +175,18 @@ def near_duplicates(
 
 #: A wide fingerprint: bits of a segment at least, and segments. Tables of more than 2 ** (bits - 3) nodes take wider segments.
 LEAST_BITS, WIDE_SEGMENTS = 20, 16
-#: Values of a segment that a node looks up, its own among them, at ``LEAST_BITS``; each further bit takes so many times more
-#: for the same recall (simulated: of pairs at 0.8 with 20, 24, 28 and 32 bits 0.996, 0.994, 0.992 and 0.990 meet).
-PROBES, PROBES_A_BIT = 12, 1.25
+#: Values of a segment that a node posts, its own among them, at ``LEAST_BITS``; each further bit takes so many times more
+#: for the same recall. Nodes meet in any value that both post, so fewer are needed than if one looked up what the other holds.
+PROBES, PROBES_A_BIT = 5, 1.14
 #: Bits of a segment that may be taken to differ, those with the closest vote, and how many of them at once, for up to so many probes.
 CLOSE = {24: (8, 3), 1 << 30: (12, 4)}
 #: The share of bits of a wide fingerprint in which candidates may differ, and bits of its first lane. Shingle sets with a
 #: Jaccard similarity of 0.8 differ in 15 % of the bits: of 320 in 48 with a deviation of 6, of 64 in 9.6 with one of 2.9; unrelated ones in half.
 WIDE_SHARE, FIRST_BITS = 0.2125, 20
-#: Nodes that share a segment value beyond which those of the commonest component are not compared with each other.
+#: Nodes that hold a segment value beyond which they and all that post it are compared in blocks, whole set with whole set, without a row for each pair.
 CROWD = 64
+#: Nodes of such a block, and shingles whose presence is a column of a matrix at a time.
+CROWD_BLOCK, COLUMNS = 256, 1 << 13
 #: The least Jaccard similarity of linked documents.
 LEAST = 0.8
 
@@ -194,7 +196,7 @@ def segment_bits(nodes: int) -> int:
 
 
 def segment_probes(bits: int) -> int:
-    return round(PROBES * PROBES_A_BIT ** (bits - LEAST_BITS))
+    return math.ceil(PROBES * PROBES_A_BIT ** (bits - LEAST_BITS))
 
 
 def turns(probes: int) -> np.ndarray:
@@ -273,9 +275,9 @@ def _stride(bits: int) -> int:
 
 
 def _held(nodes: DataFrame, probes: int, everything: bool) -> DataFrame:
-    """(node, f, val, own): the segment values that each node has, or all that it looks up."""
+    """(node, f, val[, own]): the segment values that each node has, or all that it posts."""
     at = F.posexplode("segs").alias("i", "val")
-    rows = nodes.select("node", *[c for c in ("c",) if c in nodes.columns], F.element_at("fp", 1).alias("f"), at)
+    rows = nodes.select("node", *[c for c in ("c", "g") if c in nodes.columns], F.element_at("fp", 1).alias("f"), at)
     rows = rows.withColumn("own", F.col("i") % probes == 0).drop("i")
     return rows if everything else rows.where("own").drop("own")
 
@@ -304,57 +306,114 @@ def leader_pairs(nodes: DataFrame, bits: int) -> DataFrame:
     return _within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits))
 
 
-def candidate_pairs(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
-    """Distinct (src < dst) of like fingerprints of ``nodes`` (node, c, fp, segs) of different ``c`` that meet in a segment.
+def crowds(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame | None:
+    """(node, c, g) of the ``nodes`` (node, c, fp, segs) that post a segment value which more than ``crowd`` nodes hold, if any; those that share such a value, and those they lead to, share ``g``."""
+    n = nodes.count()
+    posts = _held(nodes, _stride(bits), True)
+    full = written(posts.where("own").groupBy("val").count().where(F.col("count") > crowd).select("val"), "full", n)
+    if not full.head(1):
+        return None
+    members = written(posts.join(if_small(full), "val").select("val", "node"), "members")
+    least = if_small(written(members.groupBy("val").agg(F.min("node").alias("dst")), "least"))
+    of = written(connected_components(members.join(least, "val").select(F.col("node").alias("src"), "dst")).withColumnRenamed("component", "g"), "crowds", n)
+    drop_written(members)
+    return written(nodes.select("node", "c").join(if_small(of), "node"), "crowds", n)
+
+
+def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places (i, j) in ``sets`` that join the same ones as all pairs with a Jaccard similarity of ``least`` or more."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    column, row = number[column[shared]], np.repeat(np.arange(n), sizes)[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        some = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[some], column[some] - first] = 1
+        common += has @ has.T
+    common = common.astype(np.float64)
+    like, new, out = common >= least * (sizes[:, None] + sizes - common), np.ones(n, bool), []
+    for root in range(n):
+        waiting, new[root] = [root] if new[root] else [], False
+        while waiting:
+            found = np.flatnonzero(like[waiting.pop()] & new)
+            new[found] = False
+            out += [(root, int(j)) for j in found]
+            waiting += found.tolist()
+    return out
+
 
-    A node looks up :func:`segment_probes` values of each segment; the table has the values that
-    nodes have. Of two documents whose shingles have a similarity of 0.8 one finds the other with a
-    probability of about 0.99. The first lanes are compared on meeting, the whole distance then.
-    Nearly all nodes that crowd at a value belong to its main component ``c`` by now: the others
-    are compared with all of them, and they with the others, so no pair of different ``c`` is left out.
+def crowd_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
+    """Links (src, dst) that join the same nodes of each crowd of ``members`` (node, c, g) as all pairs of different ``c`` whose sets are similar.
+
+    ``sets`` gives the (node, s) of a table of nodes. Every node outside the main ``c`` of its crowd is compared with the whole
+    crowd, exactly. A task compares two blocks of ``CROWD_BLOCK`` nodes and returns a link a node at most: its memory is bounded,
+    and the rows dealt are a crowd's nodes times its blocks of other than the main ``c``.
     """
-    probes = written(_held(nodes, _stride(bits), True), "probes")
-    held = probes.where("own").select("val", F.col("node").alias("dst"), F.col("f").alias("g"), F.col("c").alias("d"))
-    full = written(held.groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("val"), "full", nodes.count())
-    other = (F.col("c") != F.col("d")) & _near("f", "g")
-    asks = probes.select("val", "node", "f", "c")
-    if full.head(1):
-        crowds = if_small(full)
-        met = asks.join(held.join(crowds, "val", "left_anti"), "val").where(other).select("node", "dst")
-        sizes = held.join(crowds, "val", "left_semi").groupBy("val", "d").agg(F.count("*").alias("n"))
-        main = if_small(written(sizes.groupBy("val").agg(F.max_by("d", F.struct("n", "d")).alias("main")), "main"))
-        ask, have = asks.join(main, "val"), held.join(main, "val")
-        met = met.unionByName(ask.where("c <> main").join(have.drop("main"), "val").where(other).select("node", "dst"))
-        met = met.unionByName(ask.where("c = main").drop("main").join(have.where("d <> main"), "val").where(other).select("node", "dst"))
-    else:
-        met = asks.join(held, "val").where(other).select("node", "dst")
-    out = written(_within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits)), "candidates", nodes.count())
-    drop_written(probes)
+    counts = members.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g")
+    of = counts.agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("mains"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    blocks = lambda n: F.ceil(F.col(n) / CROWD_BLOCK)
+    dealt = members.join(if_small(written(of, "mains")), "g").withColumn("o", blocks("others")).withColumn("b", F.col("o") + blocks("mains")).withColumn("h", F.xxhash64("node"))
+    own = F.expr("if(c = main, o + pmod(h, b - o), pmod(h, o))")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("c") == F.col("main"), F.col("o")).otherwise(F.col("b")) - 1))
+    dealt = dealt.select("g", "node", own.alias("own"), met.alias("met")).select("g", "node", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"))
+
+    def of_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        node = rows["node"].to_numpy()
+        return pd.DataFrame([(node[i], node[j]) for i, j in linked([np.asarray(s) for s in rows["s"]], least)], columns=["src", "dst"])
+
+    whole = sets(written(members.select("node"), "ends", members.count()))
+    out = written(dealt.join(whole, "node").groupBy("g", "i", "j").applyInPandas(of_blocks, "src long, dst long"), "links")
+    drop_written(whole)
     return out
 
 
-def similar_pairs(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], width: int, least: float = LEAST) -> DataFrame:
-    """Enough of ``pairs`` of nodes to join the same ones as all whose shingle sets have a Jaccard similarity of ``least`` or more.
+def candidate_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """Distinct (src < dst) of like fingerprints of ``nodes`` (node, c, fp, segs[, g]) of different ``c``, and not of one ``g``, that meet in a segment.
 
-    ``texts`` gives the (node, text) of a table of nodes, perhaps more than once each. Similarities are exact, on whole texts. A node is compared with its
-    smallest partner first; of the other pairs, those that this has joined already need no comparison.
+    A node posts :func:`segment_probes` values of each segment. Of two documents whose shingles have a
+    similarity of 0.8 both post some value with a probability of about 0.99. The first lanes are compared
+    on meeting, the whole distance then. Pairs within a crowd are left to :func:`crowd_links`.
     """
+    nodes = nodes if "g" in nodes.columns else nodes.withColumn("g", F.lit(None).cast("long"))
+    posts = _held(nodes, _stride(bits), True).select("val", "node", "f", "c", "g").repartition("val")
+    apart = F.expr("a.node < b.node and a.c <> b.c and not coalesce(a.g = b.g, false)") & _near("a.f", "b.f")
+    met = posts.alias("a").join(posts.alias("b"), F.col("a.val") == F.col("b.val")).where(apart)
+    met = met.select(F.col("a.node").alias("node"), F.col("b.node").alias("dst"))
+    return written(_within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits)), "candidates", nodes.count())
+
+
+def shingle_sets(texts: Callable[[DataFrame], DataFrame], width: int) -> Callable[[DataFrame], DataFrame]:
+    """Gives the (node, s), the sorted set of shingles, of each node of a table; ``texts`` gives their (node, text), perhaps more than once each."""
 
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in batches:
             yield pd.Series([shingle_set(t, width).view("<i8") for t in some], dtype=object)
 
+    return lambda ends: written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
+    """Enough of ``pairs`` of nodes to join the same ones as all whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    ``sets`` gives the (node, s) of a table of nodes. Similarities are exact, on whole texts. A node is compared with its
+    smallest partner first; of the other pairs, those that this has joined already need no comparison.
+    """
     n = pairs.count()
 
     def similar(some: DataFrame) -> DataFrame:
         some = written(some, "pairs", n)
         ends = written(some.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "ends", n)
-        sets = written(texts(ends).select("node", of("text").alias("s")).groupBy("node").agg(F.first("s").alias("s")), "sets")
-        both = some.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+        whole = sets(ends)
+        both = some.join(whole.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(whole.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
         common = F.size(F.array_intersect("a", "b"))
         out = written(both.where(common >= least * (F.size("a") + F.size("b") - common)).select("src", "dst"), "links")
-        drop_written(some, ends, sets)
+        drop_written(some, ends, whole)
         return out
 
     first = pairs.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
@@ -387,11 +446,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         wanted = if_small(written(of_text.join(if_small(ends), "node"), "wanted", n))
         return own.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("node", "text")
 
+    sets = shingle_sets(texts, width)
     led_pairs = written(leader_pairs(nodes, bits), "candidates", n)
-    joined = written(connected_components(similar_pairs(led_pairs, texts, width, least)), "joined", n)
+    joined = written(connected_components(similar_pairs(led_pairs, sets, least)), "joined", n)
     known = written(nodes.join(if_small(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
-    more_pairs = candidate_pairs(known, bits, crowd)
-    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst")).unionByName(similar_pairs(more_pairs, texts, width, least))
+    drop_written(nodes, led_pairs)
+    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))
+    members = crowds(known, bits, crowd)
+    if members is not None:
+        links = links.unionByName(crowd_links(members, sets, least))
+        marked = known.join(if_small(members.drop("c")), "node", "left")
+    more_pairs = candidate_pairs(known if members is None else marked, bits)
+    links = links.unionByName(similar_pairs(more_pairs, sets, least))
     of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups", n)
-    drop_written(nodes, known, led_pairs, more_pairs, reps)
+    drop_written(known, more_pairs, reps)
     return rows.select("doc_id", "digest", "cls").join(if_small(of), "cls").select("doc_id", "digest", "component")

@@ -104,6 +104,44 @@ def test_similar_documents(spark, crowd):
     assert simhash.similar_documents(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_crowds_make_no_pairs(spark, monkeypatch, block):
+    """Near copies below the bound meet all in all; as rows, their pairs would grow with the square of the group."""
+    monkeypatch.setattr(simhash, "CROWD_BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts = {}
+    for copy in range(120):
+        edited = [f"w{j}" for j in range(200)]
+        for at in rng.choice(200, 2 if copy < 20 else 3 + copy % 4, replace=False):
+            edited[at] = f"n{copy}y{at}"
+        texts[copy] = " ".join(edited)
+    own = {i: shingles(t) for i, t in texts.items()}
+    alike = lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    made, pairs_of = [], simhash.candidate_pairs
+    monkeypatch.setattr(simhash, "candidate_pairs", lambda *a, **b: (out := pairs_of(*a, **b), made.append(out.count()))[0])
+    got = simhash.similar_documents(docs(spark, [(i, t, "", "") for i, t in texts.items()]), crowd=8).collect()
+    least = {}
+    for r in got:
+        least[r.component] = min(least.get(r.component, 10**9), r.doc_id)
+    want = components(sorted(own), alike)
+    assert {r.doc_id: least[r.component] for r in got} == want and len(set(want.values())) > 40
+    assert made[0] <= 1000  # of 7140
+
+
+def test_lookups_a_node(spark):
+    """Of pairs at 0.8 hardly any is missed by so few values of a segment that a table of 30 GB stays below its limit of disk."""
+    rng = np.random.default_rng(3)
+    for bits, most in ((20, 5), (21, 6), (24, 9), (27, 13)):
+        assert simhash.segment_probes(bits) <= most
+        found = []
+        for _ in range(400):
+            h = rng.integers(0, 2**64, 222, dtype=np.uint64)
+            votes = np.array([simhash._votes(h[:200], 16 * bits), simhash._votes(h[22:], 16 * bits)], np.float32)
+            a, b = simhash.ball(votes, bits, simhash.segment_probes(bits))
+            found.append(any(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)))
+        assert np.mean(found) >= 0.98
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
