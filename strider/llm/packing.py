@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import os
 import unicodedata
@@ -23,7 +22,7 @@ CAPACITY = 2048
 ROWS_A_TASK = 10_000
 MAX_ROUNDS = 200
 #: Words after which a worker forgets those it has not met since as many before, and the longest it remembers.
-CACHE, LONGEST = 120_000, 32
+CACHE, LONGEST = 300_000, 32
 #: Marks that may follow a stem; the tokenizer always parts them from letters.
 _MARKS = ".,;:!?#$%&*()-|"
 
@@ -38,8 +37,8 @@ def _byte_letters() -> dict[int, int]:
     return {x: x for x in printable} | {x: 256 + i for i, x in enumerate(others)}
 
 
-class _Words:
-    """The ids of texts, as bytes, by a byte-level tokenizer that lower-cases and parts words at white space and around runs of letters."""
+class _Words(dict):
+    """The ids of words, as bytes, by a byte-level tokenizer that lower-cases and parts words at white space and around runs of letters; a word is learned when first looked up."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,27 +47,37 @@ class _Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        #: Words met since the last turn, and those of the turn before.
-        self.known: dict[str, bytes] = {}
+        self.ids = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        #: Words of the turn before; those met since the last turn are the dict's own.
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._learn(word)
+        self[word] = ids
+        return ids
+
     def _encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _recall(self, word: str) -> bytes | None:
-        return self.known.get(word) or self.old.get(word)
+    def _marks(self, marks: str) -> bytes:
+        ids = self.get(marks) or self.old.get(marks) or self._encode(marks)
+        self[marks] = ids
+        return ids
 
     def _stem(self, stem: str) -> bytes:
         """A run of lower-case letters is one piece for the model, whose tokens are the ids without further steps."""
-        ids = self._recall(stem)
+        ids = self.get(stem) or self.old.get(stem)
         if ids is None:
             plain = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
-        self.known[stem] = ids
+            ids = b"".join([self.ids[t.id] for t in self.model.tokenize(plain)])
+        self[stem] = ids
         return ids
 
     def _learn(self, word: str) -> bytes:
         stem = word.rstrip(_MARKS)
+        marks = word[len(stem) :]
         if stem.isascii():
             stem = stem.lower()
             plain = stem.isalpha()
@@ -77,21 +86,18 @@ class _Words:
             plain = stem.isalpha() and unicodedata.is_normalized("NFC", stem)
         if not plain or len(word) > LONGEST:
             return self._encode(word)
-        marks = word[len(word.rstrip(_MARKS)) :]
-        if not marks:
-            return self._stem(stem)
-        after = self._recall(marks) or self._encode(marks)
-        self.known[marks] = after
-        return self._stem(stem) + after
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text. Words are looked up together; those longer than ``LONGEST`` are not kept."""
-        parted = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for word in set(itertools.chain.from_iterable(parted)).difference(self.known):
-            self.known[word] = self.old.get(word) or self._learn(word)
-        yield from (b"".join(map(self.known.__getitem__, words)) for words in parted)
-        if len(self.known) > CACHE:
-            self.old, self.known = {w: x for w, x in self.known.items() if len(w) <= LONGEST}, {}
+        return self._stem(stem) + self._marks(marks) if marks else self._stem(stem)
+
+    def of(self, text: str | None) -> bytes:
+        """The ids of a text. Words longer than ``LONGEST`` are not kept beyond a turn."""
+        text = text or ""
+        if text.isascii():
+            text = text.lower()
+        ids = b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        if len(self) > CACHE:
+            self.old = {w: x for w, x in self.items() if len(w) <= LONGEST}
+            self.clear()
+        return ids
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,24 +105,13 @@ def _tokenizer(path: str) -> _Words:
     return _Words(path)
 
 
-#: Characters of the texts whose words are looked up together.
-TOGETHER = 1 << 20
-
-
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     For tokenizers that part words at ASCII white space, which then joins no token and sets none:
     the ids of a text are those of its words one after the other, and words repeat.
     """
-    words, at = _tokenizer(path), 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (upto == at or size < TOGETHER):
-            size += len(texts[upto] or "")
-            upto += 1
-        yield from words(texts[at:upto])
-        at = upto
+    yield from map(_tokenizer(path).of, texts)
 
 
 def token_pieces(

@@ -287,6 +287,19 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_words_are_learned_once(monkeypatch):
+    path = queries.tokenizer_path()
+    letters = "abcdefghij"
+    texts = [" ".join("q" + "".join(letters[int(d)] for d in str(i)) for i in range(at, at + 10_000)) for at in range(0, 260_000, 10_000)]
+    first = [zlib.crc32(x) for x in packing.token_bytes(texts, path)]
+
+    def learn(self, word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(packing._Words, "_learn", learn)
+    assert [zlib.crc32(x) for x in packing.token_bytes([t.upper() for t in texts], path)] == first
+
+
 def best_fit_decreasing(sizes, capacity=2048):
     """The number of sequences that one process needs."""
     gaps, count = [], 0
