@@ -183,7 +183,7 @@ CLOSE = {24: (8, 3), 1 << 30: (12, 4)}
 #: The share of bits of a wide fingerprint in which candidates may differ, and bits of its first lane. Shingle sets with a
 #: Jaccard similarity of 0.8 differ in 15 % of the bits: of 320 in 48 with a deviation of 6, of 64 in 9.6 with one of 2.9; unrelated ones in half.
 WIDE_SHARE, FIRST_BITS = 0.2125, 20
-#: Nodes that hold a segment value beyond which they and all that post it are compared in blocks, whole set with whole set, without a row for each pair.
+#: Nodes that post a segment value beyond which they are compared in blocks, whole set with whole set, without a row for each pair.
 CROWD = 64
 #: Nodes of such a block, and shingles whose presence is a column of a matrix at a time.
 CROWD_BLOCK, COLUMNS = 256, 1 << 13
@@ -274,12 +274,10 @@ def _stride(bits: int) -> int:
     return min(segment_probes(bits), len(turns(segment_probes(bits))))
 
 
-def _held(nodes: DataFrame, probes: int, everything: bool) -> DataFrame:
-    """(node, f, val[, own]): the segment values that each node has, or all that it posts."""
-    at = F.posexplode("segs").alias("i", "val")
-    rows = nodes.select("node", *[c for c in ("c", "g") if c in nodes.columns], F.element_at("fp", 1).alias("f"), at)
-    rows = rows.withColumn("own", F.col("i") % probes == 0).drop("i")
-    return rows if everything else rows.where("own").drop("own")
+def _held(nodes: DataFrame, probes: int) -> DataFrame:
+    """(node, f, val): the segment values that each node has itself, without the others that it posts."""
+    rows = nodes.select("node", F.element_at("fp", 1).alias("f"), F.posexplode("segs").alias("i", "val"))
+    return rows.where(F.col("i") % probes == 0).drop("i")
 
 
 def _near(f: str, g: str):
@@ -300,24 +298,25 @@ def leader_pairs(nodes: DataFrame, bits: int) -> DataFrame:
 
     At most ``WIDE_SEGMENTS`` pairs a node, however large its group.
     """
-    held = _held(nodes, _stride(bits), False)
+    held = _held(nodes, _stride(bits))
     first = held.groupBy("val").agg(F.min_by(F.struct("node", "f"), "node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("val", "lead.node", F.col("lead.f").alias("g")).withColumnRenamed("node", "dst")
     met = held.join(first, "val").where((F.col("node") != F.col("dst")) & _near("f", "g")).select("node", "dst")
     return _within(met, nodes, int(WIDE_SHARE * WIDE_SEGMENTS * bits))
 
 
-def crowds(nodes: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame | None:
-    """(node, c, g) of the ``nodes`` (node, c, fp, segs) that post a segment value which more than ``crowd`` nodes hold, if any; those that share such a value, and those they lead to, share ``g``."""
+def crowds(nodes: DataFrame, crowd: int = CROWD) -> DataFrame | None:
+    """(node, g, full) of the ``nodes`` (node, segs) that post a segment value which more than ``crowd`` nodes post, if any; those that share such a value, and those they lead to, share ``g``; ``full`` are a node's such values."""
     n = nodes.count()
-    posts = _held(nodes, _stride(bits), True)
-    full = written(posts.where("own").groupBy("val").count().where(F.col("count") > crowd).select("val"), "full", n)
+    posts = nodes.select("node", F.explode("segs").alias("val"))
+    full = written(posts.groupBy("val").count().where(F.col("count") > crowd).select("val"), "full", n)
     if not full.head(1):
         return None
     members = written(posts.join(if_small(full), "val").select("val", "node"), "members")
     least = if_small(written(members.groupBy("val").agg(F.min("node").alias("dst")), "least"))
     of = written(connected_components(members.join(least, "val").select(F.col("node").alias("src"), "dst")).withColumnRenamed("component", "g"), "crowds", n)
-    drop_written(members)
-    return written(nodes.select("node", "c").join(if_small(of), "node"), "crowds", n)
+    out = written(members.groupBy("node").agg(F.collect_list("val").alias("full")).join(if_small(of), "node").select("node", "g", "full"), "crowds", n)
+    drop_written(members, of)
+    return out
 
 
 def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -372,15 +371,20 @@ def crowd_links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], leas
     return out
 
 
-def candidate_pairs(nodes: DataFrame, bits: int) -> DataFrame:
-    """Distinct (src < dst) of like fingerprints of ``nodes`` (node, c, fp, segs[, g]) of different ``c``, and not of one ``g``, that meet in a segment.
+def candidate_pairs(nodes: DataFrame, labels: DataFrame, bits: int) -> DataFrame:
+    """Distinct (src < dst) of like fingerprints of ``nodes`` (node, fp, segs) of different ``c``, and not of one ``g``, that meet in a segment.
 
-    A node posts :func:`segment_probes` values of each segment. Of two documents whose shingles have a
-    similarity of 0.8 both post some value with a probability of about 0.99. The first lanes are compared
-    on meeting, the whole distance then. Pairs within a crowd are left to :func:`crowd_links`.
+    ``labels`` (node, c[, g, full]): a node without one is a ``c`` of its own; the values ``full`` are not posted, as all that
+    share one share ``g`` too. So no value has more than a crowd's posts, and pairs grow with the nodes. A node posts
+    :func:`segment_probes` values of each segment. Of two documents whose shingles have a similarity of 0.8 both post some
+    value with a probability of about 0.99. The first lanes are compared on meeting, the whole distance then. Pairs within a
+    crowd are left to :func:`crowd_links`.
     """
-    nodes = nodes if "g" in nodes.columns else nodes.withColumn("g", F.lit(None).cast("long"))
-    posts = _held(nodes, _stride(bits), True).select("val", "node", "f", "c", "g").repartition("val")
+    if "g" not in labels.columns:
+        labels = labels.withColumns({"g": F.lit(None).cast("long"), "full": F.lit(None).cast("array<long>")})
+    val = F.when(F.col("full").isNull(), F.col("segs")).otherwise(F.array_except("segs", "full"))
+    marked = nodes.join(if_small(labels), "node", "left").select("node", F.element_at("fp", 1).alias("f"), F.coalesce("c", "node").alias("c"), "g", val.alias("segs"))
+    posts = marked.select("node", "f", "c", "g", F.explode("segs").alias("val")).repartition("val")
     apart = F.expr("a.node < b.node and a.c <> b.c and not coalesce(a.g = b.g, false)") & _near("a.f", "b.f")
     met = posts.alias("a").join(posts.alias("b"), F.col("a.val") == F.col("b.val")).where(apart)
     met = met.select(F.col("a.node").alias("node"), F.col("b.node").alias("dst"))
@@ -448,16 +452,16 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     sets = shingle_sets(texts, width)
     led_pairs = written(leader_pairs(nodes, bits), "candidates", n)
-    joined = written(connected_components(similar_pairs(led_pairs, sets, least)), "joined", n)
-    known = written(nodes.join(if_small(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "known")
-    drop_written(nodes, led_pairs)
-    links = joined.select(F.col("component").alias("src"), F.col("node").alias("dst"))
-    members = crowds(known, bits, crowd)
+    joined = written(connected_components(similar_pairs(led_pairs, sets, least)).withColumnRenamed("component", "c"), "joined", n)
+    drop_written(led_pairs)
+    links, labels = joined.select(F.col("c").alias("src"), F.col("node").alias("dst")), joined
+    members = crowds(nodes, crowd)
     if members is not None:
-        links = links.unionByName(crowd_links(members, sets, least))
-        marked = known.join(if_small(members.drop("c")), "node", "left")
-    more_pairs = candidate_pairs(known if members is None else marked, bits)
+        labels = written(joined.join(members, "node", "full"), "labels", n)
+        in_crowds = written(labels.where("g is not null").select("node", F.coalesce("c", "node").alias("c"), "g"), "members", n)
+        links = links.unionByName(crowd_links(in_crowds, sets, least))
+    more_pairs = candidate_pairs(nodes, labels, bits)
     links = links.unionByName(similar_pairs(more_pairs, sets, least))
     of = written(reps.select("node", "cls").join(connected_components(links), "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "groups", n)
-    drop_written(known, more_pairs, reps)
+    drop_written(nodes, more_pairs, reps)
     return rows.select("doc_id", "digest", "cls").join(if_small(of), "cls").select("doc_id", "digest", "component")

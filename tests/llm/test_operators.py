@@ -128,6 +128,35 @@ def test_crowds_make_no_pairs(spark, monkeypatch, block):
     assert made[0] <= 1000  # of 7140
 
 
+def test_values_many_post(spark, monkeypatch):
+    """Near copies that hold unlike values but post the same ones are a crowd too; fingerprints are read as written, not joined anew for each use."""
+    rng = np.random.default_rng(12)
+    texts = {}
+    for copy in range(150):
+        edited = [f"w{j}" for j in range(200)]
+        for at in rng.choice(200, 1 if copy < 10 else 3 + copy % 5, replace=False):
+            edited[at] = f"n{copy}y{at}"
+        texts[copy] = " ".join(edited)
+    own = {i: shingles(t) for i, t in texts.items()}
+    alike = lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    met, joins, within = [], [], simhash._within
+
+    def counted(pairs, nodes, most):
+        met.append(pairs.distinct().count())
+        joins.append(nodes._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return within(pairs, nodes, most)
+
+    monkeypatch.setattr(simhash, "_within", counted)
+    got = simhash.similar_documents(docs(spark, [(i, t, "", "") for i, t in texts.items()]), crowd=32).collect()
+    least = {}
+    for r in got:
+        least[r.component] = min(least.get(r.component, 10**9), r.doc_id)
+    want = components(sorted(own), alike)
+    assert {r.doc_id: least[r.component] for r in got} == want and len(set(want.values())) > 40
+    assert len(met) == 2 and met[1] <= 1500, met  # of 11175
+    assert joins == [0, 0]
+
+
 def test_lookups_a_node(spark):
     """Of pairs at 0.8 hardly any is missed by so few values of a segment that a table of 30 GB stays below its limit of disk."""
     rng = np.random.default_rng(3)
